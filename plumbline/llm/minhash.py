@@ -27,15 +27,17 @@ REACH = 4
 MIN_DEPTH = 2
 #: How far below the threshold the estimate of a pair may lie before its sets are compared: over six standard deviations.
 SLACK = 0.2
+#: The same in later rounds: four standard deviations.
+SLACK_AGAIN = 0.13
+#: A node whose last neighbour in reach shares so deep a prefix lies in a dense region.
+DENSE_DEPTH = 4
+#: Trees, depth and reach of each further round over dense regions.
+AGAIN = (48, 16, 6)
 #: Representatives whose sets are read again are sent to all tasks up to this number (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Words whose hashes a worker remembers.
 WORDS = 1_000_000
 
-_RANDOM = np.random.default_rng(20_240_613)
-_FACTORS = _RANDOM.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDENDS = _RANDOM.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
-_PLACES = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -71,18 +73,28 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """The MinHash values of a non-empty set, the upper 16 bits of each, big-endian: bytes order as values do."""
-    low = np.full(TREES * DEPTH, 2**64 - 1, np.uint64)
+def signature(hashes: np.ndarray, seeds: tuple[np.ndarray, np.ndarray] | None = None) -> bytes:
+    """The MinHash values of a non-empty set, 16 mixed bits of each, big-endian: bytes order as values do."""
+    factors, addends = seeds or (_FACTORS, _ADDENDS)
+    low = np.full(len(factors), 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), 1024):
-            part = _FACTORS[:, None] * hashes[None, at : at + 1024] + _ADDENDS[:, None]
+            part = factors[:, None] * hashes[None, at : at + 1024] + addends[:, None]
             np.minimum(low, part.min(axis=1), out=low)
-    # The lowest values of a set are small: their leading bits say little, so they are mixed first.
-    with np.errstate(over="ignore"):
+        # The least values of a set are small: their leading bits say little, so they are mixed first.
         return (_mixed(low) >> np.uint64(48)).astype(">u2").tobytes()
 
 
+def _seeds(number: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of a family of hash functions."""
+    source = np.random.default_rng(20_240_613 + number)
+    return source.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), source.integers(0, 2**63, count, dtype=np.uint64)
+
+
+_FACTORS, _ADDENDS = _seeds(0, TREES * DEPTH)
+_PLACES = _seeds(-1, 64)[0]
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
     """``_row, doc_id, n, digest, sig`` of rows with ``_row, doc_id, text``; digest and sig are null for empty sets."""
 
@@ -113,9 +125,14 @@ def shingles(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("digest", "text").mapInArrow(run, "digest binary, hashes array<long>")
 
 
-def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of nodes (digest, n, sig) that are neighbours in some order and alike in size."""
-    step = 2 * DEPTH
+def neighbours(nodes: DataFrame, percent: int, trees: int, depth: int, reach: int, again: bool) -> DataFrame:
+    """Pairs ``a < b`` of nodes (digest, n, orders, label, sig) near in some order, alike in size and of different labels.
+
+    ``orders`` holds the keys of the node in each tree. ``dense``: the last of ``reach`` neighbours still
+    shares a deep prefix, so there may be more like it beyond. again: a later round over dense regions,
+    which compares signatures at once.
+    """
+    step = 2 * depth
 
     def run(batches):
         held = None
@@ -124,33 +141,37 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
                 continue
             columns = {
                 "tree": batch.column("tree").to_numpy(),
-                "key": np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint16).reshape(-1, DEPTH),
-                "digest": np.array(batch.column("digest").to_pylist(), object),
+                "key": np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint16).reshape(-1, depth),
                 "n": batch.column("n").to_numpy(),
-            }
+            } | {c: np.array(batch.column(c).to_pylist(), object) for c in ("digest", *["label", "sig"] * again)}
             fresh = 0 if held is None else len(held["tree"])
             if held is not None:
                 columns = {k: np.concatenate([held[k], v]) for k, v in columns.items()}
-            left, right = [], []
-            for reach in range(1, REACH + 1):
-                a = np.arange(max(0, fresh - reach), len(columns["tree"]) - reach)  # the later of a pair is new
-                b = a + reach
-                deep = (columns["key"][a, :MIN_DEPTH] == columns["key"][b, :MIN_DEPTH]).all(axis=1) & (columns["tree"][a] == columns["tree"][b])
+            found = []
+            for r in range(1, reach + 1):
+                a = np.arange(max(0, fresh - r), len(columns["tree"]) - r)  # the later of a pair is new
+                b = a + r
+                alike = columns["key"][a] == columns["key"][b]
                 na, nb = columns["n"][a], columns["n"][b]
-                fit = deep & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                left.append(columns["digest"][a[fit]])
-                right.append(columns["digest"][b[fit]])
-            held = {k: v[-REACH:] for k, v in columns.items()}
-            left, right = np.concatenate(left), np.concatenate(right)
+                fit = alike[:, :MIN_DEPTH].all(axis=1) & (columns["tree"][a] == columns["tree"][b]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                dense = alike[:, :DENSE_DEPTH].all(axis=1) & (r == reach)
+                if again:
+                    fit &= columns["label"][a] != columns["label"][b]
+                    at = np.flatnonzero(fit)
+                    x, y = (np.frombuffer(b"".join(columns["sig"][i[at]]), np.uint16).reshape(-1, TREES * DEPTH) for i in (a, b))
+                    fit[at] = (x == y).mean(axis=1) >= percent / 100 - SLACK_AGAIN
+                found.append((columns["digest"][a[fit]], columns["digest"][b[fit]], dense[fit]))
+            held = {k: v[-reach:] for k, v in columns.items()}
+            left, right, dense = (np.concatenate(x) for x in zip(*found, strict=True))
             swap = left > right
             pairs = [np.where(swap, right, left), np.where(swap, left, right)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in pairs], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in pairs), pa.array(dense)], names=["a", "b", "dense"])
 
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    orders = nodes.select("digest", "n", "sig", trees.alias("tree"))
-    orders = orders.select("tree", F.col("sig").substr(F.col("tree") * step + 1, F.lit(step)).alias("key"), "n", "digest")
+    number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    orders = nodes.select("digest", "n", "orders", *["label", "sig"] * again, number)
+    orders = orders.withColumn("key", F.col("orders").substr(F.col("tree") * step + 1, F.lit(step))).drop("orders")
     orders = orders.repartitionByRange(partitions(nodes.sparkSession), "tree", "key", "n", "digest").sortWithinPartitions("tree", "key", "n", "digest")
-    return orders.mapInArrow(run, "a binary, b binary").distinct()
+    return orders.mapInArrow(run, "a binary, b binary, dense boolean").groupBy("a", "b").agg(F.max("dense").alias("dense"))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -160,11 +181,11 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, TREES * DEPTH) for c in ("sig_a", "sig_b"))
             keep = pa.array((x == y).mean(axis=1) >= percent / 100 - SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "dense")], names=["a", "b", "dense"])
 
     a = nodes.select(F.col("digest").alias("a"), F.col("sig").alias("sig_a"))
     b = nodes.select(F.col("digest").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "dense", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, dense boolean")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,6 +219,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def rest_of_dense_regions(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different labels of ``labels`` (node, label) that ``REACH`` was too short for.
+
+    The nodes of dense regions go through rounds of fresh trees, more and deeper ones, which pass over
+    pairs of one label, until a round links no labels that were not linked before.
+    """
+    trees, depth, reach = AGAIN
+
+    def resigned(number: int):
+        def run(batches):
+            seeds = _seeds(number, trees * depth)
+            for batch in batches:
+                lists = batch.column("hashes")
+                values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+                each = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                columns = [pa.array([signature(x) for x in each], pa.binary()), pa.array([signature(x, seeds) for x in each], pa.binary()), pa.array(np.diff(ends).astype("i8"))]
+                yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("label"), *columns], names=["digest", "label", "sig", "orders", "n"])
+
+        return run
+
+    dense = pairs.where("dense").select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    named = labels.withColumnRenamed("node", "digest")
+    members = sets.join(dense, "digest").join(named, "digest", "left").select("digest", "hashes", F.coalesce("label", "digest").alias("label"))
+    members = stored(members, "dense")
+    names = members.select("digest", "label")
+    linked = None
+    number = 0
+    while True:
+        number += 1
+        fresh = members.mapInArrow(resigned(number), "digest binary, label binary, sig binary, orders binary, n long")
+        tried = stored(neighbours(stored(fresh, "resigned"), percent, trees, depth, reach, True), "tried")
+        found = confirmed(tried, sets, percent)
+        found = found.join(names.toDF("a", "label_a"), "a").join(names.toDF("b", "label_b"), "b")
+        found = found.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
+        found = stored(found if linked is None else found.join(linked, ["a", "b"], "left_anti"), "found")
+        if found.isEmpty():
+            return found if linked is None else linked
+        linked = found if linked is None else linked.unionByName(found)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: ``_row, doc_id, n_shingles, component_id, kept``.
 
@@ -216,7 +277,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))
     groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig")).alias("rep"))
     groups = stored(groups.select("digest", "first", "size", "rep._row", "rep.n", "rep.sig"), "nodes")
-    pairs = stored(likely(candidates(groups.select("digest", "n", "sig"), percent), groups, percent), "pairs")
+    near = neighbours(groups.withColumn("orders", F.col("sig")), percent, TREES, DEPTH, REACH, False)
+    pairs = stored(likely(near, groups, percent), "pairs")
     if pairs.isEmpty():
         labelled = groups.select("digest", "size", "first")
     else:
@@ -225,8 +287,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         of_rows = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
         sets = stored(shingles(ids.join(of_rows, "_row"), width), "sets")
         links = stored(confirmed(pairs, sets, percent), "links")
-        discard(sets)
         labels = components(links)
+        if not pairs.where("dense").isEmpty():
+            more = rest_of_dense_regions(pairs, sets, labels, percent)
+            if not more.isEmpty():
+                labels = components(links.unionByName(more))
+        discard(sets)
         named = groups.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         of_component = named.groupBy("label").agg(F.min("first").alias("least"))
         # Components may be large: the few that hold many nodes go to every task.
