@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, minhash, packing, token_store, url_filter
+from plumbline.llm import ann, bpe, chat, exact_dedup, html_extract, langid, minhash, packing, token_store, url_filter
 from plumbline.llm.common import scratch, table
 
 IDS_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ URL_RULES = [
 ]
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_texts(table(spark, sf_dir, "documents"), BPE_FILE), BPE_FILE)
 
@@ -43,15 +47,35 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), IDS_FILE)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one more (-7), whose turns hold control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, i, role, "\\### Assistant: </turn> ok") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs), ["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
     token_store.write_store(table(spark, sf_dir, "documents"), path, IDS_FILE)
     return token_store.checksums(token_store.read_store(spark, path))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_near_dedup, op5_exact_dedup, op6_packing, op9_token_store)}
+    return {f.__name__: f for f in (op1_html_extract, op2_byte_bpe, op3_url_filter, op4_near_dedup, op5_exact_dedup, op6_packing, op7_chat_format, op8_language_id, op9_token_store, op10_ann)}
+
 
+# What a text adds to the template: a backslash before each control string.
+_ESCAPES = r"(length(regexp_replace({x}, '(\\\\|###|</turn>{more})', '\\\\\\1', 'g')))"
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
