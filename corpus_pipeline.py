@@ -20,14 +20,14 @@ IDS_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: null texts, texts without letters and those between two languages go."""
-    found = langid.identify(docs, langid.train(docs), docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    found = langid.identify(docs, langid.train(docs), docs.columns, prefix="__found_")
+    return found.where((F.col("__found_lang_pred") != langid.UNKNOWN) & ~F.col("__found_ambiguous")).select(*docs.columns)
 
 
 def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of ``docs`` that a deduplication keeps, by their place in the source."""
-    kept = judged.where("kept").select("_row")
-    return row_key(docs).join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = judged.where("kept").select(F.col("_row").alias("__row"))
+    return row_key(docs, "__row").join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

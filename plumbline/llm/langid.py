@@ -127,8 +127,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return fit([t for _, _, t in sample], [v for _, v, _ in sample])
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``lang_pred, score, ambiguous`` of every row, by its whole ``text``.
+def identify(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns ``keep`` and ``lang_pred, score, ambiguous`` (with ``prefix``) of every row, by its whole ``text``.
 
     Null texts and texts without a letter are of no language (``und``, score 0, ambiguous). Rows are judged
     one by one, so repeated rows get the same result; an empty table gives no rows.
@@ -137,12 +137,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
+    names = [prefix + c for c in ("lang_pred", "score", "ambiguous")]
 
     def run(batches):
         for batch in batches:
-            found = list(zip(*shared.value.predict(batch.column("_text").to_pylist()), strict=True)) or [[]] * 3
+            found = list(zip(*shared.value.predict(batch.column("__text").to_pylist()), strict=True)) or [[]] * 3
             values = [pa.array(list(c), t) for c, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *values], names=[*keep, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *values], names=[*keep, *names])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, ambiguous boolean"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True))])
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
