@@ -9,12 +9,13 @@ in which they do take the plain path.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable
 
 import regex
 
 #: Entries of one memo; it is emptied when full.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 600_000
 #: Chunks longer than this are not kept.
 MEMO_CHARS = 48
 
@@ -25,8 +26,9 @@ _UNICODE = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_OTHER = re.compile("[^\x01-\x1b\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-_TOUCHING = re.compile(r"\s\s")
+_OTHER = re.compile("[^\x01-\x1b\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+# Of white space, chunks may hold single blanks and line breaks only.
+_UNCHUNKED = re.compile("[^\x01-\x08\n\x0e-\x1b\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 
 
 def split(text: str) -> list[str]:
@@ -34,62 +36,64 @@ def split(text: str) -> list[str]:
     return (_UNICODE if _OTHER.search(text) else _LATIN).findall(text)
 
 
+class _Known(dict):
+    """Values by chunk; a chunk that is asked for but missing is noted in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = b""
+        self.fresh.append(chunk)
+        return b""
+
+
+#: Bits that note which chunks have been seen once: only chunks seen again are kept.
+SEEN_BITS = 1 << 24
+
+
 class Memo:
-    """``encode(pieces) -> list of bytes`` computed once per distinct chunk; ``of(text)`` joins them.
+    """Packed ids of texts; each chunk that repeats is encoded about twice in a Python worker.
 
-    ``encode`` gets a list of pieces and returns one bytes value for each.
+    ``encode`` gets whole texts and returns the packed ids of each. ``encode_chunks`` gets strings that
+    begin with a blank or line break and end in no white space, so that none of them would change
+    another's ids if they stood one after another.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], joiner: bytes = b""):
-        self.encode, self.joiner = encode, joiner
-        self.by_piece: dict[str, bytes] = {}
-        self.by_chunk: dict[str, bytes] = {}
-
-    def _pieces(self, lists: list[list[str]]) -> list[bytes]:
-        known = self.by_piece
-        missing = list({p for pieces in lists for p in pieces if p not in known})
-        if len(known) + len(missing) > MEMO_ENTRIES:
-            known = self.by_piece = {}
-            missing = list({p for pieces in lists for p in pieces})
-        if missing:
-            known.update(zip(missing, self.encode(missing), strict=True))
-        out = [self.joiner.join(map(known.__getitem__, pieces)) for pieces in lists]
-        for p in missing:
-            if len(p) > MEMO_CHARS:
-                del known[p]
-        return out
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_chunks: Callable[[list[str]], list[bytes]] | None = None):
+        self.encode, self.encode_chunks = encode, encode_chunks or encode
+        self.known = _Known()
+        self.seen = bytearray(SEEN_BITS >> 3)
 
     def of_all(self, texts: list[str]) -> list[bytes]:
-        """The joined values of each text."""
-        if len(self.by_chunk) > MEMO_ENTRIES:
-            self.by_chunk = {}
-        out: list[bytes | None] = [None] * len(texts)
-        chunked, plain, unknown = [], [], set()
+        """The packed ids of each text."""
+        known = self.known
+        if len(known) > MEMO_ENTRIES:
+            known = self.known = _Known()
+        out, chunked, plain = [b""] * len(texts), [], []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = b""
-            elif _OTHER.search(text) or _TOUCHING.search(text) or text[0] == " ":
+                continue
+            if text[0] == " " or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _UNCHUNKED.search(text):
                 plain.append(i)
             else:
                 # A chunk after a line break starts with \0 in place of it, any other after the first stood behind a blank.
                 first, *rest = text.replace("\n", " \0").split(" ")
                 chunked.append((i, first, rest))
-                unknown.update(rest)
-        known = self.by_chunk
-        unknown = unknown.difference(known)  # looks its own members up; the update in place would walk all of `known`
-        if unknown:
-            chunks = list(unknown)
-            found = self._pieces([_LATIN.findall("\n" + c[1:] if c[:1] == "\0" else " " + c) for c in chunks])
-            known.update(zip(chunks, found, strict=True))
-        starts = self._pieces([_LATIN.findall(first) for _, first, _ in chunked])
-        for (i, _, rest), start in zip(chunked, starts, strict=True):
-            parts = list(map(known.__getitem__, rest))
-            if start or not self.joiner:
-                parts.insert(0, start)
-            out[i] = self.joiner.join(parts)
-        for c in unknown:
-            if len(c) > MEMO_CHARS:
-                del known[c]
-        for i, value in zip(plain, self._pieces([split(texts[i]) for i in plain]), strict=True):
+                deque(map(known.__getitem__, rest), maxlen=0)
+        fresh, known.fresh = known.fresh, []
+        known.update(zip(fresh, self.encode_chunks(["\n" + c[1:] if c[0] == "\0" else " " + c for c in fresh]), strict=True))
+        starts = self.encode([first for _, first, _ in chunked] + [texts[i] for i in plain])
+        for (i, _, rest), start in zip(chunked, starts, strict=False):
+            out[i] = start + b"".join(map(known.__getitem__, rest))
+        for i, value in zip(plain, starts[len(chunked) :], strict=True):
             out[i] = value
+        seen = self.seen
+        for c in fresh:
+            h = hash(c) & (SEEN_BITS - 1)
+            bit = 1 << (h & 7)
+            if len(c) > MEMO_CHARS or not seen[h >> 3] & bit:
+                seen[h >> 3] |= bit
+                del known[c]
         return out

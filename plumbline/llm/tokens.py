@@ -26,8 +26,12 @@ def _plain_byte_level(spec: dict) -> bool:
     )
 
 
+#: Chunks that are encoded as one text.
+JOINED_CHUNKS = 4096
+
+
 class TextTokenizer:
-    """Encodes texts with the tokenizers library; pieces seen before come from a memo."""
+    """Encodes texts with the tokenizers library; chunks seen before come from a memo."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -35,14 +39,34 @@ class TextTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.memo = Memo(self._encode) if _plain_byte_level(json.load(f)) else None
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        batch = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() if len(x) > 3 else b"".join(i.to_bytes(4, "little") for i in x.ids) for x in batch]
+            spec = json.load(f)
+        self.memo = None
+        if _plain_byte_level(spec):
+            self.memo = Memo(self._whole, self._chunks)
+            # The vocabulary writes each byte as one character.
+            self.lengths = np.zeros(max(spec["model"]["vocab"].values()) + 1, "i8")
+            for token, i in spec["model"]["vocab"].items():
+                self.lengths[i] = len(token)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Encodes chunks that don't touch as one text; the bytes that tokens stand for tell them apart."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), JOINED_CHUNKS):
+            group = chunks[at : at + JOINED_CHUNKS]
+            joined = "".join(group)
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            sizes = list(map(len, group if joined.isascii() else map(str.encode, group)))
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), "left") * 4 + 4
+            packed = ids.tobytes()
+            cuts = [0, *ends.tolist()]
+            out += map(packed.__getitem__, map(slice, cuts, cuts[1:]))
+        return out
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        return self.memo.of_all(texts) if self.memo else self._encode(texts)
+        return self.memo.of_all(texts) if self.memo else self._whole(texts)
 
 
 @lru_cache(4)
