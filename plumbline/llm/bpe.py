@@ -35,7 +35,7 @@ class Vocabulary:
         #: The two tokens whose merge makes a token; a token that no merge makes stands for itself.
         self.halves = [(t, t) for t in range(len(self.texts))]
         self.merged: dict[tuple[int, int], int] = {}
-        self.valid: dict[tuple[int, int], bool] = {}
+        self.valid: dict[int, bool] = {}
         self.reachable = bytearray(len(self.texts))
         for text, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(text) == 1:
@@ -66,11 +66,12 @@ class Vocabulary:
 
     def stands(self, left: int, right: int) -> bool:
         """Whether the texts of two tokens, joined, are encoded as just these two."""
-        known = self.valid.get((left, right))
+        key = left << 32 | right
+        known = self.valid.get(key)
         if known is None:
-            known = self.valid[left, right] = self._stands(left, right)
-            if len(self.valid) > 2_000_000:
+            if len(self.valid) > 400_000:
                 self.valid.clear()
+            known = self.valid[key] = self._stands(left, right)
         return known
 
     def _stands(self, left: int, right: int) -> bool:
@@ -193,10 +194,37 @@ class EditableText:
         return [t for ids in self.ids for t in ids]
 
 
+#: Pieces whose ids a worker remembers.
+PIECES = 400_000
+
+
+class PieceEncoder:
+    """Packed ids of strings by their pieces; each distinct piece goes through a prefix table once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known, out = self.known, []
+        if len(known) > PIECES:
+            known.clear()
+        for text in texts:
+            parts = []
+            for piece in split(text):
+                ids = known.get(piece)
+                if ids is None:
+                    ids = np.array(encode_piece(self.vocabulary, piece.encode()), "<u4").tobytes()
+                    if len(piece) <= 48:
+                        known[piece] = ids
+                parts.append(ids)
+            out.append(b"".join(parts))
+        return out
+
+
 @lru_cache(4)
 def _memo(path: str) -> Memo:
-    vocabulary = Vocabulary.load(path)
-    return Memo(lambda pieces: [np.array(encode_piece(vocabulary, p.encode()), "<u4").tobytes() for p in pieces])
+    return Memo(PieceEncoder(Vocabulary.load(path)))
 
 
 def encode_texts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -224,15 +252,13 @@ def digests(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
         vocabulary = Vocabulary.load(path)
         decimal = [str(t).encode() for t in range(len(vocabulary.texts))]
         for batch in batches:
-            rows = [np.frombuffer(x, "<u4").tolist() for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in keep),
-                    pa.array([len(r) for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(b",".join(map(decimal.__getitem__, r))).hexdigest() for r in rows], pa.string()),
-                    pa.array([hashlib.sha256(decode(vocabulary, r)).hexdigest() for r in rows], pa.string()),
-                ],
-                names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            found = []
+            for packed in batch.column("ids").to_pylist():  # one text at a time: lists of ids are large
+                ids = np.frombuffer(packed, "<u4").tolist()
+                texts = hashlib.sha256(b",".join(map(decimal.__getitem__, ids))), hashlib.sha256(decode(vocabulary, ids))
+                found.append((len(ids), *(t.hexdigest() for t in texts)))
+            columns = list(zip(*found, strict=True)) or [[]] * 3
+            values = [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *values], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string"]))
