@@ -205,7 +205,7 @@ class Bank:
     # --- inspection and log
 
     def stats(self) -> dict:
-        size = sum(s.getLength() for n in TABLES for s in self._fs().listStatus(self._path(f"{self._pointer()}/{n}")))
+        size = sum(s.getLen() for n in TABLES for s in self._fs().listStatus(self._path(f"{self._pointer()}/{n}")))
         return analytics.stats(self.table("documents"), self.table("chunks")).first().asDict() | {"index_bytes": size, "embedding_dim": self.config.embedding_dim}
 
     def chunks_of(self, path: str) -> DataFrame:
