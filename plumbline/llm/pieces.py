@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Callable
+from itertools import chain
 
 import regex
 
@@ -37,13 +38,22 @@ def split(text: str) -> list[str]:
 
 
 class _Known(dict):
-    """Values by chunk; a chunk that is asked for but missing is noted in ``fresh``."""
+    """Values by chunk. A chunk that is asked for but missing is noted in ``fresh``, or ``made`` of a known one and a mark behind it."""
 
-    def __init__(self):
+    def __init__(self, marks: dict[str, bytes]):
         super().__init__()
+        self.marks = marks
         self.fresh: list[str] = []
+        self.made: list[str] = []
 
     def __missing__(self, chunk: str) -> bytes:
+        mark = self.marks.get(chunk[-1:])
+        if mark and chunk[-2:-1].isalpha():  # a mark behind a letter is a piece of its own
+            core = self.get(chunk[:-1])
+            if core:
+                self[chunk] = value = core + mark
+                self.made.append(chunk)
+                return value
         self[chunk] = b""
         self.fresh.append(chunk)
         return b""
@@ -61,16 +71,17 @@ class Memo:
     another's ids if they stood one after another.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_chunks: Callable[[list[str]], list[bytes]] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_chunks: Callable[[list[str]], list[bytes]] | None = None, entries: int = MEMO_ENTRIES):
         self.encode, self.encode_chunks = encode, encode_chunks or encode
-        self.known = _Known()
+        self.marks = dict(zip(",.;:!?", encode(list(",.;:!?")), strict=True))
+        self.known, self.entries = _Known(self.marks), entries
         self.seen = bytearray(SEEN_BITS >> 3)
 
     def of_all(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         known = self.known
-        if len(known) > MEMO_ENTRIES:
-            known = self.known = _Known()
+        if len(known) > self.entries:
+            known = self.known = _Known(self.marks)
         out, chunked, plain = [b""] * len(texts), [], []
         for i, text in enumerate(texts):
             if not text:
@@ -82,7 +93,7 @@ class Memo:
                 first, *rest = text.replace("\n", " \0").split(" ")
                 chunked.append((i, first, rest))
                 deque(map(known.__getitem__, rest), maxlen=0)
-        fresh, known.fresh = known.fresh, []
+        fresh, made, known.fresh, known.made = known.fresh, known.made, [], []
         known.update(zip(fresh, self.encode_chunks(["\n" + c[1:] if c[0] == "\0" else " " + c for c in fresh]), strict=True))
         starts = self.encode([first for _, first, _ in chunked] + [texts[i] for i in plain])
         for (i, _, rest), start in zip(chunked, starts, strict=False):
@@ -90,7 +101,7 @@ class Memo:
         for i, value in zip(plain, starts[len(chunked) :], strict=True):
             out[i] = value
         seen = self.seen
-        for c in fresh:
+        for c in chain(fresh, made):
             h = hash(c) & (SEEN_BITS - 1)
             bit = 1 << (h & 7)
             if len(c) > MEMO_CHARS or not seen[h >> 3] & bit:

@@ -64,7 +64,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str) -> None:
 
     (
         ordered.mapInArrow(encode, SCHEMA)
-        .write.option("compression", "zstd")
+        .write.option("compression", "none")  # the run-length encoding packs ids about as tightly
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.row.index.stride", ROW_INDEX_STRIDE)
         .option("orc.create.index", "true")
@@ -79,7 +79,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SCHEMA).orc(path)
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ranges = files.groupBy("chunk").agg(F.sum("n_tokens").alias("n")).select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return files.join(ranges, "chunk").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
+    # One row per range; a store has at most as many as the writing session had shuffle partitions.
+    return files.join(F.broadcast(ranges), "chunk").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

@@ -42,7 +42,7 @@ class TextTokenizer:
             spec = json.load(f)
         self.memo = None
         if _plain_byte_level(spec):
-            self.memo = Memo(self._whole, self._chunks)
+            self.memo = Memo(self._whole, self._chunks, 1_000_000)
             # The vocabulary writes each byte as one character.
             self.lengths = np.zeros(max(spec["model"]["vocab"].values()) + 1, "i8")
             for token, i in spec["model"]["vocab"].items():
