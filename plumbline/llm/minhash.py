@@ -16,14 +16,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import bounded_batches, discard, join_groups, partitions, row_key, stored
 
 TREES, DEPTH = 16, 8
-#: Neighbours taken on each side of a node in each order.
-REACH = 4
+#: Neighbours taken on each side of a node in each order; dense regions get further rounds.
+REACH = 3
 MIN_DEPTH = 2
 #: How far below the threshold the estimate of a pair may lie before its sets are compared: over six standard deviations.
 SLACK = 0.2
@@ -32,11 +32,15 @@ SLACK_AGAIN = 0.13
 #: A node whose last neighbour in reach shares so deep a prefix lies in a dense region.
 DENSE_DEPTH = 4
 #: Trees, depth and reach of each further round over dense regions.
-AGAIN = (48, 16, 6)
+AGAIN = (24, 24, 4)
+#: Rounds in a row without a new link that end the search.
+QUIET_ROUNDS = 2
+#: Nodes of most links of a component that those around it are compared with.
+HUBS = 24
 #: Representatives whose sets are read again are sent to all tasks up to this number (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Words whose hashes a worker remembers.
-WORDS = 1_000_000
+WORDS = 300_000
 
 
 
@@ -181,11 +185,11 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, TREES * DEPTH) for c in ("sig_a", "sig_b"))
             keep = pa.array((x == y).mean(axis=1) >= percent / 100 - SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "dense")], names=["a", "b", "dense"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     a = nodes.select(F.col("digest").alias("a"), F.col("sig").alias("sig_a"))
     b = nodes.select(F.col("digest").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "dense", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, dense boolean")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,11 +223,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def rest_of_dense_regions(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def with_hubs(pairs: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of each node with the hubs of every other label that it was compared with.
+
+    Copies of one text may be linked through that text alone. It is among those with the most links of its component, so
+    a node at the edge need not happen to stand beside it in some order.
+    """
+    ends = pairs.select(F.col("a").alias("digest"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("digest"), F.col("a").alias("other")))
+    seen = ends.join(names.toDF("other", "label"), "other").select("digest", "label").distinct().join(names.toDF("digest", "own"), "digest").where("own <> label")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("degree"))
+    most = Window.partitionBy("label").orderBy(F.desc("degree"), "digest")  # each task passes on its own first few
+    hubs = degrees.join(names, "digest").withColumn("n", F.row_number().over(most)).where(F.col("n") <= HUBS).select("label", F.col("digest").alias("hub"))
+    met = seen.join(hubs, "label").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"))
+    return met.distinct()
+
+
+def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different labels of ``labels`` (node, label) that ``REACH`` was too short for.
 
-    The nodes of dense regions go through rounds of fresh trees, more and deeper ones, which pass over
-    pairs of one label, until a round links no labels that were not linked before.
+    Nodes are first compared with the hubs of the components around them. Then those of dense regions go through rounds of fresh trees, more and deeper ones, which pass over
+    pairs of one label, until two rounds running link no labels that were not linked before.
     """
     trees, depth, reach = AGAIN
 
@@ -244,18 +263,27 @@ def rest_of_dense_regions(pairs: DataFrame, sets: DataFrame, labels: DataFrame,
     members = sets.join(dense, "digest").join(named, "digest", "left").select("digest", "hashes", F.coalesce("label", "digest").alias("label"))
     members = stored(members, "dense")
     names = members.select("digest", "label")
-    linked = None
-    number = 0
+    linked, compared = None, pairs.select("a", "b")
+    number = quiet = 0
     while True:
+        if number == 0:
+            near = with_hubs(compared, links, names)
+        else:
+            fresh = members.mapInArrow(resigned(number), "digest binary, label binary, sig binary, orders binary, n long")
+            near = neighbours(stored(fresh, "resigned"), percent, trees, depth, reach, True).select("a", "b")
         number += 1
-        fresh = members.mapInArrow(resigned(number), "digest binary, label binary, sig binary, orders binary, n long")
-        tried = stored(neighbours(stored(fresh, "resigned"), percent, trees, depth, reach, True), "tried")
-        found = confirmed(tried, sets, percent)
+        tried = stored(near.join(compared, ["a", "b"], "left_anti"), "tried")
+        compared = compared.unionByName(tried)
+        found = confirmed(tried, members, percent)
         found = found.join(names.toDF("a", "label_a"), "a").join(names.toDF("b", "label_b"), "b")
         found = found.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
         found = stored(found if linked is None else found.join(linked, ["a", "b"], "left_anti"), "found")
         if found.isEmpty():
-            return found if linked is None else linked
+            quiet += number > 1  # the comparison with hubs is no round
+            if quiet == QUIET_ROUNDS:
+                return found if linked is None else linked
+            continue
+        quiet = 0
         linked = found if linked is None else linked.unionByName(found)
 
 
@@ -277,23 +305,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))
     groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig")).alias("rep"))
     groups = stored(groups.select("digest", "first", "size", "rep._row", "rep.n", "rep.sig"), "nodes")
-    near = neighbours(groups.withColumn("orders", F.col("sig")), percent, TREES, DEPTH, REACH, False)
+    near = stored(neighbours(groups.withColumn("orders", F.col("sig")), percent, TREES, DEPTH, REACH, False), "near")
     pairs = stored(likely(near, groups, percent), "pairs")
-    if pairs.isEmpty():
+    crowded = near.where("dense")
+    if pairs.isEmpty() and crowded.isEmpty():
         labelled = groups.select("digest", "size", "first")
     else:
-        needed = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(groups.select("digest", "_row"), "digest")
+        needed = pairs.select("a", "b").union(crowded.select("a", "b")).select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(groups.select("digest", "_row"), "digest")
         needed = stored(needed, "needed")
         of_rows = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
         sets = stored(shingles(ids.join(of_rows, "_row"), width), "sets")
         links = stored(confirmed(pairs, sets, percent), "links")
-        labels = components(links)
-        if not pairs.where("dense").isEmpty():
-            more = rest_of_dense_regions(pairs, sets, labels, percent)
-            if not more.isEmpty():
-                labels = components(links.unionByName(more))
+        labels, further = components(links), None
+        if not crowded.isEmpty():
+            more = rest_of_dense_regions(near, links, sets, labels, percent)
+            further = components(more) if not more.isEmpty() else None
         discard(sets)
-        named = groups.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        named = groups.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        if further is not None:  # these link labels, not nodes
+            named = named.join(further.toDF("label", "lower"), "label", "left").withColumn("label", F.coalesce("lower", "label"))
         of_component = named.groupBy("label").agg(F.min("first").alias("least"))
         # Components may be large: the few that hold many nodes go to every task.
         counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
