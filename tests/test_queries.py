@@ -10,11 +10,11 @@ from plumbline import queries
 
 def rows(frame):
     def plain(v):
+        if hasattr(v, "__len__") and not isinstance(v, str):
+            return str(list(v))
         if v is None or v != v:
             return None
-        if isinstance(v, float):
-            return f"{v:.9g}"
-        return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
+        return f"{v:.9g}" if isinstance(v, float) else str(v)
 
     columns = sorted(frame.columns)
     return columns, sorted(str([plain(v) for v in r]) for r in frame[columns].astype(object).values.tolist())
