@@ -25,9 +25,10 @@ TREES, DEPTH = 16, 8
 #: Neighbours taken on each side of a node in each order; dense regions get further rounds.
 REACH = 3
 MIN_DEPTH = 2
-#: How far below the threshold the estimate of a pair may lie before its sets are compared: over six standard deviations.
+#: How far the sketches of a pair may agree less than a pair at the threshold would on average, for its sets to be compared:
+#: between five and a half and six and a half standard deviations at thresholds of 0.8 and more.
 SLACK = 0.2
-#: The same in later rounds: four standard deviations.
+#: The same in later rounds: about four standard deviations.
 SLACK_AGAIN = 0.13
 #: A node whose last neighbour in reach shares so deep a prefix lies in a dense region.
 DENSE_DEPTH = 4
@@ -89,6 +90,23 @@ def signature(hashes: np.ndarray, seeds: tuple[np.ndarray, np.ndarray] | None =
         return (_mixed(low) >> np.uint64(48)).astype(">u2").tobytes()
 
 
+def sketch(sig: bytes) -> bytes:
+    """The last four bits of each value of a signature: a quarter of its size, for estimates of similarity."""
+    bits = np.frombuffer(sig, ">u2").astype(np.uint8) & 15
+    return (bits[::2] << 4 | bits[1::2]).tobytes()
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The share of equal four-bit values in each row of two matrices of sketches."""
+    differ = x ^ y
+    return 1 - ((differ & 15 != 0).sum(axis=1) + (differ >> 4 != 0).sum(axis=1)) / (2 * x.shape[1])
+
+
+def least_agreement(percent: int, slack: float) -> float:
+    """What sketches must agree on: different values agree in four bits one time in sixteen."""
+    return percent / 100 + (1 - percent / 100) / 16 - slack
+
+
 def _seeds(number: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Factors and addends of a family of hash functions."""
     source = np.random.default_rng(20_240_613 + number)
@@ -100,7 +118,7 @@ _PLACES = _seeds(-1, 64)[0]
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """``_row, doc_id, n, digest, sig`` of rows with ``_row, doc_id, text``; digest and sig are null for empty sets."""
+    """``_row, doc_id, n, digest, sig, sketch`` of rows with ``_row, doc_id, text``; the last three are null for empty sets."""
 
     def run(batches):
         for batch in batches:
@@ -110,12 +128,13 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
+            sketches = [s and sketch(s) for s in sigs]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["_row", "doc_id", "n", "digest", "sig"],
+                [batch.column("_row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, sketches))],
+                names=["_row", "doc_id", "n", "digest", "sig", "sketch"],
             )
 
-    return docs.mapInArrow(run, "_row long, doc_id long, n long, digest binary, sig binary")
+    return docs.mapInArrow(run, "_row long, doc_id long, n long, digest binary, sig binary, sketch binary")
 
 
 def shingles(docs: DataFrame, width: int) -> DataFrame:
@@ -130,13 +149,14 @@ def shingles(docs: DataFrame, width: int) -> DataFrame:
 
 
 def neighbours(nodes: DataFrame, percent: int, trees: int, depth: int, reach: int, again: bool) -> DataFrame:
-    """Pairs ``a < b`` of nodes (digest, n, orders, label, sig) near in some order, alike in size and of different labels.
+    """Pairs ``a < b`` of nodes (digest, n, orders, sketch, label) near in some order and alike in size.
 
-    ``orders`` holds the keys of the node in each tree. ``dense``: the last of ``reach`` neighbours still
-    shares a deep prefix, so there may be more like it beyond. again: a later round over dense regions,
-    which compares signatures at once.
+    ``orders`` holds the keys of the node in each tree. ``likely``: their sketches agree about as often as those of linked
+    nodes would. ``dense``: the last of ``reach`` neighbours still shares a deep prefix, so there may be more like it
+    beyond. again: a later round over dense regions, of likely pairs of different labels only.
     """
     step = 2 * depth
+    least = least_agreement(percent, SLACK_AGAIN if again else SLACK)
 
     def run(batches):
         held = None
@@ -147,7 +167,8 @@ def neighbours(nodes: DataFrame, percent: int, trees: int, depth: int, reach: in
                 "tree": batch.column("tree").to_numpy(),
                 "key": np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint16).reshape(-1, depth),
                 "n": batch.column("n").to_numpy(),
-            } | {c: np.array(batch.column(c).to_pylist(), object) for c in ("digest", *["label", "sig"] * again)}
+                "sketch": np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH // 2),
+            } | {c: np.array(batch.column(c).to_pylist(), object) for c in ("digest", *["label"] * again)}
             fresh = 0 if held is None else len(held["tree"])
             if held is not None:
                 columns = {k: np.concatenate([held[k], v]) for k, v in columns.items()}
@@ -161,35 +182,24 @@ def neighbours(nodes: DataFrame, percent: int, trees: int, depth: int, reach: in
                 dense = alike[:, :DENSE_DEPTH].all(axis=1) & (r == reach)
                 if again:
                     fit &= columns["label"][a] != columns["label"][b]
-                    at = np.flatnonzero(fit)
-                    x, y = (np.frombuffer(b"".join(columns["sig"][i[at]]), np.uint16).reshape(-1, TREES * DEPTH) for i in (a, b))
-                    fit[at] = (x == y).mean(axis=1) >= percent / 100 - SLACK_AGAIN
-                found.append((columns["digest"][a[fit]], columns["digest"][b[fit]], dense[fit]))
+                likely = fit.copy()
+                likely[fit] = agreement(columns["sketch"][a[fit]], columns["sketch"][b[fit]]) >= least
+                if again:
+                    fit = likely
+                found.append((columns["digest"][a[fit]], columns["digest"][b[fit]], dense[fit], likely[fit]))
             held = {k: v[-reach:] for k, v in columns.items()}
-            left, right, dense = (np.concatenate(x) for x in zip(*found, strict=True))
+            left, right, dense, likely = (np.concatenate(x) for x in zip(*found, strict=True))
             swap = left > right
             pairs = [np.where(swap, right, left), np.where(swap, left, right)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in pairs), pa.array(dense)], names=["a", "b", "dense"])
+            columns = [*(pa.array(x, pa.binary()) for x in pairs), pa.array(dense), pa.array(likely)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "dense", "likely"])
 
     number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    orders = nodes.select("digest", "n", "orders", *["label", "sig"] * again, number)
+    orders = nodes.select("digest", "n", "orders", "sketch", *["label"] * again, number)
     orders = orders.withColumn("key", F.col("orders").substr(F.col("tree") * step + 1, F.lit(step))).drop("orders")
     orders = orders.repartitionByRange(partitions(nodes.sparkSession), "tree", "key", "n", "digest").sortWithinPartitions("tree", "key", "n", "digest")
-    return orders.mapInArrow(run, "a binary, b binary, dense boolean").groupBy("a", "b").agg(F.max("dense").alias("dense"))
-
-
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose signatures agree about as often as linked ones would."""
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, TREES * DEPTH) for c in ("sig_a", "sig_b"))
-            keep = pa.array((x == y).mean(axis=1) >= percent / 100 - SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
-    a = nodes.select(F.col("digest").alias("a"), F.col("sig").alias("sig_a"))
-    b = nodes.select(F.col("digest").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+    pairs = orders.mapInArrow(run, "a binary, b binary, dense boolean, likely boolean")
+    return pairs.groupBy("a", "b").agg(F.max("dense").alias("dense"), F.max("likely").alias("likely"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,8 +263,8 @@ def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, l
                 lists = batch.column("hashes")
                 values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
                 each = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                columns = [pa.array([signature(x) for x in each], pa.binary()), pa.array([signature(x, seeds) for x in each], pa.binary()), pa.array(np.diff(ends).astype("i8"))]
-                yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("label"), *columns], names=["digest", "label", "sig", "orders", "n"])
+                columns = [pa.array([sketch(signature(x)) for x in each], pa.binary()), pa.array([signature(x, seeds) for x in each], pa.binary()), pa.array(np.diff(ends).astype("i8"))]
+                yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("label"), *columns], names=["digest", "label", "sketch", "orders", "n"])
 
         return run
 
@@ -269,7 +279,7 @@ def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, l
         if number == 0:
             near = with_hubs(compared, links, names)
         else:
-            fresh = members.mapInArrow(resigned(number), "digest binary, label binary, sig binary, orders binary, n long")
+            fresh = members.mapInArrow(resigned(number), "digest binary, label binary, sketch binary, orders binary, n long")
             near = neighbours(stored(fresh, "resigned"), percent, trees, depth, reach, True).select("a", "b")
         number += 1
         tried = stored(near.join(compared, ["a", "b"], "left_anti"), "tried")
@@ -303,10 +313,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = stored(features(ids, width), "features")
     n_rows = rows.count()
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))
-    groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig")).alias("rep"))
-    groups = stored(groups.select("digest", "first", "size", "rep._row", "rep.n", "rep.sig"), "nodes")
+    groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig", "sketch")).alias("rep"))
+    groups = stored(groups.select("digest", "first", "size", "rep._row", "rep.n", "rep.sig", "rep.sketch"), "nodes")
     near = stored(neighbours(groups.withColumn("orders", F.col("sig")), percent, TREES, DEPTH, REACH, False), "near")
-    pairs = stored(likely(near, groups, percent), "pairs")
+    pairs = near.where("likely").select("a", "b")
     crowded = near.where("dense")
     if pairs.isEmpty() and crowded.isEmpty():
         labelled = groups.select("digest", "size", "first")
