@@ -152,8 +152,8 @@ def neighbours(nodes: DataFrame, percent: int, trees: int, depth: int, reach: in
     """Pairs ``a < b`` of nodes (digest, n, orders, sketch, label) near in some order and alike in size.
 
     ``orders`` holds the keys of the node in each tree. ``likely``: their sketches agree about as often as those of linked
-    nodes would. ``dense``: the last of ``reach`` neighbours still shares a deep prefix, so there may be more like it
-    beyond. again: a later round over dense regions, of likely pairs of different labels only.
+    nodes would. ``deep``: they share a deep prefix. ``dense``: even as the last of ``reach`` neighbours, so there may be
+    more like them beyond. again: a later round over dense regions, of likely pairs of different labels only.
     """
     step = 2 * depth
     least = least_agreement(percent, SLACK_AGAIN if again else SLACK)
@@ -179,27 +179,27 @@ def neighbours(nodes: DataFrame, percent: int, trees: int, depth: int, reach: in
                 alike = columns["key"][a] == columns["key"][b]
                 na, nb = columns["n"][a], columns["n"][b]
                 fit = alike[:, :MIN_DEPTH].all(axis=1) & (columns["tree"][a] == columns["tree"][b]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                dense = alike[:, :DENSE_DEPTH].all(axis=1) & (r == reach)
+                deep = alike[:, :DENSE_DEPTH].all(axis=1)
                 if again:
                     fit &= columns["label"][a] != columns["label"][b]
                 likely = fit.copy()
                 likely[fit] = agreement(columns["sketch"][a[fit]], columns["sketch"][b[fit]]) >= least
                 if again:
                     fit = likely
-                found.append((columns["digest"][a[fit]], columns["digest"][b[fit]], dense[fit], likely[fit]))
+                found.append((columns["digest"][a[fit]], columns["digest"][b[fit]], deep[fit], deep[fit] & (r == reach), likely[fit]))
             held = {k: v[-reach:] for k, v in columns.items()}
-            left, right, dense, likely = (np.concatenate(x) for x in zip(*found, strict=True))
+            left, right, *flags = (np.concatenate(x) for x in zip(*found, strict=True))
             swap = left > right
             pairs = [np.where(swap, right, left), np.where(swap, left, right)]
-            columns = [*(pa.array(x, pa.binary()) for x in pairs), pa.array(dense), pa.array(likely)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "dense", "likely"])
+            columns = [*(pa.array(x, pa.binary()) for x in pairs), *map(pa.array, flags)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "deep", "dense", "likely"])
 
     number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     orders = nodes.select("digest", "n", "orders", "sketch", *["label"] * again, number)
     orders = orders.withColumn("key", F.col("orders").substr(F.col("tree") * step + 1, F.lit(step))).drop("orders")
     orders = orders.repartitionByRange(partitions(nodes.sparkSession), "tree", "key", "n", "digest").sortWithinPartitions("tree", "key", "n", "digest")
-    pairs = orders.mapInArrow(run, "a binary, b binary, dense boolean, likely boolean")
-    return pairs.groupBy("a", "b").agg(F.max("dense").alias("dense"), F.max("likely").alias("likely"))
+    pairs = orders.mapInArrow(run, "a binary, b binary, deep boolean, dense boolean, likely boolean")
+    return pairs.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("deep", "dense", "likely")))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,8 +251,11 @@ def with_hubs(pairs: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame
 def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different labels of ``labels`` (node, label) that ``REACH`` was too short for.
 
-    Nodes are first compared with the hubs of the components around them. Then those of dense regions go through rounds of fresh trees, more and deeper ones, which pass over
-    pairs of one label, until two rounds running link no labels that were not linked before.
+    Nodes are first compared with the hubs of the components around them. Then those of dense regions go through rounds of
+    fresh trees, more and deeper ones, which pass over pairs of one label, until two rounds running link no labels that were
+    not linked before. A region is what deep prefixes and likely pairs connect. One whose nodes are all in one component has
+    nothing to be linked; one in which two rounds running met no pair that had not been compared is searched out. Neither
+    goes on.
     """
     trees, depth, reach = AGAIN
 
@@ -270,16 +273,18 @@ def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, l
 
     dense = pairs.where("dense").select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     named = labels.withColumnRenamed("node", "digest")
-    members = sets.join(dense, "digest").join(named, "digest", "left").select("digest", "hashes", F.coalesce("label", "digest").alias("label"))
-    members = stored(members, "dense")
-    names = members.select("digest", "label")
+    regions = components(pairs.where("deep OR likely")).toDF("digest", "region")
+    members = sets.join(dense, "digest").join(named, "digest", "left").join(regions, "digest")
+    members = stored(members.select("digest", "hashes", F.coalesce("label", "digest").alias("label"), "region"), "dense")
+    names, n_members = members.select("digest", "label"), members.count()
+    searched, sizes, before = members, None, None
     linked, compared = None, pairs.select("a", "b")
     number = quiet = 0
     while True:
         if number == 0:
             near = with_hubs(compared, links, names)
         else:
-            fresh = members.mapInArrow(resigned(number), "digest binary, label binary, sketch binary, orders binary, n long")
+            fresh = searched.mapInArrow(resigned(number), "digest binary, label binary, sketch binary, orders binary, n long")
             near = neighbours(stored(fresh, "resigned"), percent, trees, depth, reach, True).select("a", "b")
         number += 1
         tried = stored(near.join(compared, ["a", "b"], "left_anti"), "tried")
@@ -288,13 +293,22 @@ def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, l
         found = found.join(names.toDF("a", "label_a"), "a").join(names.toDF("b", "label_b"), "b")
         found = found.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
         found = stored(found if linked is None else found.join(linked, ["a", "b"], "left_anti"), "found")
-        if found.isEmpty():
-            quiet += number > 1  # the comparison with hubs is no round
-            if quiet == QUIET_ROUNDS:
-                return found if linked is None else linked
-            continue
-        quiet = 0
+        quiet = quiet + (number > 1) if found.isEmpty() else 0  # the comparison with hubs is no round
         linked = found if linked is None else linked.unionByName(found)
+        if number == 1:
+            joined = components(linked).toDF("label", "lower")
+            now = members.join(joined, "label", "left").select("region", F.coalesce("lower", "label").alias("label"))
+            sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("size"), (F.min("label") < F.max("label")).alias("mixed"))
+            sizes = stored(sizes.where("mixed").select("region", "size"), "regions")
+            active = before = sizes
+        else:
+            ends = tried.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+            met = stored(ends.join(members.select("digest", "region"), "digest").select("region").distinct(), "met")
+            active = sizes.join(met.union(before.select("region")), "region", "left_semi")
+            before = met
+        searched = join_groups(members, active, "region", "size", n_members).select("digest", "label", "hashes")
+        if quiet == QUIET_ROUNDS or active.isEmpty():
+            return linked
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
