@@ -302,7 +302,7 @@ def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, l
             sizes = stored(sizes.where("mixed").select("region", "size"), "regions")
             active = before = sizes
         else:
-            ends = tried.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+            ends = tried.select(F.col("a").alias("digest")).distinct().union(tried.select("b").distinct())
             met = stored(ends.join(members.select("digest", "region"), "digest").select("region").distinct(), "met")
             active = sizes.join(met.union(before.select("region")), "region", "left_semi")
             before = met
