@@ -7,6 +7,10 @@ share adapts to the region: in a dense one neighbours agree on many hashes, in a
 pairs that agree on fewer than ``MIN_DEPTH`` are dropped. A candidate pair becomes a link only after its
 full sets have been compared. Components are found on the links by label propagation with pointer
 jumping. Orders are range-partitioned, so that no bucket, however popular, meets in one task.
+
+The forest finds most links, but may miss some. An exact join over all nodes finds the rest: two linked
+sets share a shingle among the first few of each, in any order common to all sets (rare ones first, as
+few sets share those). Only nodes of different components are compared, as no others can change the result.
 """
 
 from __future__ import annotations
@@ -42,7 +46,10 @@ HUBS = 24
 BROADCAST_ROWS = 1_000_000
 #: Words whose hashes a worker remembers.
 WORDS = 300_000
-
+#: Documents whose shingles are counted for the order of prefixes, and most shingles of it; others count as rare. Neither changes the result.
+COUNTED, COMMON = 8192, 1 << 18
+#: Nodes that one task compares through one shingle; those of commoner ones are dealt in pairs of blocks.
+BLOCK = 4096
 
 
 class _WordHashes(dict):
@@ -117,24 +124,53 @@ _FACTORS, _ADDENDS = _seeds(0, TREES * DEPTH)
 _PLACES = _seeds(-1, 64)[0]
 
 
-def features(docs: DataFrame, width: int) -> DataFrame:
-    """``_row, doc_id, n, digest, sig, sketch`` of rows with ``_row, doc_id, text``; the last three are null for empty sets."""
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in several of a sample of documents, sorted, and in how many."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(text, width).view(np.int64) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["shingle"])
+
+    every = -(-docs.count() // COUNTED) or 1
+    counts = docs.where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").count()
+    most = counts.where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    found, n = most["shingle"].to_numpy().astype(np.int64).view(np.uint64), most["count"].to_numpy().astype(np.int32)
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def prefix(hashes: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a sorted set's hashes by (count, hash): so many that every linked set has one of them among its own first."""
+    size = len(hashes) - -(-percent * len(hashes) // 100) + 1
+    known, n = common
+    if not len(known):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    counts = np.where(known[at] == hashes, n[at], 0)
+    return hashes[np.argsort(counts, kind="stable")[:size]]
+
+
+def features(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``_row, doc_id, n, digest, sig, sketch, prefix`` of rows with ``_row, doc_id, text``; the last four are null for empty sets."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         for batch in batches:
-            sizes, digests, sigs = [], [], []
+            sizes, digests, sigs, firsts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
+                firsts.append(prefix(s, percent, shared.value).view(np.int64) if len(s) else None)
             sketches = [s and sketch(s) for s in sigs]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, sketches))],
-                names=["_row", "doc_id", "n", "digest", "sig", "sketch"],
+                [batch.column("_row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, sketches)), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["_row", "doc_id", "n", "digest", "sig", "sketch", "prefix"],
             )
 
-    return docs.mapInArrow(run, "_row long, doc_id long, n long, digest binary, sig binary, sketch binary")
+    return docs.mapInArrow(run, "_row long, doc_id long, n long, digest binary, sig binary, sketch binary, prefix array<long>")
 
 
 def shingles(docs: DataFrame, width: int) -> DataFrame:
@@ -311,6 +347,89 @@ def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, l
             return linked
 
 
+def meetings(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that share a ``key``, unless sizes or places rule a link out.
+
+    postings: ``key, n, at, node, label, side``: a node's set has ``n`` shingles, the key at place ``at``. Nodes meet if their
+    sides differ or are 0.
+    """
+    names = ["key", "n", "at", "node", "label", "side"]
+
+    def met(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
+        mixed = np.minimum.reduceat(c["label"], starts) < np.maximum.reduceat(c["label"], starts)
+        kept = np.repeat(mixed, np.diff(np.append(starts, len(c["key"]))))
+        c = {k: v[kept] for k, v in c.items()}
+        found, a, step = [np.zeros((0, 2), np.int64)], np.arange(len(c["key"])), 1
+        while len(a):
+            a = a[a + step < len(c["key"])]
+            b = a + step
+            # Within a key sizes grow: once one is too large, so are all that follow.
+            near = (c["key"][a] == c["key"][b]) & (100 * c["n"][a] >= percent * c["n"][b])
+            a, b = a[near], b[near]
+            fit = (c["label"][a] != c["label"][b]) & ((c["side"][a] == 0) | (c["side"][a] != c["side"][b]))
+            rest = np.minimum(c["n"][a] - c["at"][a], c["n"][b] - c["at"][b])  # no more is shared if this is the first place shared
+            fit &= (100 + percent) * rest >= percent * (c["n"][a] + c["n"][b])
+            if fit.any():
+                found.append(np.sort(np.stack([c["node"][a[fit]], c["node"][b[fit]]], axis=1), axis=1))
+            step += 1
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            fresh = {k: batch.column(k).to_numpy() for k in names}
+            if held and held[0]["key"][0] == fresh["key"][-1]:
+                held.append(fresh)
+                continue
+            last = int(np.searchsorted(fresh["key"], fresh["key"][-1]))
+            whole = [*held, {k: v[:last] for k, v in fresh.items()}]
+            held = [{k: v[last:] for k, v in fresh.items()}]
+            if last or len(whole) > 1:
+                yield met({k: np.concatenate([x[k] for x in whole]) for k in names})
+        if held:
+            yield met({k: np.concatenate([x[k] for x in held]) for k in names})
+
+    dealt = postings.select(*names).repartition(partitions(postings.sparkSession), "key").sortWithinPartitions("key", "n", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def missed_links(rows: DataFrame, nodes: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links (a, b) between labels of ``nodes`` (digest, _row, n, label), by an exact join on the prefixes of ``rows``."""
+    spark = rows.sparkSession
+    # As with shingles, 64 bits of a label stand for it.
+    named = nodes.select("_row", "n", F.xxhash64("label").alias("label"))
+    postings = rows.select("_row", "prefix").join(named, "_row").select(F.posexplode("prefix").alias("at", "key"), "n", F.col("_row").alias("node"), "label")
+    postings = stored(postings, "postings")
+    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("count"), (F.min("label") < F.max("label")).alias("mixed"))
+    hot = stored(counts.where(F.col("count") > BLOCK).select("key", "mixed", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
+    columns = ["key", "n", "at", "node", "label"]
+    if hot.isEmpty():
+        dealt = postings.withColumn("side", F.lit(0))
+    else:
+        marked = postings.join(F.broadcast(hot), "key", "left")
+        rest = marked.where("blocks IS NULL").select(*columns, F.lit(0).alias("side"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        blocks = marked.where("mixed").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        blocks = blocks.withColumn("side", side).withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        dealt = rest.unionByName(blocks.select(*columns, "side"))
+    pairs = stored(meetings(dealt, percent), "meetings")
+    discard(postings)
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct().join(nodes.select("_row", "digest"), "_row"), "needed")
+    sets = stored(shingles(ids.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "_row"), width), "sets")
+    digests = nodes.select("_row", "digest", "label")
+    a, b = digests.toDF("a", "digest_a", "label_a"), digests.toDF("b", "digest_b", "label_b")
+    named = stored(pairs.join(a, "a").join(b, "b").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "label_a", "label_b"), "named")
+    found = confirmed(named.select("a", "b"), sets, percent).join(named, ["a", "b"])
+    found = stored(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "missed")
+    discard(sets)
+    return found
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: ``_row, doc_id, n_shingles, component_id, kept``.
 
@@ -321,10 +440,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     with that id (of repeated rows, one). Empty and null texts have no shingles and no links. Null ids
     are greater than all others. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     ids = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = stored(features(ids, width), "features")
+    rows = stored(features(ids, width, percent, common_shingles(ids, width)), "features")
     n_rows = rows.count()
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))
     groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig", "sketch")).alias("rep"))
@@ -333,7 +451,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = near.where("likely").select("a", "b")
     crowded = near.where("dense")
     if pairs.isEmpty() and crowded.isEmpty():
-        labelled = groups.select("digest", "size", "first")
+        named = groups.withColumn("label", F.col("digest"))
     else:
         needed = pairs.select("a", "b").union(crowded.select("a", "b")).select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(groups.select("digest", "_row"), "digest")
         needed = stored(needed, "needed")
@@ -348,11 +466,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         named = groups.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         if further is not None:  # these link labels, not nodes
             named = named.join(further.toDF("label", "lower"), "label", "left").withColumn("label", F.coalesce("lower", "label"))
-        of_component = named.groupBy("label").agg(F.min("first").alias("least"))
-        # Components may be large: the few that hold many nodes go to every task.
-        counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
-        labelled = join_groups(named.select("digest", "size", "label"), of_component.join(counts, "label"), "label", "nodes", n_rows).select("digest", "size", F.col("least").alias("first"))
-        labelled = stored(labelled, "labelled")
+    named = stored(named.select("digest", "first", "size", "_row", "n", "label"), "named")
+    missed = missed_links(rows, named, ids, width, percent)
+    if not missed.isEmpty():
+        named = named.join(components(missed).toDF("label", "lower"), "label", "left").withColumn("label", F.coalesce("lower", "label"))
+    of_component = named.groupBy("label").agg(F.min("first").alias("least"))
+    # Components may be large: the few that hold many nodes go to every task.
+    counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
+    labelled = join_groups(named.select("digest", "size", "label"), of_component.join(counts, "label"), "label", "nodes", n_rows).select("digest", "size", F.col("least").alias("first"))
+    labelled = stored(labelled, "labelled")
     whole = join_groups(rows.where("n > 0").select("_row", "doc_id", "n", "digest"), labelled, "digest", "size", n_rows)
     whole = whole.select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("_row") == F.col("first._row")).alias("kept"))
     empty = rows.where("n = 0").select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))

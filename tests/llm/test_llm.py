@@ -374,3 +374,58 @@ def test_pipeline(spark, sf_dir, documents):
     kept = [(i, t) for i, t in zip(documents.doc_id, documents.text, strict=True) if t and re.search(r"[^\W\d_]", t) and lowered[t.encode().lower()] == i]
     want = {i for i, (_, c) in brute_components(kept, 5, 80).items() if i == c}
     assert set(got.doc_id) == want
+
+
+def test_near_duplicates_between_two_crowded_families(spark, tmp_path):
+    """One pair at the threshold joins two families whose members all stand nearer to their own."""
+    source = random.Random(5)
+    x = [f"c{i}" for i in range(400)]
+    y = x[:368] + [f"y{i}" for i in range(32)]  # 366 of 398 + 32 shingles of 3 words are shared: 0.851
+    rows = [(1, " ".join(x)), (2, " ".join(y))]
+    for i in range(1200):
+        copy = list(x if i % 2 else y)
+        for k in range(2):
+            copy[source.randrange(360)] = f"{i}.{k}"
+        rows.append((10 + i, " ".join(copy)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = minhash.near_duplicates(spark.read.parquet(str(tmp_path / "d")), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 85)
+
+
+def test_near_duplicates_in_a_shared_template(spark, tmp_path):
+    """Thousands of texts at about 0.7 around pairs at the threshold."""
+    source = random.Random(6)
+    template = [f"t{i}" for i in range(170)]
+    rows = []
+    for i in range(1500):
+        own = [f"{i}.{k}" for k in range(32)]
+        rows.append((2 * i, " ".join(template + own)))
+        if i % 10 == 0:  # shares 184 of 200 + 16 shingles: 0.852
+            rows.append((2 * i + 1, " ".join(template + own[:16] + [f"{i}.{k}." for k in range(16)])))
+    source.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = minhash.near_duplicates(spark.read.parquet(str(tmp_path / "d")), 3, 85).collect()
+    want = {i: 2 * (i // 2) for i, _ in rows}
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_missed_links_alone(spark, tmp_path, monkeypatch, block):
+    """The exact join finds every link without the forest, with common shingles dealt in blocks as well."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    source = random.Random(7)
+    rows = []
+    for i in range(60):
+        words = [f"f{i % 3}.{k}" for k in range(80)]
+        for _ in range(source.randint(0, 9)):
+            words[source.randrange(80)] = f"w{source.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = minhash.row_key(spark.read.parquet(str(tmp_path / "d")))
+    found = minhash.features(docs, 3, 80, minhash.common_shingles(docs, 3)).cache()
+    nodes = found.select("digest", "_row", "n", F.col("digest").alias("label"), "doc_id").dropDuplicates(["digest"]).cache()
+    named = {bytes(r["digest"]): r["doc_id"] for r in nodes.collect()}
+    got = {tuple(sorted((named[bytes(r["a"])], named[bytes(r["b"])]))) for r in minhash.missed_links(found, nodes, docs, 3, 80).collect()}
+    sets = {i: set(minhash.shingle_set(t, 3).tolist()) for i, t in rows if i in named.values()}
+    want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert got == want and want
