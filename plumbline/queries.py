@@ -354,8 +354,9 @@ def rrf_fusion(spark, d):
 
 def _hybrid(spark: SparkSession, d: str, part: str = "id >= 0") -> DataFrame:
     vectors, _ = _vectors(spark, d)
-    chunks = docs(spark, d).join(vectors, "id").where(part).withColumn("heading_context", F.substring("content", 1, 60))
-    asked = _asked(spark, AND_QUERIES).join(vectors.withColumnRenamed("id", "query_id"), "query_id")
+    # Documents without a vector are found by words alone; the heading is the title anywhere in the text, if it has one.
+    chunks = docs(spark, d).join(vectors, "id", "left").where(part).withColumn("heading_context", F.coalesce(tx.title(F.col("content")), F.lit("")))
+    asked = _asked(spark, AND_QUERIES).join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
     return retrieval.hybrid(chunks, asked, 5, EngineConfig())
 
 

@@ -37,3 +37,16 @@ def test_query_equals_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_query_runs(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_hybrid_search_finds_documents_without_a_vector(spark, tmp_path):
+    """The best texts by words have no vector; one of them says its heading late."""
+    text = "filler " * 40 + "the and"
+    rows = [(i, text if i >= 20 else "nothing of it", "en", "x", 9) for i in range(30)]
+    rows[25] = (25, text + "\n# the and", "en", "x", 9)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "vec_id long, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("hybrid_search", "banks_merged"):
+        got = [r["id"] for r in queries.QUERIES[name](spark, str(tmp_path)).where("query_id = 0").collect()]
+        assert any(i >= 20 for i in got) and 25 in got
