@@ -30,7 +30,7 @@ class Mapping:
 
     ``parts``: (path, role) pairs of single texts, in order. ``turns``: path of a list of turns, whose
     items keep role and text under ``role`` and ``text``. ``join``: further paths whose text is put behind
-    the first part with a blank line.
+    the first part that is no system text with a blank line.
     """
 
     parts: tuple[tuple[str, str], ...] = ()
@@ -56,6 +56,13 @@ LAYOUTS: list[tuple[tuple[str, ...], Mapping]] = [
     (("instruction", "input", "output"), Mapping(parts=(("instruction", "user"), ("output", "assistant")), join=("input",))),
     (("prompt[].role", "prompt[].content", "completion"), Mapping(turns="prompt", role="role", text="content", parts=(("completion", "assistant"),))),
 ]
+LAYOUTS += [(("system", *paths), Mapping(parts=(("system", "system"), *m.parts), join=m.join)) for paths, m in LAYOUTS if m.parts and not m.turns]
+LAYOUTS += [
+    # The prompt repeats the first message, the text what prompt and completion hold.
+    (("messages[].role", "messages[].content", "prompt"), Mapping(turns="messages", role="role", text="content")),
+    (("system", "messages[].role", "messages[].content", "prompt"), Mapping(parts=(("system", "system"),), turns="messages", role="role", text="content")),
+    (("prompt", "completion", "text"), Mapping(parts=(("prompt", "user"), ("completion", "assistant")))),
+]
 KNOWN = {path for paths, _ in LAYOUTS for path in paths}
 
 
@@ -94,7 +101,7 @@ def canonical_turns(record: dict) -> list[Turn] | None:
     texts = [[role, str(present.get(path) or "")] for path, role in mapping.parts]
     for path in mapping.join:
         if present.get(path):
-            texts[0][1] += f"\n\n{present[path]}"
+            next(t for t in texts if t[0] != "system")[1] += f"\n\n{present[path]}"
     listed = [[ROLES.get(r := str(t.get(mapping.role) or ""), r), str(t.get(mapping.text) or "")] for t in present.get(mapping.turns) or []] if mapping.turns else []
     before = [t for t in texts if t[0] == "system"] if listed else texts
     return [(r, t) for r, t in [*before, *listed, *([t for t in texts if t[0] != "system"] if listed else [])]]
@@ -103,7 +110,8 @@ def canonical_turns(record: dict) -> list[Turn] | None:
 def turns_of_json(records: DataFrame, column: str = "record") -> DataFrame:
     """Turn rows (conv_id, turn, role, text) of rows with ``conv_id`` and a JSON text, by its layout.
 
-    Null, broken and empty records and unknown layouts give no turns.
+    Null and broken records and those that are no objects give no turns. An object of unknown layout gives one row that
+    holds its JSON as the text; null ``turn`` and ``role`` flag it.
     """
     bounded_batches(records.sparkSession)
 
@@ -115,7 +123,9 @@ def turns_of_json(records: DataFrame, column: str = "record") -> DataFrame:
                     record = json.loads(text) if text else None
                 except ValueError:
                     record = None
-                turns = canonical_turns(record) if isinstance(record, dict) else None
+                turns = canonical_turns(record) if isinstance(record, dict) else []
+                if turns is None:
+                    out.append((conv, None, None, text))
                 out += [(conv, i, role, said) for i, (role, said) in enumerate(turns or [])]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["conv_id", "turn", "role", "text"])
@@ -173,9 +183,10 @@ def ordered_turns(rows: DataFrame) -> DataFrame:
     passed over. Null turns come first, equal turns follow by role and text. Rows are streamed, so a
     conversation of any length needs no more memory than a batch.
     """
-    if REGISTRY.get(fingerprint(schema_paths(rows.schema))) is not LAYOUTS[0][1]:
+    mapping = REGISTRY.get(fingerprint(schema_paths(rows.schema)))
+    if mapping is not LAYOUTS[0][1]:
         raise ValueError(f"no mapping for the layout {sorted(schema_paths(rows.schema))}")
-    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(mapping.role, F.lit("")).alias("role"), F.coalesce(mapping.text, F.lit("")).alias("text"))
     return turns.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 

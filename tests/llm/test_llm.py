@@ -429,3 +429,12 @@ def test_missed_links_alone(spark, tmp_path, monkeypatch, block):
     sets = {i: set(minhash.shingle_set(t, 3).tolist()) for i, t in rows if i in named.values()}
     want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert got == want and want
+
+
+def test_chat_layouts_in_combination(spark):
+    assert chat.canonical_turns({"system": "s", "prompt": "q", "response": "a"}) == [("system", "s"), ("user", "q"), ("assistant", "a")]
+    assert chat.canonical_turns({"system": "s", "instruction": "do", "input": "this", "output": "done"}) == [("system", "s"), ("user", "do\n\nthis"), ("assistant", "done")]
+    assert chat.canonical_turns({"messages": [{"role": "user", "content": "q"}], "prompt": "q"}) == [("user", "q")]
+    assert chat.canonical_turns({"prompt": "q", "completion": "a", "text": "qa"}) == [("user", "q"), ("assistant", "a")]
+    records = spark.createDataFrame([(1, '{"strange":1}')], "conv_id long, record string")
+    assert [tuple(r) for r in chat.turns_of_json(records).collect()] == [(1, None, None, '{"strange":1}')]
