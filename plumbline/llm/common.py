@@ -29,10 +29,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; set to a temporary one only where it is unset."""
+    """The shared folder of the session; where it is unset, one for a session on one machine, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not at.isDefined() and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = at.get() if at.isDefined() else "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -61,6 +63,43 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: The type of a row's key.
+KEY = "struct<file: bigint, at: bigint>"
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with underscores before it until no column has that name, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Names of columns as ``select`` takes them, whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+def _read_from_files(df: DataFrame) -> bool:
+    """Whether each row is a row of a Parquet file: nothing but projections and filters lies between."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return "parquet" in plan.simpleString(20) and plan.nodeName().startswith(("LogicalRelation", "Relation"))
+
+
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """Adds a key of its own to each row, the same whenever and by whomever the result is read.
+
+    Rows of Parquet files are known by the hash of the file's path and their place in it, whatever the splits. Rows of any
+    other source are numbered once, in a copy in the shared folder.
+    """
+    if _read_from_files(df):
+        at = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at")))
+    return stored(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "keyed")
+
+
 def row_key(df: DataFrame, name: str = "_row") -> DataFrame:
     """Adds a number of its own to each row; the source must list its rows alike each time, as files do."""
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -87,3 +126,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     done = marked.where(is_hot).select(*rows.columns, *(F.col(f"hot_{c}").alias(c) for c in values))
     rest = marked.where(~is_hot).select(*rows.columns).join(groups, key).select(*rows.columns, *values)
     return done.unionByName(rest)
+
+
+#: Keys that are sent to all tasks (16 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is not in ``dropped``, a stored table of that one column."""
+    few = dropped.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(dropped) if few else dropped, key, "left_anti")

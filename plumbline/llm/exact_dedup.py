@@ -11,15 +11,14 @@ digests.
 
 from __future__ import annotations
 
-import hashlib
+import string
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_batches, join_groups, row_key, stored
+from plumbline.llm.common import join_groups, keyed, quoted, stored
 
 #: Distinct digests of one bucket, on average.
 BUCKET_DIGESTS = 32_768
@@ -85,18 +84,10 @@ class PerfectHash:
         return out
 
 
-def normalised_digests(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``digest``: SHA-256 of the text in UTF-8, A-Z lower-cased; null counts as empty."""
-    bounded_batches(docs.sparkSession)
-    kinds = dict(docs.dtypes)
-
-    def digest(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sums = [hashlib.sha256((x or "").encode().lower()).digest() for x in texts]  # bytes.lower() knows A-Z only
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sums, pa.binary())], names=[*keep, "digest"])
-
-    return docs.select(*keep, "text").mapInArrow(digest, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "digest binary"]))
+def digest_of(text: F.Column) -> F.Column:
+    """SHA-256 of the text in UTF-8, A-Z lower-cased; null counts as empty."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.unhex(F.sha2(lowered.cast("binary"), 256))
 
 
 def summed(rows: DataFrame) -> DataFrame:
@@ -104,8 +95,11 @@ def summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max(F.struct("doc_id", "_row")).alias("winner"), F.count(F.lit(1)).alias("size"))
 
 
+GROUPS = "digest binary, doc_id long, file long, at long, size long"
+
+
 def against_history(history: DataFrame, delivery: DataFrame, n_buckets: int) -> DataFrame:
-    """Groups (digest, winner doc_id and _row, size) of two tables of ``summed`` rows.
+    """Groups (digest, winner doc_id, file and at, size) of two tables of ``summed`` rows.
 
     Each bucket of ``history`` becomes a perfect hash table; the bucket's digests of ``delivery`` are
     looked up in it. Either side may be empty.
@@ -113,49 +107,56 @@ def against_history(history: DataFrame, delivery: DataFrame, n_buckets: int) ->
 
     def bucketed(groups: DataFrame) -> DataFrame:
         lead = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-        return groups.select((lead % n_buckets).alias("bucket"), "digest", F.coalesce("winner.doc_id", F.lit(NO_ID)).alias("doc_id"), "winner._row", "size")
+        return groups.select((lead % n_buckets).alias("bucket"), "digest", F.coalesce("winner.doc_id", F.lit(NO_ID)).alias("doc_id"), "winner._row.*", "size")
 
-    def join(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        def packed(x):
-            return np.frombuffer(b"".join(x), np.uint8).reshape(-1, 32)
+    def digests(rows: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column("digest").to_pylist()), np.uint8).reshape(-1, 32)
 
-        index = PerfectHash(packed(old["digest"]))
-        old = old.iloc[index.order].reset_index(drop=True)  # rows in the order of the slots
-        slot = index.lookup(packed(new["digest"])) if len(new) else np.zeros(0, "i8")
+    def join(old: pa.Table, new: pa.Table) -> pa.Table:
+        index = PerfectHash(digests(old))
+        found = digests(new)
+        slot = index.lookup(found) if len(found) else np.zeros(0, "i8")
         member = slot >= 0
-        if member.any():
-            ids, rows, sizes = (old[c].to_numpy(copy=True) for c in ("doc_id", "_row", "size"))
-            at, theirs = slot[member], new[member]
-            their_id, their_row = theirs["doc_id"].to_numpy(), theirs["_row"].to_numpy()
-            later = (their_id > ids[at]) | ((their_id == ids[at]) & (their_row > rows[at]))
-            ids[at[later]], rows[at[later]] = their_id[later], their_row[later]
-            sizes[at] += theirs["size"].to_numpy()
-            old = old.assign(doc_id=ids, _row=rows, size=sizes)
-        return pd.concat([old, new[~member]] if len(old) else [new], ignore_index=True)[["digest", "doc_id", "_row", "size"]]
-
-    return bucketed(history).groupBy("bucket").cogroup(bucketed(delivery).groupBy("bucket")).applyInPandas(join, "digest binary, doc_id long, _row long, size long")
-
-
-def deduplicate(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        names = ("doc_id", "file", "at", "size")
+        winner = {c: old.column(c).to_numpy()[index.order] for c in names}  # in the order of the slots
+        theirs = {c: new.column(c).to_numpy() for c in names}
+        at, met = slot[member], {c: v[member] for c, v in theirs.items()}
+        same_id, same_file = met["doc_id"] == winner["doc_id"][at], met["file"] == winner["file"][at]
+        later = (met["doc_id"] > winner["doc_id"][at]) | (same_id & ((met["file"] > winner["file"][at]) | (same_file & (met["at"] > winner["at"][at]))))
+        for c in ("doc_id", "file", "at"):
+            winner[c][at[later]] = met[c][later]
+        winner["size"][at] += met["size"]
+        both = np.concatenate([index.slots, found[~member]])
+        packed = pa.Array.from_buffers(pa.binary(32), len(both), [None, pa.py_buffer(np.ascontiguousarray(both))])
+        return pa.table({"digest": packed.cast(pa.binary())} | {c: np.concatenate([winner[c], theirs[c][~member]]) for c in names})
+
+    return bucketed(history).groupBy("bucket").cogroup(bucketed(delivery).groupBy("bucket")).applyInArrow(join, GROUPS)
+
+
+def deduplicate(docs: DataFrame, history: DataFrame | None = None, key: str = "") -> DataFrame:
     """A row per document: ``_row, doc_id, digest, keep_id, group_size, kept``.
 
-    docs: ``doc_id``, ``text`` and any other columns; a row's place in the source is its identity
-    (``_row``, see ``row_key``). Of equal texts the row with the largest ``doc_id`` stays, a null id
-    being the least; of repeated rows with that id, one. Null texts equal empty ones. An empty table
-    gives no rows. history: earlier documents of the same form; without it the rows with an
-    even ``doc_id`` count as the history of the others, so that groups of both kinds go through the tables.
+    docs: ``doc_id``, ``text`` and any other columns; key: the one that ``keyed`` added, which ``_row``
+    repeats. Of equal texts the row with the largest ``doc_id`` stays, a null id being the least; of repeated rows
+    with that id, one. Null texts equal empty ones. An empty table gives no rows. history: earlier documents of
+    the same form; without it the rows with an even ``doc_id`` count as the history of the others, so that
+    groups of both kinds go through the tables.
     """
-    spark = docs.sparkSession
-    ids = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = stored(normalised_digests(ids, ["doc_id", "_row"]), "digests")
+
+    def digested(table: DataFrame, key: str = "") -> DataFrame:
+        wanted = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+        rows = table.select(*(F.col(c).alias("_row") for c in quoted([key])), *wanted) if key else keyed(table.select(*wanted), "_row")
+        return rows.select("_row", "doc_id", digest_of(F.col("text")).alias("digest"))
+
+    rows = stored(digested(docs, key), "digests")
     n_rows = rows.count()
     if history is None:
         first = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)) == 0
         old, new = summed(rows.where(first)), summed(rows.where(~first))
-    else:
-        earlier = row_key(history.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("_row", -1 - F.col("_row"))
-        old, new = summed(normalised_digests(earlier, ["doc_id", "_row"])), summed(rows)
+    else:  # places of earlier rows are negative
+        earlier = digested(history).withColumn("_row", F.struct("_row.file", (-1 - F.col("_row.at")).alias("at")))
+        old, new = summed(earlier), summed(rows)
     groups = stored(against_history(old, new, max(1, -(-n_rows // BUCKET_DIGESTS))), "groups")
-    groups = groups.select("digest", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("keep_id"), F.col("_row").alias("keep_row"), F.col("size").alias("group_size"))
-    found = join_groups(rows, groups, "digest", "group_size", n_rows)
+    keep = [F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("keep_id"), F.struct("file", "at").alias("keep_row")]
+    found = join_groups(rows, groups.select("digest", *keep, F.col("size").alias("group_size")), "digest", "group_size", n_rows)
     return found.select("_row", "doc_id", "digest", "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"))
