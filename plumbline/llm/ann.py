@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import row_key
+from plumbline.llm.common import stored
 
 #: Rows of the sample that rotations and radius are fitted on.
 SAMPLE_ROWS = 4096
@@ -130,8 +130,8 @@ def search_block(coder: Coder, vectors: np.ndarray, ids: np.ndarray, rows: np.nd
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows with ``_row, vec_id, embedding``, without null, zero and non-finite vectors and those of an unusual length."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = row_key(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
+    rows = stored(rows.select("*", F.monotonically_increasing_id().alias("_row")), "vectors")  # numbers are written with the rows, so they stay
     usual = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("embedding") == (usual["d"] if usual else 0))
 

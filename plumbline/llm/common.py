@@ -100,11 +100,6 @@ def keyed(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "keyed")
 
 
-def row_key(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Adds a number of its own to each row; the source must list its rows alike each time, as files do."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

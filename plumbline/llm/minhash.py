@@ -2,15 +2,21 @@
 
 A document's set are the hashes of its distinct word shingles. Documents with equal sets are one node.
 Each tree of the forest orders all nodes by its own stretch of the signature; a node's candidates are
-those that follow it in the order, the ones with the longest common prefix. How deep a prefix they
-share adapts to the region: in a dense one neighbours agree on many hashes, in a sparse one on few, and
-pairs that agree on fewer than ``MIN_DEPTH`` are dropped. A candidate pair becomes a link only after its
-full sets have been compared. Components are found on the links by label propagation with pointer
-jumping. Orders are range-partitioned, so that no bucket, however popular, meets in one task.
-
-The forest finds most links, but may miss some. An exact join over all nodes finds the rest: two linked
-sets share a shingle among the first few of each, in any order common to all sets (rare ones first, as
-few sets share those). Only nodes of different components are compared, as no others can change the result.
+those that follow it in the order, the ones with the longest common prefix. How deep a prefix they share
+adapts to the region: in a crowded one the nearest agree on many hashes, elsewhere on ``LEAD`` at least.
+Orders are range-partitioned, so that no bucket, however popular, meets in one task.
+
+A pair is tried only if its parity bits allow a link. Each shingle of a set flips one of ``PARITY`` bits, so
+two sets differ in at least as many shingles as bits: no link is lost by that. Pairs tried become links
+by a comparison of their full sets. Components are found on the links by contraction.
+
+A node that has more candidates in some order than are taken is crowded. Links that this hid lie between two
+crowded nodes, so an exact join finds them: two linked sets share a shingle among the first few of each,
+in any order common to all sets (rare ones first, as few sets share those). Only nodes of different components
+meet there, as no others can change the result. What remains is the forest's own chance to miss a link: that its nodes
+agree on the leading hashes in no tree, at most (1 - s ** LEAD) ** TREES at a similarity of s: 8e-8 at 0.8, 1e-9 at 0.85.
+Shingles are told apart by 64 bits: two different ones of a pair of sets of a million shingles each are taken for one
+with a chance of 5e-8.
 """
 
 from __future__ import annotations
@@ -20,33 +26,19 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_batches, discard, join_groups, partitions, row_key, stored
-
-TREES, DEPTH = 16, 8
-#: Neighbours taken on each side of a node in each order; dense regions get further rounds.
-REACH = 3
-MIN_DEPTH = 2
-#: How far the sketches of a pair may agree less than a pair at the threshold would on average, for its sets to be compared:
-#: between five and a half and six and a half standard deviations at thresholds of 0.8 and more.
-SLACK = 0.2
-#: The same in later rounds: about four standard deviations.
-SLACK_AGAIN = 0.13
-#: A node whose last neighbour in reach shares so deep a prefix lies in a dense region.
-DENSE_DEPTH = 4
-#: Trees, depth and reach of each further round over dense regions.
-AGAIN = (24, 24, 4)
-#: Rounds in a row without a new link that end the search.
-QUIET_ROUNDS = 2
-#: Nodes of most links of a component that those around it are compared with.
-HUBS = 24
-#: Representatives whose sets are read again are sent to all tasks up to this number (16 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+from plumbline.llm.common import BROADCAST_KEYS, KEY, bounded_batches, discard, join_groups, keyed, partitions, quoted, stored
+
+#: Trees; values of a tree's key, of which the ``LEAD`` first have 32 bits and must be equal, the others 16.
+TREES, DEPTH, LEAD = 16, 6, 2
+#: Places behind a node in each order that are looked at, and candidates taken from them. Nodes with more are crowded.
+REACH, TAKEN = 24, 2
+PARITY = 512
 #: Words whose hashes a worker remembers.
 WORDS = 300_000
-#: Documents whose shingles are counted for the order of prefixes, and most shingles of it; others count as rare. Neither changes the result.
+#: Sets whose shingles are counted for the order of prefixes, and most shingles of it; others count as rare. Neither changes the result.
 COUNTED, COMMON = 8192, 1 << 18
 #: Nodes that one task compares through one shingle; those of commoner ones are dealt in pairs of blocks.
 BLOCK = 4096
@@ -71,6 +63,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _seeds(number: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of a family of hash functions."""
+    source = np.random.default_rng(20_240_613 + number)
+    return source.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), source.integers(0, 2**63, count, dtype=np.uint64)
+
+
+_FACTORS, _ADDENDS = _seeds(0, TREES * DEPTH)
+_PLACES = _seeds(-1, 64)[0]
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The sorted 64-bit hashes of the distinct shingles of ``width`` words; of fewer words, the whole sequence is one."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
@@ -85,395 +87,331 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(hashes: np.ndarray, seeds: tuple[np.ndarray, np.ndarray] | None = None) -> bytes:
-    """The MinHash values of a non-empty set, 16 mixed bits of each, big-endian: bytes order as values do."""
-    factors, addends = seeds or (_FACTORS, _ADDENDS)
-    low = np.full(len(factors), 2**64 - 1, np.uint64)
+def signature(hashes: np.ndarray) -> bytes:
+    """The keys of a non-empty set in all trees, one after another: bytes order as MinHash values do."""
+    low = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), 1024):
-            part = factors[:, None] * hashes[None, at : at + 1024] + addends[:, None]
+            part = _FACTORS[:, None] * hashes[None, at : at + 1024] + _ADDENDS[:, None]
             np.minimum(low, part.min(axis=1), out=low)
         # The least values of a set are small: their leading bits say little, so they are mixed first.
-        return (_mixed(low) >> np.uint64(48)).astype(">u2").tobytes()
-
-
-def sketch(sig: bytes) -> bytes:
-    """The last four bits of each value of a signature: a quarter of its size, for estimates of similarity."""
-    bits = np.frombuffer(sig, ">u2").astype(np.uint8) & 15
-    return (bits[::2] << 4 | bits[1::2]).tobytes()
+        values = _mixed(low).reshape(TREES, DEPTH)
+    lead, rest = (values[:, :LEAD] >> np.uint64(32)).astype(">u4"), (values[:, LEAD:] >> np.uint64(48)).astype(">u2")
+    return np.concatenate([lead.view(np.uint8).reshape(TREES, -1), rest.view(np.uint8).reshape(TREES, -1)], axis=1).tobytes()
 
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The share of equal four-bit values in each row of two matrices of sketches."""
-    differ = x ^ y
-    return 1 - ((differ & 15 != 0).sum(axis=1) + (differ >> 4 != 0).sum(axis=1)) / (2 * x.shape[1])
+LEAD_BYTES, KEY_BYTES = 4 * LEAD, 4 * LEAD + 2 * (DEPTH - LEAD)
 
 
-def least_agreement(percent: int, slack: float) -> float:
-    """What sketches must agree on: different values agree in four bits one time in sixteen."""
-    return percent / 100 + (1 - percent / 100) / 16 - slack
+def parity(hashes: np.ndarray) -> bytes:
+    """Bits that each shingle flips one of: those of two sets differ in no more places than the sets do."""
+    places = (hashes >> np.uint64(64 - (PARITY - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
 
 
-def _seeds(number: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Factors and addends of a family of hash functions."""
-    source = np.random.default_rng(20_240_613 + number)
-    return source.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), source.integers(0, 2**63, count, dtype=np.uint64)
-
+def matrix(values: pa.Array, width: int, kind: type) -> np.ndarray:
+    """Binary values of ``width`` bytes each as rows."""
+    return np.frombuffer(b"".join(values.to_pylist()), kind).reshape(len(values), -1) if len(values) else np.zeros((0, width // np.dtype(kind).itemsize), kind)
 
-_FACTORS, _ADDENDS = _seeds(0, TREES * DEPTH)
-_PLACES = _seeds(-1, 64)[0]
 
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many parity bits the rows of two matrices differ."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
-def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in several of a sample of documents, sorted, and in how many."""
 
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(text, width).view(np.int64) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["shingle"])
-
-    every = -(-docs.count() // COUNTED) or 1
-    counts = docs.where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").count()
-    most = counts.where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
-    found, n = most["shingle"].to_numpy().astype(np.int64).view(np.uint64), most["count"].to_numpy().astype(np.int32)
-    order = np.argsort(found)
-    return found[order], n[order]
-
-
-def prefix(hashes: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first of a sorted set's hashes by (count, hash): so many that every linked set has one of them among its own first."""
-    size = len(hashes) - -(-percent * len(hashes) // 100) + 1
-    known, n = common
-    if not len(known):
-        return hashes[:size]
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    counts = np.where(known[at] == hashes, n[at], 0)
-    return hashes[np.argsort(counts, kind="stable")[:size]]
+def possible(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that differ in ``apart`` shingles at least and have ``sizes`` together can be linked."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
 
 
-def features(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``_row, doc_id, n, digest, sig, sketch, prefix`` of rows with ``_row, doc_id, text``; the last four are null for empty sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def features(docs: DataFrame, width: int) -> DataFrame:
+    """``_row, doc_id, n, digest, sig, parity`` of rows with ``_row, doc_id, text``; the last three are null for empty sets."""
 
     def run(batches):
         for batch in batches:
-            sizes, digests, sigs, firsts = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, width)
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s) if len(s) else None)
-                firsts.append(prefix(s, percent, shared.value).view(np.int64) if len(s) else None)
-            sketches = [s and sketch(s) for s in sigs]
+            sets = [shingle_set(text, width) for text in batch.column("text").to_pylist()]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            sigs, bits = ([f(s) if len(s) else None for s in sets] for f in (signature, parity))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, sketches)), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["_row", "doc_id", "n", "digest", "sig", "sketch", "prefix"],
+                [batch.column("_row"), batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, bits))],
+                names=["_row", "doc_id", "n", "digest", "sig", "parity"],
             )
 
-    return docs.mapInArrow(run, "_row long, doc_id long, n long, digest binary, sig binary, sketch binary, prefix array<long>")
+    return docs.mapInArrow(run, f"_row {KEY}, doc_id long, n long, digest binary, sig binary, parity binary")
 
 
-def shingles(docs: DataFrame, width: int) -> DataFrame:
-    """``digest, hashes`` of rows with ``digest, text``."""
+def shingles(texts: DataFrame, width: int) -> DataFrame:
+    """``node, hashes`` of rows with ``node, text``."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(text, width).view(np.int64) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    return docs.select("digest", "text").mapInArrow(run, "digest binary, hashes array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
 
 
-def neighbours(nodes: DataFrame, percent: int, trees: int, depth: int, reach: int, again: bool) -> DataFrame:
-    """Pairs ``a < b`` of nodes (digest, n, orders, sketch, label) near in some order and alike in size.
-
-    ``orders`` holds the keys of the node in each tree. ``likely``: their sketches agree about as often as those of linked
-    nodes would. ``deep``: they share a deep prefix. ``dense``: even as the last of ``reach`` neighbours, so there may be
-    more like them beyond. again: a later round over dense regions, of likely pairs of different labels only.
-    """
-    step = 2 * depth
-    least = least_agreement(percent, SLACK_AGAIN if again else SLACK)
+def neighbours(nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of ``nodes`` (node, n, sig, parity) by all trees, and the crowded nodes: (a, null)."""
 
     def run(batches):
-        held = None
+        held, seen = None, 0
         for batch in batches:
             if not len(batch):
                 continue
-            columns = {
-                "tree": batch.column("tree").to_numpy(),
-                "key": np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint16).reshape(-1, depth),
-                "n": batch.column("n").to_numpy(),
-                "sketch": np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH // 2),
-            } | {c: np.array(batch.column(c).to_pylist(), object) for c in ("digest", *["label"] * again)}
-            fresh = 0 if held is None else len(held["tree"])
+            c = {k: batch.column(k).to_numpy() for k in ("tree", "n", "node")} | {"lead": matrix(batch.column("lead"), LEAD_BYTES, np.uint8), "parity": matrix(batch.column("parity"), PARITY // 8, np.uint64)}
+            fresh = 0 if held is None else len(held["node"])
             if held is not None:
-                columns = {k: np.concatenate([held[k], v]) for k, v in columns.items()}
-            found = []
-            for r in range(1, reach + 1):
-                a = np.arange(max(0, fresh - r), len(columns["tree"]) - r)  # the later of a pair is new
-                b = a + r
-                alike = columns["key"][a] == columns["key"][b]
-                na, nb = columns["n"][a], columns["n"][b]
-                fit = alike[:, :MIN_DEPTH].all(axis=1) & (columns["tree"][a] == columns["tree"][b]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                deep = alike[:, :DENSE_DEPTH].all(axis=1)
-                if again:
-                    fit &= columns["label"][a] != columns["label"][b]
-                likely = fit.copy()
-                likely[fit] = agreement(columns["sketch"][a[fit]], columns["sketch"][b[fit]]) >= least
-                if again:
-                    fit = likely
-                found.append((columns["digest"][a[fit]], columns["digest"][b[fit]], deep[fit], deep[fit] & (r == reach), likely[fit]))
-            held = {k: v[-reach:] for k, v in columns.items()}
-            left, right, *flags = (np.concatenate(x) for x in zip(*found, strict=True))
-            swap = left > right
-            pairs = [np.where(swap, right, left), np.where(swap, left, right)]
-            columns = [*(pa.array(x, pa.binary()) for x in pairs), *map(pa.array, flags)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "deep", "dense", "likely"])
-
-    number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    orders = nodes.select("digest", "n", "orders", "sketch", *["label"] * again, number)
-    orders = orders.withColumn("key", F.col("orders").substr(F.col("tree") * step + 1, F.lit(step))).drop("orders")
-    orders = orders.repartitionByRange(partitions(nodes.sparkSession), "tree", "key", "n", "digest").sortWithinPartitions("tree", "key", "n", "digest")
-    pairs = orders.mapInArrow(run, "a binary, b binary, deep boolean, dense boolean, likely boolean")
-    return pairs.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("deep", "dense", "likely")))
+                c = {k: np.concatenate([held[k], v]) for k, v in c.items()}
+            size, node, n = len(c["node"]), c["node"], c["n"]
+            taken = np.concatenate([held["taken"], np.zeros(size - fresh, np.int64)]) if held is not None else np.zeros(size, np.int64)
+            # Others of a run may lie beyond the first and last places of a partition.
+            crowded, pairs = [node[fresh : fresh + max(0, REACH - seen)]], []
+            seen += size - fresh
+            for r in range(1, REACH + 1):
+                a = np.arange(max(0, fresh - r), size - r)  # the later of a pair is new
+                a = a[(c["tree"][a] == c["tree"][a + r]) & (c["lead"][a] == c["lead"][a + r]).all(axis=1)]
+                if r == REACH:
+                    crowded += [node[a], node[a + r]]
+                a = a[100 * np.minimum(n[a], n[a + r]) >= percent * np.maximum(n[a], n[a + r])]
+                a = a[possible(distance(c["parity"][a], c["parity"][a + r]), n[a] + n[a + r], percent)]
+                more = taken[a] >= TAKEN
+                crowded += [node[a[more]], node[a[more] + r]]
+                a = a[~more]
+                taken[a] += 1
+                pairs.append(np.sort(np.stack([node[a], node[a + r]], axis=1), axis=1))
+            held = {k: v[-REACH:] for k, v in (c | {"taken": taken}).items()}
+            yield found(np.concatenate(pairs), np.concatenate(crowded))
+        if held is not None:
+            yield found(np.zeros((0, 2), np.int64), held["node"])
+
+    def found(pairs: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+        pairs, crowded = np.unique(pairs, axis=0), np.unique(crowded)
+        a, b = np.concatenate([pairs[:, 0], crowded]), np.concatenate([pairs[:, 1], crowded])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(b)) >= len(pairs))], names=["a", "b"])
+
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    orders = nodes.select("node", "n", "sig", "parity", trees)
+    orders = orders.withColumn("key", F.col("sig").substr(F.col("tree") * KEY_BYTES + 1, F.lit(KEY_BYTES))).drop("sig")
+    orders = orders.repartitionByRange(partitions(nodes.sparkSession), "tree", "key", "n", "node").sortWithinPartitions("tree", "key", "n", "node")
+    return orders.select("tree", F.substring("key", 1, LEAD_BYTES).alias("lead"), "n", "node", "parity").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets."""
-    a = sets.select(F.col("digest").alias("a"), F.col("hashes").alias("set_a"))
-    b = sets.select(F.col("digest").alias("b"), F.col("hashes").alias("set_b"))
+    """The rows of ``pairs`` (a, b and others) with 100 * intersection >= percent * union of their full sets."""
+    a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-    return joined.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+    joined = pairs.join(a, "a").join(b, "b").select(*pairs.columns, both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    return joined.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select(*pairs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` of every node of undirected ``links`` (a, b): the label is the component's least node.
 
-    Each round takes the least label around a node, then that label's own label; the number of rounds
-    grows with the logarithm of a component's width. Every round is a table in the shared folder.
-    """
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other"), "edges")
-    labels = stored(edges.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
-    while True:
-        around = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("least"))
-        lower = labels.join(around, "node").select("node", "label", F.least("label", "least").alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("label").alias("jumped"))
-        moved = lower.join(jump, "least").select("node", F.least("least", "jumped").alias("label"), (F.least("least", "jumped") != F.col("label")).alias("moved"))
-        fresh = stored(moved, "labels")
-        discard(labels)
-        labels = fresh.select("node", "label")
-        labels._scratch = fresh._scratch
-        if fresh.where("moved").isEmpty():
-            discard(edges)
-            return labels
-
-
-def with_hubs(pairs: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of each node with the hubs of every other label that it was compared with.
-
-    Copies of one text may be linked through that text alone. It is among those with the most links of its component, so
-    a node at the edge need not happen to stand beside it in some order.
+    Each round every node takes the least node around it, and that one's own; links between the nodes taken go on
+    to the next round. Rounds shrink, and their number grows with the logarithm of a component's size.
     """
-    ends = pairs.select(F.col("a").alias("digest"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("digest"), F.col("a").alias("other")))
-    seen = ends.join(names.toDF("other", "label"), "other").select("digest", "label").distinct().join(names.toDF("digest", "own"), "digest").where("own <> label")
-    degrees = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("degree"))
-    most = Window.partitionBy("label").orderBy(F.desc("degree"), "digest")  # each task passes on its own first few
-    hubs = degrees.join(names, "digest").withColumn("n", F.row_number().over(most)).where(F.col("n") <= HUBS).select("label", F.col("digest").alias("hub"))
-    met = seen.join(hubs, "label").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"))
-    return met.distinct()
-
-
-def rest_of_dense_regions(pairs: DataFrame, links: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different labels of ``labels`` (node, label) that ``REACH`` was too short for.
-
-    Nodes are first compared with the hubs of the components around them. Then those of dense regions go through rounds of
-    fresh trees, more and deeper ones, which pass over pairs of one label, until two rounds running link no labels that were
-    not linked before. A region is what deep prefixes and likely pairs connect. One whose nodes are all in one component has
-    nothing to be linked; one in which two rounds running met no pair that had not been compared is searched out. Neither
-    goes on.
-    """
-    trees, depth, reach = AGAIN
-
-    def resigned(number: int):
-        def run(batches):
-            seeds = _seeds(number, trees * depth)
-            for batch in batches:
-                lists = batch.column("hashes")
-                values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-                each = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                columns = [pa.array([sketch(signature(x)) for x in each], pa.binary()), pa.array([signature(x, seeds) for x in each], pa.binary()), pa.array(np.diff(ends).astype("i8"))]
-                yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("label"), *columns], names=["digest", "label", "sketch", "orders", "n"])
-
-        return run
-
-    dense = pairs.where("dense").select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    named = labels.withColumnRenamed("node", "digest")
-    regions = components(pairs.where("deep OR likely")).toDF("digest", "region")
-    members = sets.join(dense, "digest").join(named, "digest", "left").join(regions, "digest")
-    members = stored(members.select("digest", "hashes", F.coalesce("label", "digest").alias("label"), "region"), "dense")
-    names, n_members = members.select("digest", "label"), members.count()
-    searched, sizes, before = members, None, None
-    linked, compared = None, pairs.select("a", "b")
-    number = quiet = 0
-    while True:
-        if number == 0:
-            near = with_hubs(compared, links, names)
-        else:
-            fresh = searched.mapInArrow(resigned(number), "digest binary, label binary, sketch binary, orders binary, n long")
-            near = neighbours(stored(fresh, "resigned"), percent, trees, depth, reach, True).select("a", "b")
-        number += 1
-        tried = stored(near.join(compared, ["a", "b"], "left_anti"), "tried")
-        compared = compared.unionByName(tried)
-        found = confirmed(tried, members, percent)
-        found = found.join(names.toDF("a", "label_a"), "a").join(names.toDF("b", "label_b"), "b")
-        found = found.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
-        found = stored(found if linked is None else found.join(linked, ["a", "b"], "left_anti"), "found")
-        quiet = quiet + (number > 1) if found.isEmpty() else 0  # the comparison with hubs is no round
-        linked = found if linked is None else linked.unionByName(found)
-        if number == 1:
-            joined = components(linked).toDF("label", "lower")
-            now = members.join(joined, "label", "left").select("region", F.coalesce("lower", "label").alias("label"))
-            sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("size"), (F.min("label") < F.max("label")).alias("mixed"))
-            sizes = stored(sizes.where("mixed").select("region", "size"), "regions")
-            active = before = sizes
-        else:
-            ends = tried.select(F.col("a").alias("digest")).distinct().union(tried.select("b").distinct())
-            met = stored(ends.join(members.select("digest", "region"), "digest").select("region").distinct(), "met")
-            active = sizes.join(met.union(before.select("region")), "region", "left_semi")
-            before = met
-        searched = join_groups(members, active, "region", "size", n_members).select("digest", "label", "hashes")
-        if quiet == QUIET_ROUNDS or active.isEmpty():
-            return linked
-
-
-def meetings(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different labels that share a ``key``, unless sizes or places rule a link out.
-
-    postings: ``key, n, at, node, label, side``: a node's set has ``n`` shingles, the key at place ``at``. Nodes meet if their
-    sides differ or are 0.
+    a, b = F.least("a", "b"), F.greatest("a", "b")
+    edges = stored(links.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "edges")
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+        around = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+        least = stored(around.select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "least")
+        step = stored(least.join(least.toDF("up", "top"), "up").select("node", F.col("top").alias("label")), "step")
+        discard(least)
+        fresh = edges.join(step.toDF("a", "top_a"), "a").join(step.toDF("b", "top_b"), "b").where("top_a <> top_b")
+        fresh = stored(fresh.select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges = fresh
+        steps.append(step)
+    labels = steps.pop()
+    while steps:  # the last step is the smallest
+        labels = steps.pop().join(labels.toDF("label", "lower"), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return stored(labels, "labels")
+
+
+def relabelled(rows: DataFrame, lower: DataFrame) -> DataFrame:
+    """``rows`` with ``label`` put through ``lower`` (node, label), where it is in there."""
+    return rows.join(lower.toDF("label", "lower"), "label", "left").withColumn("label", F.coalesce("lower", "label")).select(*rows.columns)
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in several of a sample of ``sets`` (node, hashes), sorted, and in how many."""
+
+    def run(batches):
+        for batch in batches:
+            values, counts = np.unique(batch.column("hashes").flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["shingle", "n"])
+
+    every = -(-sets.count() // COUNTED) or 1
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("hashes")
+    counts = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("count"))
+    most = counts.where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    found, n = most["shingle"].to_numpy().astype(np.int64).view(np.uint64), most["count"].to_numpy().astype(np.int32)
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def prefix(hashes: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a sorted set's hashes by (count, hash): so many that every linked set has one of them among its own first."""
+    size = len(hashes) - -(-percent * len(hashes) // 100) + 1
+    known, n = common
+    if not len(known):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    counts = np.where(known[at] == hashes, n[at], 0)
+    return hashes[np.argsort(counts, kind="stable")[:size]]
+
+
+def postings_of(sets: DataFrame, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``key, at, node``: the shingles of each set's prefix and their places in it."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("hashes")
+            values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            firsts = [prefix(values[a:b], percent, shared.value).view(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            sizes = list(map(len, firsts))
+            places = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])
+            columns = [np.concatenate([np.zeros(0, np.int64), *firsts]), places, np.repeat(batch.column("node").to_numpy(), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "at", "node"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "key long, at long, node long")
+
+
+def meetings(postings: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b, label_a < label_b) of nodes of different labels that share a ``key``, unless sizes, places or parity bits rule a link out.
+
+    postings: ``key, n, at, node, label, side, parity``: a node's set has ``n`` shingles, the key at place ``at``. Nodes meet if
+    their sides differ or are 0. nearest: of each pair of labels, only the pair of nodes that differs in the fewest bits.
     """
     names = ["key", "n", "at", "node", "label", "side"]
 
     def met(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
-        mixed = np.minimum.reduceat(c["label"], starts) < np.maximum.reduceat(c["label"], starts)
-        kept = np.repeat(mixed, np.diff(np.append(starts, len(c["key"]))))
-        c = {k: v[kept] for k, v in c.items()}
-        found, a, step = [np.zeros((0, 2), np.int64)], np.arange(len(c["key"])), 1
+        found, a, step = [np.zeros((0, 5), np.int64)], np.arange(len(c["key"])), 1
         while len(a):
             a = a[a + step < len(c["key"])]
-            b = a + step
             # Within a key sizes grow: once one is too large, so are all that follow.
-            near = (c["key"][a] == c["key"][b]) & (100 * c["n"][a] >= percent * c["n"][b])
-            a, b = a[near], b[near]
-            fit = (c["label"][a] != c["label"][b]) & ((c["side"][a] == 0) | (c["side"][a] != c["side"][b]))
-            rest = np.minimum(c["n"][a] - c["at"][a], c["n"][b] - c["at"][b])  # no more is shared if this is the first place shared
-            fit &= (100 + percent) * rest >= percent * (c["n"][a] + c["n"][b])
-            if fit.any():
-                found.append(np.sort(np.stack([c["node"][a[fit]], c["node"][b[fit]]], axis=1), axis=1))
+            a = a[(c["key"][a] == c["key"][a + step]) & (100 * c["n"][a] >= percent * c["n"][a + step])]
+            x, y = a, a + step
+            fit = (c["label"][x] != c["label"][y]) & ((c["side"][x] == 0) | (c["side"][x] != c["side"][y]))
+            rest = np.minimum(c["n"][x] - c["at"][x], c["n"][y] - c["at"][y])  # no more is shared if this is the first place shared
+            fit &= (100 + percent) * rest >= percent * (c["n"][x] + c["n"][y])
+            x, y = x[fit], y[fit]
+            apart = distance(c["parity"][x], c["parity"][y])
+            fit = possible(apart, c["n"][x] + c["n"][y], percent)
+            x, y, apart = x[fit], y[fit], apart[fit]
+            swap = c["label"][x] > c["label"][y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            found.append(np.stack([c["label"][x], c["label"][y], apart, c["node"][x], c["node"][y]], axis=1))
             step += 1
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        if nearest and len(pairs):
+            pairs = pairs[np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)])]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in (3, 4, 0, 1, 2)], names=["a", "b", "label_a", "label_b", "apart"])
 
     def run(batches):
         held = []
         for batch in batches:
             if not len(batch):
                 continue
-            fresh = {k: batch.column(k).to_numpy() for k in names}
+            fresh = {k: batch.column(k).to_numpy() for k in names} | {"parity": matrix(batch.column("parity"), PARITY // 8, np.uint64)}
             if held and held[0]["key"][0] == fresh["key"][-1]:
                 held.append(fresh)
                 continue
             last = int(np.searchsorted(fresh["key"], fresh["key"][-1]))
             whole = [*held, {k: v[:last] for k, v in fresh.items()}]
             held = [{k: v[last:] for k, v in fresh.items()}]
-            if last or len(whole) > 1:
-                yield met({k: np.concatenate([x[k] for x in whole]) for k in names})
+            yield met({k: np.concatenate([x[k] for x in whole]) for k in fresh})
         if held:
-            yield met({k: np.concatenate([x[k] for x in held]) for k in names})
-
-    dealt = postings.select(*names).repartition(partitions(postings.sparkSession), "key").sortWithinPartitions("key", "n", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def missed_links(rows: DataFrame, nodes: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
-    """All links (a, b) between labels of ``nodes`` (digest, _row, n, label), by an exact join on the prefixes of ``rows``."""
-    spark = rows.sparkSession
-    # As with shingles, 64 bits of a label stand for it.
-    named = nodes.select("_row", "n", F.xxhash64("label").alias("label"))
-    postings = rows.select("_row", "prefix").join(named, "_row").select(F.posexplode("prefix").alias("at", "key"), "n", F.col("_row").alias("node"), "label")
-    postings = stored(postings, "postings")
-    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("count"), (F.min("label") < F.max("label")).alias("mixed"))
-    hot = stored(counts.where(F.col("count") > BLOCK).select("key", "mixed", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
-    columns = ["key", "n", "at", "node", "label"]
-    if hot.isEmpty():
-        dealt = postings.withColumn("side", F.lit(0))
-    else:
-        marked = postings.join(F.broadcast(hot), "key", "left")
-        rest = marked.where("blocks IS NULL").select(*columns, F.lit(0).alias("side"))
+            yield met({k: np.concatenate([x[k] for x in held]) for k in held[0]})
+
+    dealt = postings.select(*names, "parity").repartition(partitions(postings.sparkSession), "key").sortWithinPartitions("key", "n", "node")
+    pairs = dealt.mapInArrow(run, "a long, b long, label_a long, label_b long, apart long")
+    if not nearest:
+        return pairs.distinct()
+    best = pairs.groupBy("label_a", "label_b").agg(F.min(F.struct("apart", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b", "label_a", "label_b", "best.apart")
+
+
+def met_by_prefix(postings: DataFrame, members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """``meetings`` of ``members`` (node, n, parity, label) by their ``postings`` (key, at, node)."""
+    named = postings.join(members.select("node", "label"), "node")
+    counts = named.groupBy("key").agg(F.count(F.lit(1)).alias("count"), (F.min("label") < F.max("label")).alias("mixed"))
+    mixed = stored(counts.where("mixed").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "mixed")
+    hot, rest = stored(mixed.where("blocks > 1"), "hot"), mixed.where("blocks = 1").select("key")
+    dealt = postings.join(rest, "key").join(members, "node").withColumn("side", F.lit(0))
+    if not hot.isEmpty():  # as many as all postings by BLOCK at most
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        blocks = marked.where("mixed").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        few = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+        blocks = postings.join(few, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         blocks = blocks.withColumn("side", side).withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        dealt = rest.unionByName(blocks.select(*columns, "side"))
-    pairs = stored(meetings(dealt, percent), "meetings")
+        dealt = dealt.unionByName(blocks.select("key", "at", "node", "side").join(members, "node"))
+    return meetings(dealt, percent, nearest)
+
+
+def hidden_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of labels that connect ``members`` (node, n, parity, label) as all links between them would, by an exact join.
+
+    First the nearest nodes of each pair of labels are compared. Labels that this leaves apart are compared by all pairs of nodes.
+    """
+    own = sets.join(members.select("node"), "node", "left_semi")
+    postings = stored(postings_of(own, percent, common_shingles(own)), "postings")
+    links = None
+    for nearest in (True, False):
+        pairs = stored(met_by_prefix(postings, members, percent, nearest), "meetings")
+        found = stored(confirmed(pairs.select("a", "b", "label_a", "label_b"), sets, percent).select("label_a", "label_b").distinct().toDF("a", "b"), "hidden")
+        discard(pairs)
+        links = found if links is None else links.union(found)
+        if nearest and not found.isEmpty():
+            members = stored(relabelled(members, components(found)), "members")
     discard(postings)
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct().join(nodes.select("_row", "digest"), "_row"), "needed")
-    sets = stored(shingles(ids.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "_row"), width), "sets")
-    digests = nodes.select("_row", "digest", "label")
-    a, b = digests.toDF("a", "digest_a", "label_a"), digests.toDF("b", "digest_b", "label_b")
-    named = stored(pairs.join(a, "a").join(b, "b").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "label_a", "label_b"), "named")
-    found = confirmed(named.select("a", "b"), sets, percent).join(named, ["a", "b"])
-    found = stored(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "missed")
-    discard(sets)
-    return found
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    return links
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "") -> DataFrame:
     """A row per document: ``_row, doc_id, n_shingles, component_id, kept``.
 
-    docs: ``doc_id``, ``text`` and any other columns. Words are what lies between ASCII white space
-    after lower-casing A-Z; a document's set are its distinct shingles of ``width`` words, of fewer words
-    their whole sequence. Documents are linked if 100 * intersection >= percent * union. ``component_id``
-    is the least ``doc_id`` that links reach, the document's own included; ``kept`` marks the documents
+    docs: ``doc_id``, ``text`` and any other columns; key: the one that ``keyed`` added, which ``_row`` repeats. Words are what lies
+    between ASCII white space after lower-casing A-Z; a document's set are its distinct shingles of ``width`` words,
+    of fewer words their whole sequence. Documents are linked if 100 * intersection >= percent * union.
+    ``component_id`` is the least ``doc_id`` that links reach, the document's own included; ``kept`` marks the documents
     with that id (of repeated rows, one). Empty and null texts have no shingles and no links. Null ids
     are greater than all others. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
-    ids = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = stored(features(ids, width, percent, common_shingles(ids, width)), "features")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    wanted = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    ids = docs.select(*(F.col(c).alias("_row") for c in quoted([key])), *wanted) if key else keyed(docs.select(*wanted), "_row")
+    rows = stored(features(ids, width), "features")
     n_rows = rows.count()
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))
-    groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig", "sketch")).alias("rep"))
-    groups = stored(groups.select("digest", "first", "size", "rep._row", "rep.n", "rep.sig", "rep.sketch"), "nodes")
-    near = stored(neighbours(groups.withColumn("orders", F.col("sig")), percent, TREES, DEPTH, REACH, False), "near")
-    pairs = near.where("likely").select("a", "b")
-    crowded = near.where("dense")
-    if pairs.isEmpty() and crowded.isEmpty():
-        named = groups.withColumn("label", F.col("digest"))
-    else:
-        needed = pairs.select("a", "b").union(crowded.select("a", "b")).select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(groups.select("digest", "_row"), "digest")
-        needed = stored(needed, "needed")
-        of_rows = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-        sets = stored(shingles(ids.join(of_rows, "_row"), width), "sets")
-        links = stored(confirmed(pairs, sets, percent), "links")
-        labels, further = components(links), None
-        if not crowded.isEmpty():
-            more = rest_of_dense_regions(near, links, sets, labels, percent)
-            further = components(more) if not more.isEmpty() else None
-        discard(sets)
-        named = groups.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-        if further is not None:  # these link labels, not nodes
-            named = named.join(further.toDF("label", "lower"), "label", "left").withColumn("label", F.coalesce("lower", "label"))
-    named = stored(named.select("digest", "first", "size", "_row", "n", "label"), "named")
-    missed = missed_links(rows, named, ids, width, percent)
-    if not missed.isEmpty():
-        named = named.join(components(missed).toDF("label", "lower"), "label", "left").withColumn("label", F.coalesce("lower", "label"))
-    of_component = named.groupBy("label").agg(F.min("first").alias("least"))
+    groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig", "parity")).alias("rep"))
+    # Numbers are written with the nodes, so they stay.
+    nodes = stored(groups.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "size", "rep.*"), "nodes")
+    near = stored(neighbours(nodes, percent), "near")
+    needed = near.select("a").union(near.where("b IS NOT NULL").select("b")).distinct().toDF("node").join(nodes.select("node", "_row"), "node")
+    needed = stored(needed, "needed")
+    sets = stored(shingles(ids.join(F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed, "_row"), width), "sets")
+    links = stored(confirmed(near.where("b IS NOT NULL"), sets, percent), "links")
+    named = nodes.select("node", "n", "parity", "digest", "first", "size", F.col("node").alias("label"))
+    if not links.isEmpty():
+        named = relabelled(named, components(links))
+    named = stored(named, "named")
+    members = stored(named.join(near.where("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi").select("node", "n", "parity", "label"), "members")
+    if not members.isEmpty():
+        hidden = hidden_links(members, sets, percent)
+        if not hidden.isEmpty():
+            named = relabelled(named, components(hidden))
+    for done in (near, needed, sets, links, members):
+        discard(done)
+    named = stored(named.select("digest", "first", "size", "label"), "components")
+    of_component = named.groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("nodes"))
     # Components may be large: the few that hold many nodes go to every task.
-    counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
-    labelled = join_groups(named.select("digest", "size", "label"), of_component.join(counts, "label"), "label", "nodes", n_rows).select("digest", "size", F.col("least").alias("first"))
+    labelled = join_groups(named.select("digest", "size", "label"), of_component, "label", "nodes", n_rows).select("digest", "size", F.col("least").alias("first"))
     labelled = stored(labelled, "labelled")
     whole = join_groups(rows.where("n > 0").select("_row", "doc_id", "n", "digest"), labelled, "digest", "size", n_rows)
     whole = whole.select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("_row") == F.col("first._row")).alias("kept"))
