@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import bounded_batches
+from plumbline.llm.common import bounded_batches, quoted, unused
 
 #: Buckets of hashed n-grams of 1, 2 and 3 bytes.
 BUCKETS = 1 << 13
@@ -27,8 +29,7 @@ STEPS, RATE, DECAY = 300, 4.0, 1e-5
 #: A runner-up whose loss lies within this share of a bit is as near as the winner.
 AMBIGUOUS = 0.05
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_CASES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -128,7 +129,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -> DataFrame:
-    """The columns ``keep`` and ``lang_pred, score, ambiguous`` (with ``prefix``) of every row, by its whole ``text``.
+    """The columns ``keep`` and ``lang_pred, score, ambiguous`` (with ``prefix``, and underscores before it where ``keep`` has that name) of every row, by its whole ``text``.
 
     Null texts and texts without a letter are of no language (``und``, score 0, ambiguous). Rows are judged
     one by one, so repeated rows get the same result; an empty table gives no rows.
@@ -136,14 +137,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
-    names = [prefix + c for c in ("lang_pred", "score", "ambiguous")]
+    names = [*keep, *(unused(keep, prefix + c) for c in ("lang_pred", "score", "ambiguous"))]
+    # Columns go through Python by number, whatever their names hold.
+    chosen = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(quoted(keep))), F.col("text").cast("string").alias("said"))
+    kinds = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
 
     def run(batches):
         for batch in batches:
-            found = list(zip(*shared.value.predict(batch.column("__text").to_pylist()), strict=True)) or [[]] * 3
+            found = list(zip(*shared.value.predict(batch.column("said").to_pylist()), strict=True)) or [[]] * 3
             values = [pa.array(list(c), t) for c, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *values], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *values], names=[*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True))])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[:-1], *kinds])).toDF(*names)
