@@ -7,41 +7,49 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, langid, minhash, packing
-from plumbline.llm.common import row_key, stored, table
+from plumbline.llm.common import keyed, quoted, stored, table, unused, without
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 IDS_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: null texts, texts without letters and those between two languages go."""
-    found = langid.identify(docs, langid.train(docs), docs.columns, prefix="__found_")
-    return found.where((F.col("__found_lang_pred") != langid.UNKNOWN) & ~F.col("__found_ambiguous")).select(*docs.columns)
+    """Documents in a language: null texts, texts without letters and those between two languages go.
+
+    Each row is judged alone, so repeated rows share their fate. Columns may have any names; an empty table stays empty.
+    """
+    found = langid.identify(docs, langid.train(docs), docs.columns, prefix="found_")
+    lang, unclear = (unused(docs.columns, "found_" + c) for c in ("lang_pred", "ambiguous"))
+    return found.where((F.col(lang) != langid.UNKNOWN) & ~F.col(unclear)).select(*quoted(docs.columns))
 
 
-def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that a deduplication keeps, by their place in the source."""
-    kept = judged.where("kept").select(F.col("_row").alias("__row"))
-    return row_key(docs, "__row").join(kept, "__row", "left_semi").select(*docs.columns)
+def _kept(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that a deduplication keeps; ``judge`` gets them with a key and the key's name."""
+    key = unused(docs.columns, "row")
+    rows = keyed(docs, key)
+    judged = stored(judge(rows, key).where("NOT kept").select(F.col("_row").alias(key)), "dropped")
+    return without(rows, judged, key).select(*quoted(docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
-    return _keep(docs, exact_dedup.deduplicate(docs))
+    """One document of each group of equal texts: the one with the largest id, see ``deduplicate`` for nulls and ties."""
+    return _kept(docs, lambda rows, key: exact_dedup.deduplicate(rows, key=key))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links connect: the one with the least id."""
-    return _keep(docs, minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT))
+    """One document of each group that near-duplicate links connect: the one with the least id, see ``near_duplicates`` for nulls and ties."""
+    return _kept(docs, lambda rows, key: minhash.near_duplicates(rows, SHINGLE_WORDS, SIMILARITY_PERCENT, key))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 2048 tokens."""
+    """The pieces of all documents with their places in sequences of at most 2048 tokens; null texts, repeated rows and empty tables as in ``pieces_of``."""
     return packing.pack_documents(docs, IDS_FILE)
 
 
