@@ -1,14 +1,14 @@
 """Best-fit packing by bin completion.
 
-Documents become pieces of at most ``capacity`` tokens. Pieces are dealt by hash into groups of a
+Documents become pieces of at most ``capacity`` tokens. Pieces that are not full are dealt by hash into groups of a
 bounded size, and each group is packed on its own: a group needs at most about one sequence more
 than its share of a joint packing, whatever the size of the corpus, and no task ever sees more than
 one group. Within a group only the lengths matter, so the search runs over a histogram of lengths.
 
 Bin completion: take the longest piece left, list fillings of the room beside it in order of waste,
 none dominated by another, and go on with each in turn, cutting branches whose total waste already
-rules out a better result than the incumbent. Best-fit decreasing gives the first incumbent and the
-total length the bound; the search ends at the bound or after a fixed number of steps.
+rules out a better result than the incumbent. Best-fit decreasing gives the first incumbent; the search
+ends at a lower bound that no packing can beat, or when its budget of steps is spent.
 """
 
 from __future__ import annotations
@@ -21,16 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_batches
+from plumbline.llm.common import bounded_batches, stored
 from plumbline.llm.tokens import document_ids
 
 CAPACITY = 2048
-#: Pieces of one group, on average.
+#: Pieces of one group, on average; full ones need no group.
 GROUP_PIECES = 16_384
-#: Steps of the branch-and-bound search over one group.
-SEARCH_STEPS = 24
-#: Fillings tried at one branching.
-BRANCHES = 3
+#: The budget of the search over one group: packings begun, pieces tried for fillings in all and at one branching.
+SEARCH_STEPS, SEARCH_NODES, FILLING_NODES = 64, 250_000, 96
 
 Bins = list[tuple[tuple[int, ...], int]]
 
@@ -63,68 +61,80 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Bins:
     return [(tuple(b), 1) for bins in [done, *open_bins.values()] for b in bins]
 
 
-def fillings(counts: list[int], mask: int, room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, the least waste first.
+def _dominated(counts: list[int], mask: int, chosen: tuple[int, ...], slack: int) -> bool:
+    """Whether a piece left out could take the place of none, one or several of the chosen ones and waste less, or as little with fewer pieces."""
+    for size in set(chosen):
+        if chosen.count(size) >= counts[size]:
+            mask &= ~(1 << size)
+    sums = {0: 0}  # sums of some of the chosen, and of how many at most
+    for size in chosen:
+        for total, n in list(sums.items()):
+            sums[total + size] = max(sums.get(total + size, 0), n + 1)
+    return any(mask >> (total + (n < 2)) & ((1 << (slack + (n > 1))) - 1) for total, n in sums.items())
 
-    A filling dominates another whose pieces fit into the places of its own; so of single pieces only
-    the largest counts, and each further piece is the largest that still fits. Ends at the first
-    filling without waste.
+
+def fillings(counts: list[int], mask: int, mirror: int, room: int, exact: bool = True, nodes: int = FILLING_NODES) -> tuple[list[tuple[int, ...]], int]:
+    """Undominated fillings of ``room`` by pieces of the lengths in ``mask``, the least waste first, and how many pieces were tried.
+
+    mirror: ``mask`` from the other end, bit ``len(counts) - 1 - s`` for a length ``s``. A filling dominates another whose pieces
+    fit into the places of its own; one piece that fills the room dominates all. They are enumerated from the longest
+    pieces down; the search ends after trying ``nodes`` pieces. exact: pairs that fill what is left are taken at once.
     """
     one = _fitting(mask, room)
-    if not one:
-        return [()]
-    found = {(one,): room - one}
-    if one < room:
-        first = one
-        # The first piece goes down from the largest; the rest of the room is filled greedily from there.
-        for _ in range(96):
-            chosen, left, taken = [first], room - first, {first: 1}
-            while left and (nxt := _fitting(mask, min(left, chosen[-1]))):
-                while nxt and taken.get(nxt, 0) >= counts[nxt]:
-                    nxt = _fitting(mask, nxt - 1)
-                if not nxt:
-                    break
-                chosen.append(nxt)
-                taken[nxt] = taken.get(nxt, 0) + 1
-                left -= nxt
-            found[tuple(chosen)] = left
-            if not left:
-                break
-            # Two pieces that fill the room exactly, the rest of it open to all lengths.
-            first = _fitting(mask, first - 1)
-            if not first:
+    if not one or one == room:
+        return [(one,) if one else ()], 1
+    found: dict[tuple[int, ...], int] = {}
+    stack: list[tuple[tuple[int, ...], int, int]] = [((), room, room)]  # chosen, room left, longest piece still to be tried
+    tried = 0
+    while stack and tried < nodes:
+        chosen, left, most = stack.pop()
+        pairs = mask & (mirror >> (len(counts) - 1 - left)) & ((1 << (most + 1)) - 1) if exact else 0
+        if pairs:
+            a = pairs.bit_length() - 1
+            pair = (a, left - a) if a >= left - a else (left - a, a)
+            if pair[0] <= most and all(chosen.count(x) + pair.count(x) <= counts[x] for x in pair):
+                found.setdefault((*chosen, *pair), 0)
+        size = _fitting(mask, min(left, most))
+        while size and chosen.count(size) >= counts[size]:
+            size = _fitting(mask, size - 1)
+        if size:
+            tried += 1
+            stack += [(chosen, left, size - 1), ((*chosen, size), left - size, size)]
+        elif not _dominated(counts, mask, chosen, left):
+            found[chosen] = left
+    if not found:  # every one tried so far is dominated: take what best fit would
+        chosen, left = (), room
+        while size := _fitting(mask, left):
+            while size and chosen.count(size) >= counts[size]:
+                size = _fitting(mask, size - 1)
+            if not size:
                 break
-        if min(found.values()):
-            for a in _sizes(mask, room):
-                b = room - a
-                if b < a:
-                    break
-                if mask >> b & 1 and (a != b or counts[a] > 1):
-                    found[(b, a)] = 0
-                    break
-    best = sorted(found.items(), key=lambda x: (x[1], [-s for s in x[0]]))
-    return [f for f, _ in best[:limit]]
-
-
-def _sizes(mask: int, most: int):
-    mask &= (1 << (most + 1)) - 2
-    while mask:
-        low = mask & -mask
-        yield low.bit_length() - 1
-        mask ^= low
+            chosen, left = (*chosen, size), left - size
+        found[chosen] = left
+    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], [-s for s in x[0]]))], max(1, tried)
 
 
 def least_bins(counts: list[int], capacity: int) -> int:
-    """A number of sequences that no packing can go below (the bound that sets aside pieces below each threshold)."""
+    """A number of sequences that no packing can go below.
+
+    Two bounds: setting aside pieces below each threshold, and counting each piece as the share of a sequence that
+    pieces of its length take at least, if a sequence holds k shares (for many k).
+    """
     n = np.array(counts, "i8")
-    held = n * np.arange(capacity + 1)
+    sizes = np.arange(capacity + 1)
+    held = n * sizes
     many, much = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(held)])
     half = capacity // 2
     small = np.arange(half + 1)
     above_half = many[-1] - many[half + 1]
     room = (many[capacity - small + 1] - many[half + 1]) * capacity - (much[capacity - small + 1] - much[half + 1])
     need = much[half + 1] - much[small] - room
-    return int((above_half + np.maximum(0, -(-need // capacity))).max())
+    best = int((above_half + np.maximum(0, -(-need // capacity))).max())
+    for k in range(1, 33):  # in units of 1 / (k * capacity)
+        shares = (k + 1) * sizes
+        units = np.where(shares % capacity == 0, k * sizes, shares // capacity * capacity)
+        best = max(best, -(-int((n * units).sum()) // (k * capacity)))
+    return best
 
 
 def bin_completion(lengths: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> Bins:
@@ -142,23 +152,25 @@ def bin_completion(lengths: dict[int, int], capacity: int = CAPACITY, steps: int
     least = least_bins(counts, capacity)
     best = best_fit_decreasing({s: n for s, n in enumerate(counts) if n}, capacity)
     used = sum(n for _, n in best)
-    # Each entry: the choice to deviate at (number of the bin, rank of its filling); depth-first, limited discrepancies.
-    agenda: list[dict[int, int]] = [{}]
-    while agenda and used > least and steps:
+    # Each entry: the choices to deviate at (number of the bin: rank of its filling), and how fillings are listed; depth-first, limited discrepancies.
+    agenda: list[tuple[dict[int, int], bool]] = [({}, False)]
+    nodes = SEARCH_NODES
+    while agenda and used > least and steps and nodes > 0:
         steps -= 1
-        swaps = agenda.pop()
-        left, mask = counts[:], sum(1 << s for s, n in enumerate(counts) if n)
-        bins, n_bins, waste, at, close = [], 0, 0, 0, []
+        swaps, exact = agenda.pop()
+        left, mask, mirror = counts[:], sum(1 << s for s, n in enumerate(counts) if n), sum(1 << (capacity - s) for s, n in enumerate(counts) if n)
+        bins, n_bins, waste, at, close, last = [], 0, 0, 0, [], max(swaps, default=-1)
         allowed = (used - 1) * capacity - total
         while mask:
             big = mask.bit_length() - 1
             left[big] -= 1
             if not left[big]:
-                mask ^= 1 << big
-            options = fillings(left, mask, capacity - big, BRANCHES)
+                mask, mirror = mask ^ (1 << big), mirror ^ (1 << (capacity - big))
+            options, tried = fillings(left, mask, mirror, capacity - big, exact)
+            nodes -= tried
             pick = options[min(swaps.get(at, 0), len(options) - 1)]
-            if len(options) > 1 and at not in swaps and (not close or at > max(swaps, default=-1)):
-                close.append(at)
+            if at > last:
+                close += [(at, k) for k in range(len(options) - 1, 0, -1)]
             contents = (big, *pick)
             times = min([(left[s] + (s == big)) // contents.count(s) for s in set(contents)])
             for s in contents:
@@ -167,7 +179,7 @@ def bin_completion(lengths: dict[int, int], capacity: int = CAPACITY, steps: int
                     big = 0  # its first one has been taken already
             for s in set(contents):
                 if not left[s] and mask >> s & 1:
-                    mask ^= 1 << s
+                    mask, mirror = mask ^ (1 << s), mirror ^ (1 << (capacity - s))
             bins.append((contents, times))
             n_bins += times
             waste += times * (capacity - sum(contents))
@@ -177,8 +189,10 @@ def bin_completion(lengths: dict[int, int], capacity: int = CAPACITY, steps: int
         else:
             if n_bins < used:
                 best, used = bins, n_bins
-        for spot in close[-4:]:
-            agenda += [swaps | {spot: k} for k in range(1, BRANCHES)]
+        # The latest alternatives are tried first, so no more than the steps left can be reached.
+        agenda = (agenda + [(swaps | {spot: k}, exact) for spot, k in close[-steps:]])[-steps:] if steps else []
+        if len(swaps) == 0 and exact is False:
+            agenda.append(({}, True))  # the other listing's own first packing comes next
     return full + best
 
 
@@ -207,14 +221,15 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, n_groups: int, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the rows of ``pieces_of``; offsets of a sequence have no gaps.
 
-    ``n_groups`` should be about the number of pieces divided by ``GROUP_PIECES``.
+    Full pieces are sequences of their own. The others are dealt by a number that is written with them, so equal rows,
+    however many, spread over all groups. An empty table gives no rows.
     """
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_id", "piece", "ids_crc32"], kind="stable")
+        pdf = pdf.sort_values("_number", kind="stable")
         sizes = pdf["length"].to_numpy()
         spots: dict[int, list[tuple[int, int]]] = {}
         bin_no = 0
@@ -228,16 +243,20 @@ def pack(pieces: DataFrame, n_groups: int, capacity: int = CAPACITY) -> DataFram
         placed = [spots[s].pop() for s in sizes.tolist()]
         pdf["sequence_id"] = [(int(key[0]) << 32) + b for b, _ in placed]
         pdf["offset"] = [o for _, o in placed]
-        return pdf.drop(columns="_group")
+        return pdf.drop(columns=["_group", "_number"])
 
     rest = ["piece", "start", "length", "ids_crc32"]
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, n_groups)))
+    rows = stored(pieces.select("doc_id", *rest, F.monotonically_increasing_id().alias("_number")), "pieces")
+    loose = rows.where(F.col("length") < capacity)
+    group = F.pmod(F.xxhash64("_number"), F.lit(max(1, -(-loose.count() // GROUP_PIECES))))
     # pandas has no null among integers, so a null id travels as a flag.
-    rows = pieces.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_null"), *rest, group.alias("_group"))
-    placed = rows.groupBy("_group").applyInPandas(place, "_id long, _null boolean, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return placed.select(F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), *rest, "sequence_id", "offset")
+    loose = loose.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_null"), *rest, "_number", group.alias("_group"))
+    placed = loose.groupBy("_group").applyInPandas(place, "_id long, _null boolean, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = placed.select(F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), *rest, "sequence_id", "offset")
+    full = rows.where(F.col("length") == capacity).select("doc_id", *rest, (-1 - F.col("_number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their places: see ``pieces_of`` and ``pack``."""
-    return pack(pieces_of(docs, tokenizer_path, capacity), -(-docs.count() // GROUP_PIECES), capacity)
+    return pack(pieces_of(docs, tokenizer_path, capacity), capacity)

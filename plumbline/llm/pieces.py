@@ -1,9 +1,9 @@
 """Splitting of text into the pieces that byte-level BPE merges separately, and a per-process memo.
 
 Natural text repeats its words, so a tokenizer needs to see each piece only once per Python
-worker. The memo maps a blank-delimited chunk to whatever the caller derives from it; chunks
-are independent of their neighbours as long as no two white-space characters touch, and texts
-in which they do take the plain path.
+worker. The memo maps a blank-delimited chunk to its packed ids; chunks are independent of their
+neighbours as long as no two white-space characters touch, and texts in which they do take the plain
+path. A batch's texts are cut and its distinct chunks found in columns, so Python sees each of those once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from collections import deque
 from collections.abc import Callable
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Entries of one memo; it is emptied when full.
@@ -84,20 +87,30 @@ class Memo:
             known = self.known = _Known(self.marks)
         out, chunked, plain = [b""] * len(texts), [], []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if text[0] == " " or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _UNCHUNKED.search(text):
-                plain.append(i)
-            else:
-                # A chunk after a line break starts with \0 in place of it, any other after the first stood behind a blank.
-                first, *rest = text.replace("\n", " \0").split(" ")
-                chunked.append((i, first, rest))
-                deque(map(known.__getitem__, rest), maxlen=0)
+            if text:
+                whole = text[0] == " " or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _UNCHUNKED.search(text)
+                (plain if whole else chunked).append(i)
+        # A chunk after a line break starts with \0 in place of it, any other after the first stood behind a blank.
+        lists = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in chunked], pa.string()), "\n", " \0"), " ")
+        starts_at, chunks = lists.offsets.to_numpy(), lists.values
+        behind = np.ones(len(chunks), bool)
+        behind[starts_at[:-1]] = False
+        firsts = chunks.take(pa.array(starts_at[:-1])).to_pylist()
+        coded = pc.dictionary_encode(chunks.filter(pa.array(behind)))
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        deque(map(known.__getitem__, distinct), maxlen=0)
         fresh, made, known.fresh, known.made = known.fresh, known.made, [], []
         known.update(zip(fresh, self.encode_chunks(["\n" + c[1:] if c[0] == "\0" else " " + c for c in fresh]), strict=True))
-        starts = self.encode([first for _, first, _ in chunked] + [texts[i] for i in plain])
-        for (i, _, rest), start in zip(chunked, starts, strict=False):
-            out[i] = start + b"".join(map(known.__getitem__, rest))
+        starts = self.encode(firsts + [texts[i] for i in plain])
+        values = list(map(known.__getitem__, distinct))
+        pool, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int32, len(values)) // 4
+        at = np.cumsum(sizes, dtype=np.int32) - sizes
+        sizes = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)])
+        ids = pool[np.repeat(at[which] - ends[:-1].astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
+        cuts = ends[starts_at - np.arange(len(starts_at))].tolist()
+        for i, start, a, b in zip(chunked, starts, cuts, cuts[1:], strict=False):
+            out[i] = start + ids[a:b].tobytes()
         for i, value in zip(plain, starts[len(chunked) :], strict=True):
             out[i] = value
         seen = self.seen
