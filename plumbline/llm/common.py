@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and Python: bounds a worker's memory.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
 
 

@@ -20,6 +20,8 @@ import regex
 
 #: Entries of one memo; it is emptied when full.
 MEMO_ENTRIES = 600_000
+#: Characters that are cut into chunks at a time: bounds the columns of chunks. A longer text is cut alone.
+RUN_CHARS = 1 << 21
 #: Chunks longer than this are not kept.
 MEMO_CHARS = 48
 
@@ -82,6 +84,15 @@ class Memo:
 
     def of_all(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
+        runs, held = [0], 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held > RUN_CHARS and i > runs[-1]:
+                runs.append(i)
+                held = len(text)
+        return [ids for a, b in zip(runs, [*runs[1:], len(texts)], strict=True) for ids in self._of_run(texts[a:b])]
+
+    def _of_run(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > self.entries:
             known = self.known = _Known(self.marks)

@@ -26,6 +26,8 @@ def _plain_byte_level(spec: dict) -> bool:
     )
 
 
+#: Entries of the memo beside the library's own vocabulary.
+TOKENIZER_ENTRIES = 400_000
 #: Chunks that are encoded as one text.
 JOINED_CHUNKS = 4096
 
@@ -42,7 +44,7 @@ class TextTokenizer:
             spec = json.load(f)
         self.memo = None
         if _plain_byte_level(spec):
-            self.memo = Memo(self._whole, self._chunks)
+            self.memo = Memo(self._whole, self._chunks, TOKENIZER_ENTRIES)
             # The vocabulary writes each byte as one character.
             self.lengths = np.zeros(max(spec["model"]["vocab"].values()) + 1, "i8")
             for token, i in spec["model"]["vocab"].items():
