@@ -86,8 +86,19 @@ def bytes_to_tokens(n: Column) -> Column:
 
 
 def human_count(n: Column) -> Column:
-    """999, 1.0K, 1.5M."""
-    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.format_string("%.1fK", n / 1000.0)).otherwise(F.format_string("%.1fM", n / 1_000_000.0))
+    """999, 1.0K, 1.5M: quotients are rounded by their exact binary value, halves to even."""
+
+    def tenths(scale: int, unit: str) -> Column:
+        quotient = n / F.lit(float(scale))
+        # What lies behind the point is a multiple of 2 ** -52, so products with whole numbers are exact in decimals.
+        behind = ((quotient - F.floor(quotient)) * F.lit(float(1 << 52))).cast("long").cast("decimal(18,0)") * F.lit(scale).cast("decimal(8,0)")
+        off = behind - (n % scale).cast("decimal(8,0)") * F.lit(1 << 52).cast("decimal(18,0)")
+        down, rest, half = F.floor(n / F.lit(scale // 10)), n % (scale // 10), scale // 20
+        up = (rest > half) | ((rest == half) & ((off > 0) | ((off == 0) & (down % 2 == 1))))
+        shown = down + up.cast("long")
+        return F.concat(F.floor(shown / 10).cast("string"), F.lit("."), (shown % 10).cast("string"), F.lit(unit))
+
+    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, tenths(1000, "K")).otherwise(tenths(1_000_000, "M"))
 
 
 def iso_time(seconds: Column) -> Column:

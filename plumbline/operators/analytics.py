@@ -40,7 +40,7 @@ def recent(log: DataFrame, limit: int) -> DataFrame:
 
 
 def measured(hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row: bytes of the results, the files they come from, and what reading those whole would take."""
-    results = hits.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("result_bytes"), F.sort_array(F.collect_set("file_path")).alias("paths"))
-    files = hits.select(F.col("file_path").alias("path")).distinct().join(documents.select("path", "file_size"), "path").agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("baseline_bytes"))
+    """One row: bytes of the results, how many files they come from, and what reading those whole would take."""
+    results = hits.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("result_bytes"))
+    files = hits.select(F.col("file_path").alias("path")).distinct().join(documents.select("path", "file_size"), "path", "left").agg(F.count(F.lit(1)).alias("n_paths"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("baseline_bytes"))
     return results.crossJoin(files)

@@ -22,13 +22,17 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Each task multiplies its rows with the matrix of query vectors and passes on its own ``k`` best of
     each query; so the corpus is read once, in place, and only candidates are shuffled. The query
-    matrix is sent to all tasks; its size is checked. Rows without a vector are passed over.
+    matrix is sent to all tasks; its size is checked. Rows without an id or a vector as long as the queries' are passed over.
     """
     given = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").limit(PASS_FLOATS).collect()
     if sum(len(r["embedding"]) for r in given) > PASS_FLOATS:
         raise ConfigError(f"the query vectors hold more than {PASS_FLOATS} numbers; search in several batches")
+    widths = {len(r["embedding"]) for r in given} or {0}
+    if len(widths) > 1:
+        raise ConfigError("the query vectors differ in length")
+    width = widths.pop()
     ids = np.array([r["query_id"] for r in given], "i8")
-    matrix = np.array([r["embedding"] for r in given], float).reshape(len(ids), -1)
+    matrix = np.array([r["embedding"] for r in given], float).reshape(len(ids), width)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
@@ -36,8 +40,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         query_ids, q = shared.value
         held_ids, held = np.zeros((len(q), 0), "i8"), np.zeros((len(q), 0))
         for batch in batches:
-            rows = np.array(batch.column("id").to_pylist(), "i8")
-            x = np.array(batch.column("embedding").to_pylist(), float).reshape(len(rows), -1)
+            rows = batch.column("id").to_numpy()
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), width)
             norms = np.linalg.norm(x, axis=1)
             distance = 1 - (q @ x.T) / np.where(norms > 0, norms, np.nan)
             held_ids = np.concatenate([held_ids, np.broadcast_to(rows, distance.shape)], axis=1)
@@ -46,7 +50,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             held_ids, held = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held, order, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, held.shape[1])), pa.array(held_ids.ravel()), pa.array(held.ravel())], names=["query_id", "id", "distance"])
 
-    found = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col("id").cast("long").alias("id"), "embedding")
+    found = vectors.where(F.col("id").isNotNull() & (F.size("embedding") == F.lit(width)) & F.lit(width > 0)).select(F.col("id").cast("long").alias("id"), "embedding")
     found = found.mapInArrow(best, "query_id long, id long, distance double").where(~F.isnan("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= k)

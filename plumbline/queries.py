@@ -120,10 +120,10 @@ def join_anti(spark, d):
     return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("SELECT v.vec_id, coalesce(len(e.embedding), 0) AS dims FROM (SELECT CAST(range AS BIGINT) AS vec_id FROM range(0, 3000, 7)) v LEFT JOIN embeddings e USING (vec_id)")
+@query("SELECT doc_id AS vec_id, coalesce(len(embedding), 0) AS dims FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def join_left_missing_vector(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", "embedding")
-    return spark.range(0, 3000, 7).withColumnRenamed("id", "vec_id").join(e, "vec_id", "left").select("vec_id", F.size(F.coalesce("embedding", F.array().cast("array<float>"))).alias("dims"))
+    return t(spark, d, "documents").select(F.col("doc_id").alias("vec_id")).join(e, "vec_id", "left").select("vec_id", F.size(F.coalesce("embedding", F.array().cast("array<float>"))).alias("dims"))
 
 
 @query("WITH c AS (SELECT * FROM conversations) SELECT a.conv_id, a.turn, count(*) AS near, max(b.turn) AS last FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY ALL")
@@ -166,11 +166,10 @@ def log_recent(spark, d):
     return analytics.recent(log(spark, d), 20).select("id", "ts", "source", "query")
 
 
-@query(f"SELECT sum(strlen(text)) AS result_bytes, len(list(DISTINCT {PATH})) AS n_paths, sum(n_chars) AS baseline_bytes FROM documents WHERE doc_id % 11 = 0")
+@query(f"SELECT sum(strlen(text)) AS result_bytes, len(list(DISTINCT {PATH})) AS n_paths, sum(n_chars) AS baseline_bytes FROM documents")
 def log_measure(spark, d):
     x = docs(spark, d)
-    out = analytics.measured(x.where("id % 11 = 0").withColumnRenamed("path", "file_path"), x)
-    return out.select("result_bytes", F.size("paths").alias("n_paths"), "baseline_bytes")
+    return analytics.measured(x.withColumnRenamed("path", "file_path"), x)
 
 
 @query("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM embeddings")
@@ -242,12 +241,10 @@ def text_sanitize_query(spark, d):
     return t(spark, d, "benchmark").select("item_id", tx.sanitize_query(F.concat(F.lit("-"), "text", F.lit(" (x*y) ^a:b ---"))).alias("clean"))
 
 
-@query(r"WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text[:80]), '\s+'), lambda w: strlen(w) >= 3) AS terms, text[:200] AS heading FROM documents) SELECT doc_id, len(terms) AS n_terms, CASE WHEN len(terms) > 0 THEN round(0.05 * len(list_filter(list_concat(terms[:2], ['zzz']), lambda w: contains(lower(heading), w))) / len(list_concat(terms[:2], ['zzz'])), 9) ELSE 0 END AS boost FROM x")
+@query(r"WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(source || ' ' || lang || ' the heed de zzz'), '\s+'), lambda w: strlen(w) >= 3) AS terms, text AS heading FROM documents) SELECT doc_id, len(terms) AS n_terms, round(0.05 * len(list_filter(terms, lambda w: contains(lower(heading), w))) / len(terms), 9) AS boost FROM x")
 def text_heading_boost(spark, d):
-    x = t(spark, d, "documents").select("doc_id", tx.query_terms(F.substring("text", 1, 80)).alias("terms"), F.substring("text", 1, 200).alias("heading"))
-    some = F.concat(F.slice("terms", 1, 2), F.array(F.lit("zzz")))
-    boost = F.when(F.size("terms") > 0, F.round(tx.heading_boost(F.col("heading"), some, 0.05), 9)).otherwise(F.lit(0.0))
-    return x.select("doc_id", F.size("terms").alias("n_terms"), boost.alias("boost"))
+    x = t(spark, d, "documents").select("doc_id", tx.query_terms(F.concat_ws(" ", "source", "lang", F.lit("the heed de zzz"))).alias("terms"), "text")
+    return x.select("doc_id", F.size("terms").alias("n_terms"), F.round(tx.heading_boost(F.col("text"), F.col("terms"), 0.05), 9).alias("boost"))
 
 
 @query(r"SELECT doc_id, nullif(trim(regexp_extract('intro' || chr(10) || '  # ' || text, '(?m)^[^\S\n]*# [^\S\n]*(\S[^\n]*)$', 1)), '') AS title FROM documents")
@@ -260,10 +257,10 @@ def text_normalise_path(spark, d):
     return docs(spark, d).select(F.col("id").alias("doc_id"), tx.normalise_path(F.concat(F.lit(".\\"), F.translate("path", "/", "\\"))).alias("path"))
 
 
-@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS iso, CASE WHEN event_id * 997 < 1000 THEN CAST(event_id * 997 AS VARCHAR) WHEN event_id * 997 < 1000000 THEN printf('%.1fK', event_id * 997 / 1000.0) ELSE printf('%.1fM', event_id * 997 / 1000000.0) END AS human, CAST(round(event_id / 4.0) AS BIGINT) AS tokens FROM events WHERE event_id % 2 = 1")
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS iso, CASE WHEN event_id * 997 < 1000 THEN CAST(event_id * 997 AS VARCHAR) WHEN event_id * 997 < 1000000 THEN printf('%.1fK', event_id * 997 / 1000.0) ELSE printf('%.1fM', event_id * 997 / 1000000.0) END AS human, CAST(round(event_id / 4.0) AS BIGINT) AS tokens FROM events")
 def text_numbers(spark, d):
     i = F.col("event_id")
-    return t(spark, d, "events").where("event_id % 2 = 1").select("event_id", tx.iso_time(F.unix_timestamp("ts")).alias("iso"), tx.human_count(i * 997).alias("human"), tx.bytes_to_tokens(i).alias("tokens"))
+    return t(spark, d, "events").select("event_id", tx.iso_time(F.unix_timestamp("ts")).alias("iso"), tx.human_count(i * 997).alias("human"), tx.bytes_to_tokens(i).alias("tokens"))
 
 
 @query("SELECT doc_id, array_to_string(str_split(text, chr(10))[:3], chr(10)) AS head, strlen(text) AS n_bytes, length(text) AS n_chars FROM documents")
@@ -296,11 +293,11 @@ def vector_truncate(spark, d):
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return e, e.where("id < 20").select(F.col("id").alias("query_id"), "embedding")
+    return e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 _KNN = """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-p AS (SELECT q.id AS query_id, v.id, 1 - list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS distance FROM v, v q WHERE q.id < 20),
+p AS (SELECT q.id AS query_id, v.id, 1 - list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS distance FROM v, v q WHERE q.id % 100 = 0),
 knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS vec_rank FROM p QUALIFY vec_rank <= 15)"""
 
 
@@ -309,16 +306,16 @@ def knn_batch(spark, d):
     return retrieval.knn(*_vectors(spark, d), 15).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
-# Queries: terms that all have to match; of the second kind, more syntax.
+# Queries: terms that all have to match, numbered as the vectors that are asked for; of the second kind, more syntax.
 AND_QUERIES = ["the and", "heed thing", "de la", "und die", "thation", "los ciones", "the the"]
 SYNTAX_QUERIES = ["heed OR thing", "the NOT and", "of_the", "heed AND thing OR und", "broken?", "AND the"]
 
 
-def _asked(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+def _asked(spark: SparkSession, texts: list[str], step: int = 1) -> DataFrame:
+    return spark.createDataFrame([(i * step, x) for i, x in enumerate(texts)], "query_id long, query string")
 
 
-_TERMS = ", ".join(f"({i}, {n}, {term!r})" for i, q in enumerate(AND_QUERIES) for n, term in enumerate(q.split()))
+_TERMS = ", ".join(f"({100 * i}, {n}, {term!r})" for i, q in enumerate(AND_QUERIES) for n, term in enumerate(q.split()))
 _BM25 = rf"""tok AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS terms FROM documents),
 q(query_id, phrase, term) AS (VALUES {_TERMS}),
 n AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_len FROM tok),
@@ -330,7 +327,7 @@ bm25 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id OR
 
 @query("WITH " + _BM25 + " SELECT query_id, id, round(score, 6) AS score, bm25_rank FROM bm25")
 def bm25_and(spark, d):
-    return lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, AND_QUERIES), 15).withColumn("score", F.round("score", 6))
+    return lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, AND_QUERIES, 100), 15).withColumn("score", F.round("score", 6))
 
 
 _SYNTAX = r"""WITH tok AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -348,7 +345,7 @@ def bm25_syntax(spark, d):
 
 @query(_KNN + ", " + _BM25 + " SELECT query_id, id, round(coalesce(1.0 / (60 + vec_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0), 9) AS score FROM knn FULL JOIN bm25 USING (query_id, id)")
 def rrf_fusion(spark, d):
-    words = lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, AND_QUERIES), 15)
+    words = lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, AND_QUERIES, 100), 15)
     return retrieval.fuse(retrieval.knn(*_vectors(spark, d), 15), words).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
@@ -356,7 +353,7 @@ def _hybrid(spark: SparkSession, d: str, part: str = "id >= 0") -> DataFrame:
     vectors, _ = _vectors(spark, d)
     # Documents without a vector are found by words alone; the heading is the title anywhere in the text, if it has one.
     chunks = docs(spark, d).join(vectors, "id", "left").where(part).withColumn("heading_context", F.coalesce(tx.title(F.col("content")), F.lit("")))
-    asked = _asked(spark, AND_QUERIES).join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
+    asked = _asked(spark, AND_QUERIES, 100).join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
     return retrieval.hybrid(chunks, asked, 5, EngineConfig())
 
 
