@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Entries of one memo; it is emptied when full.
+#: Entries of one memo, in two generations: when the younger is full, it takes the older one's place.
 MEMO_ENTRIES = 600_000
 #: Characters that are cut into chunks at a time: bounds the columns of chunks. A longer text is cut alone.
 RUN_CHARS = 1 << 21
@@ -45,16 +45,20 @@ def split(text: str) -> list[str]:
 class _Known(dict):
     """Values by chunk. A chunk that is asked for but missing is noted in ``fresh``, or ``made`` of a known one and a mark behind it."""
 
-    def __init__(self, marks: dict[str, bytes]):
+    def __init__(self, marks: dict[str, bytes], older: dict[str, bytes] | None = None):
         super().__init__()
-        self.marks = marks
+        self.marks, self.older = marks, older or {}
         self.fresh: list[str] = []
         self.made: list[str] = []
 
     def __missing__(self, chunk: str) -> bytes:
+        value = self.older.get(chunk)
+        if value:
+            self[chunk] = value
+            return value
         mark = self.marks.get(chunk[-1:])
         if mark and chunk[-2:-1].isalpha():  # a mark behind a letter is a piece of its own
-            core = self.get(chunk[:-1])
+            core = self.get(chunk[:-1]) or self.older.get(chunk[:-1])
             if core:
                 self[chunk] = value = core + mark
                 self.made.append(chunk)
@@ -94,8 +98,8 @@ class Memo:
 
     def _of_run(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > self.entries:
-            known = self.known = _Known(self.marks)
+        if len(known) > self.entries // 2:
+            known = self.known = _Known(self.marks, dict(known))
         out, chunked, plain = [b""] * len(texts), [], []
         for i, text in enumerate(texts):
             if text:
