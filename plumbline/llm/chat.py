@@ -30,7 +30,8 @@ class Mapping:
 
     ``parts``: (path, role) pairs of single texts, in order. ``turns``: path of a list of turns, whose
     items keep role and text under ``role`` and ``text``. ``join``: further paths whose text is put behind
-    the first part that is no system text with a blank line.
+    the first part that is no system text with a blank line. ``key``, ``order``: of tables whose rows are single
+    turns, the columns that name the conversation and the turn's place in it.
     """
 
     parts: tuple[tuple[str, str], ...] = ()
@@ -38,13 +39,17 @@ class Mapping:
     role: str = ""
     text: str = ""
     join: tuple[str, ...] = ()
+    key: str = ""
+    order: str = ""
 
 
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 #: Layouts by their field paths; ``[]`` stands for the items of a list. Paths beside these are passed over.
 LAYOUTS: list[tuple[tuple[str, ...], Mapping]] = [
-    (("conv_id", "turn", "role", "text"), Mapping(role="role", text="text")),
+    (("conv_id", "turn", "role", "text"), Mapping(key="conv_id", order="turn", role="role", text="text")),
+    (("conversation_id", "position", "role", "content"), Mapping(key="conversation_id", order="position", role="role", text="content")),
+    (("conversation_id", "position", "from", "value"), Mapping(key="conversation_id", order="position", role="from", text="value")),
     (("messages[].role", "messages[].content"), Mapping(turns="messages", role="role", text="content")),
     (("conversations[].from", "conversations[].value"), Mapping(turns="conversations", role="from", text="value")),
     (("system", "conversations[].from", "conversations[].value"), Mapping(parts=(("system", "system"),), turns="conversations", role="from", text="value")),
@@ -72,6 +77,18 @@ def fingerprint(paths: Iterable[str]) -> str:
 
 
 REGISTRY = {fingerprint(paths): mapping for paths, mapping in LAYOUTS}
+ROW_PATHS = [paths for paths, mapping in LAYOUTS if mapping.key]
+
+
+def row_mapping(paths: Iterable[str]) -> Mapping:
+    """The mapping of a table of turn rows. Columns of other layouts may stand beside a layout's own; of several layouts
+    that a table holds whole, the first one listed counts. A table that holds none is refused."""
+    present = set(paths)
+    for known in ROW_PATHS:
+        mapping = REGISTRY.get(fingerprint(present & set(known)))
+        if mapping is not None and mapping.key:
+            return mapping
+    raise ValueError(f"no mapping for the layout {sorted(present)}")
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -179,14 +196,14 @@ def read_turns(formatted: str) -> Iterator[Turn]:
 def ordered_turns(rows: DataFrame) -> DataFrame:
     """Turn rows with the turns of a conversation together and in order, spread by conversation.
 
-    rows: ``conv_id, turn, role, text`` by field name, found by the layout's fingerprint; other columns are
-    passed over. Null turns come first, equal turns follow by role and text. Rows are streamed, so a
+    The mapping that the fingerprint of the table's fields selects says which columns these are; other columns are
+    passed over, whatever their names. Null turns come first, equal turns follow by role and text. Rows are streamed, so a
     conversation of any length needs no more memory than a batch.
     """
-    mapping = REGISTRY.get(fingerprint(schema_paths(rows.schema)))
-    if mapping is not LAYOUTS[0][1]:
-        raise ValueError(f"no mapping for the layout {sorted(schema_paths(rows.schema))}")
-    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(mapping.role, F.lit("")).alias("role"), F.coalesce(mapping.text, F.lit("")).alias("text"))
+    mapping = row_mapping(schema_paths(rows.schema))
+    empty = F.lit("")
+    columns = {"conv_id": F.col(mapping.key).cast("long"), "turn": F.col(mapping.order).cast("long"), "role": F.coalesce(mapping.role, empty), "text": F.coalesce(mapping.text, empty)}
+    turns = rows.select(*(c.alias(name) for name, c in columns.items()))
     return turns.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 

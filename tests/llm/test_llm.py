@@ -527,3 +527,18 @@ def test_chat_layouts_in_combination(spark):
     assert chat.canonical_turns({"prompt": "q", "completion": "a", "text": "qa"}) == [("user", "q"), ("assistant", "a")]
     records = spark.createDataFrame([(1, '{"strange":1}')], "conv_id long, record string")
     assert [tuple(r) for r in chat.turns_of_json(records).collect()] == [(1, None, None, '{"strange":1}')]
+
+
+def test_chat_tables_of_other_layouts(spark):
+    """The selected mapping names the columns; columns of other layouts, null and repeated rows and long texts do no harm."""
+    long = "### x \\ </turn>" * 50_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, "user", None), (2, 0, "user", None), (None, None, None, "t")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(map(str, chat.read_back(chat.format_conversations(plain)).collect()))
+    assert len(want) == 3
+    other = plain.toDF("conversation_id", "position", "from", "value")
+    crowded = plain.selectExpr("*", "'x' AS prompt", "'y' AS system", "'z' AS content", "1 AS `a.b`", "2 AS segment")
+    for table in (other, plain.toDF("conversation_id", "position", "role", "content"), crowded):
+        assert sorted(map(str, chat.read_back(chat.format_conversations(table)).collect())) == want
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.format_conversations(plain.drop("turn"))
