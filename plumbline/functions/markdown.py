@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from plumbline.functions.blocks import fragments, leaf_blocks
+
 #: Sections shorter than this join the chunk before them.
 TINY = 50
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
-_RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_BULLET = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
-_HTML = re.compile(r" {0,3}<(?:[a-zA-Z/!?])")
-_SPAN = re.compile(r"(`+)(.+?)(?<!`)\1(?!`)|!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])|<(https?://[^>\s]+)>|</?[a-zA-Z][^>]*>|(\*\*|__|\*|_)(?=\S)|\\([!-/:-@\[-`{-~])|(?<=\S)(\*\*|__|\*|_)", re.DOTALL)
 
 
 @dataclass
@@ -25,89 +19,29 @@ class Chunk:
     end_byte: int
 
 
-def _fragments(text: str) -> list[str]:
-    """The text and code fragments of a line of inline markup, as a CommonMark reader would split them."""
-    out, at = [], 0
-    for m in _SPAN.finditer(text):
-        if m.start() > at:
-            out.append(text[at : m.start()])
-        if m[2] is not None:
-            out.append(m[2].strip() if m[2].strip() else m[2])
-        elif m[3] is not None:
-            out += _fragments(m[3])
-        elif m[4] is not None:
-            out.append(m[4])
-        elif m[6] is not None:
-            out.append(m[6])
-        at = m.end()
-    if at < len(text):
-        out.append(text[at:])
-    return [f for f in out if f]
-
-
 def sections(markdown: str) -> Iterator[Chunk]:
     """Heading-bounded sections; the context is the path of headings, joined by `` > ``."""
     stack: list[tuple[int, str]] = []
-    body, context, start, at = "", "", 0, 0
-    lines = markdown.splitlines(keepends=True)
-    paragraph: list[str] = []
-    fence, paragraph_start = "", 0
-
-    def flush() -> None:
-        nonlocal body
-        for i, line in enumerate(paragraph):
-            for f in _fragments(line):
-                body += (" " if body else "") + f
-            if i + 1 < len(paragraph):
-                body += "\n"
-        if paragraph:
-            body += "\n\n"
-            paragraph.clear()
-
-    def heading(level: int, text: str, where: int) -> Iterator[Chunk]:
-        nonlocal body, context, start
-        if body.strip():
-            yield Chunk(body.strip(), context, start, where)
-        name = "".join(_fragments(text)).strip()
-        while stack and stack[-1][0] >= level:
-            stack.pop()
-        stack.append((level, name))
-        body, context, start = name, " > ".join(t for _, t in stack), where
-
-    for line in lines:
-        here, at = at, at + len(line.encode())
-        plain = line.rstrip("\r\n")
-        if fence:
-            if re.fullmatch(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}}[ \t]*", plain):
-                fence = ""
-            else:
-                body += (" " if body else "") + line
-            continue
-        if m := _FENCE.match(plain):
-            flush()
-            fence = m[1]
-        elif m := _ATX.match(plain):
-            flush()
-            yield from heading(len(m[1]), m[2] or "", here)
-        elif paragraph and (m := _SETEXT.match(plain)):
-            text = " ".join(paragraph)
-            paragraph.clear()
-            yield from heading(1 if m[1][0] == "=" else 2, text, paragraph_start)
-        elif not plain.strip() or _RULE.match(plain):
-            flush()
-        elif not paragraph and _HTML.match(plain) and not plain.lstrip().startswith("<http"):
-            flush()
+    body, context, start = "", "", 0
+    blocks, labels = leaf_blocks(markdown)
+    for block in blocks:
+        text = "\n".join(block.lines)
+        if block.kind == "heading":
+            if body.strip():
+                yield Chunk(body.strip(), context, start, block.start)
+            name = "".join(fragments(text, labels)).strip()
+            while stack and stack[-1][0] >= block.level:
+                stack.pop()
+            stack.append((block.level, name))
+            body, context, start = name, " > ".join(t for _, t in stack), block.start
+        elif block.kind == "code":
+            for line in block.lines:
+                body += (" " if body else "") + line + "\n"
         else:
-            text = plain
-            if m := _BULLET.match(plain):
-                flush()
-                text = plain[m.end() :]
-            text = text.lstrip().removeprefix("> ").removeprefix(">")
-            if not paragraph:
-                paragraph_start = here
-            if text:
-                paragraph.append(text)
-    flush()
+            for fragment in fragments(text.replace("\\\n", "\n"), labels):
+                for n, line in enumerate(fragment.split("\n")):
+                    body += ("\n" if n else "") + ((" " if body or n else "") + line if line else "")
+            body += "\n\n" if block.kind == "paragraph" else ""
     if body.strip():
         yield Chunk(body.strip(), context, start, len(markdown.encode()))
 

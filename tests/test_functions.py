@@ -100,3 +100,19 @@ def test_under_indexed_root(target, cwd, paths, form):
 
 def test_affected_roots():
     assert affected_roots(["/a", "/b"], ["/b/x.md"]) == ["/b"]
+
+
+def test_sections_follow_commonmark():
+    def texts(markdown):
+        return [(s.content, s.heading_context) for s in sections(markdown)]
+
+    assert texts("- aaa\n- bbb") == [("aaa bbb", "")]
+    assert texts("- aaa\n\n- bbb") == [("aaa\n\n bbb", "")]
+    assert texts("- a\n  - b\n  - c\n- d") == [("a b c d", "")]
+    assert texts("a &amp; b") == [("a  &  b", "")]
+    assert texts("> # H\n> x\nlazy") == [("H x\n lazy", "H")]
+    assert texts("[x]: http://u\n\n[x] and [y]") == [("x  and  [ y ]", "")]
+    assert texts("    code\n\nTop\n===\ntext") == [("code", ""), ("Top text", "Top")]
+    assert texts("- a\n\n  ~~~\n  # no heading\n  ~~~") == [("a\n\n # no heading", "")]
+    assert texts("<div>\nraw\n</div>\n\ntext \\*q [l](u)") == [("text  *q  l", "")]
+    assert texts("") == texts("\n \n") == []
