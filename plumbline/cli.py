@@ -1,4 +1,4 @@
-"""Command line: index, search, window, status, chunks, savings, watch."""
+"""Command line: index, search, window, status, chunks, savings, watch, hook."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ import sys
 from pyspark.sql import SparkSession
 
 from plumbline import config as settings
+from plumbline.functions import render
 from plumbline.operators import analytics
-from plumbline.plans.bank import Bank, BankSet, format_results
+from plumbline.plans.bank import Bank, BankSet
+from plumbline.service import LogWriter, run_hook
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,10 +36,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("chunk_id", type=int)
     s.add_argument("-r", "--radius", type=int, default=1)
     s.add_argument("--max-chars", type=int, default=2000)
-    sub.add_parser("status")
+    s = sub.add_parser("status")
+    s.add_argument("--output", choices=("text", "json"), default="text")
     sub.add_parser("chunks").add_argument("path")
     s = sub.add_parser("savings")
     s.add_argument("--history", type=int)
+    s.add_argument("--output", choices=("text", "json"), default="text")
+    sub.add_parser("hook").add_argument("kind", choices=("index", "search"))
     sub.add_parser("watch").add_argument("paths", nargs="+")
     return p
 
@@ -46,6 +51,10 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config = settings.load(args.config).with_overrides(args.dim, args.model, args.db).validated()
     spark = SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.command == "hook":
+        if os.path.isdir(config.db_path):
+            run_hook(args.kind, sys.stdin.read(), lambda: Bank(spark, config.db_path, config))
+        return 0
     if args.command != "index" and args.command != "watch" and not os.path.isdir(config.db_path):
         print(f"No index at {config.db_path}. Run 'index' first.")
         return 1
@@ -64,22 +73,30 @@ def main(argv: list[str] | None = None) -> int:
             print("The index is empty.")
             return 0
         if args.context and len(banks.banks) == 1:
-            for h in hits:
-                h["content"] = bank.context(h["id"], args.radius)
-        measured = analytics.measured(found, bank.table("documents")).first()
-        bank.append_log("cli", args.query, args.k, measured["result_bytes"], measured["baseline_bytes"])
-        print(json.dumps(hits, indent=2, ensure_ascii=False) if args.output == "json" else format_results(hits))
+            windows = [bank.context(h["id"], args.radius) for h in hits]
+        else:
+            windows = None
+        log = LogWriter(bank)
+        log.append("cli", args.query, args.k, hits)
+        if args.output == "json":
+            shown = [h | {"content": w} for h, w in zip(hits, windows, strict=True)] if windows else hits
+            print(json.dumps(shown, indent=2, ensure_ascii=False))
+        else:
+            print(render.results(hits, args.query, windows, args.radius))
+        log.close()
     elif args.command == "window":
         print(bank.context(args.chunk_id, args.radius, args.max_chars))
     elif args.command == "status":
-        print(json.dumps(bank.stats(), indent=2))
+        print(json.dumps(bank.stats(), indent=2) if args.output == "json" else render.status(bank.stats(), config.db_path, config.model_id))
     elif args.command == "chunks":
         for r in bank.chunks_of(args.path).collect():
             head = "\n".join(r["content"].split("\n")[:3])
             print(f"[{r['chunk_index']}] {r['heading_context'] or '(no heading)'} ({r['start_byte']}–{r['end_byte']})\n{head}\n")
     elif args.command == "savings":
         rows = analytics.recent(bank.log(), args.history) if args.history else analytics.costs(analytics.savings(bank.log()))
-        print(json.dumps([r.asDict() for r in rows.collect()], indent=2))
+        shown = [r.asDict() for r in rows.collect()]
+        text = (render.history if args.history else render.savings)(shown)
+        print(json.dumps(shown, indent=2) if args.output == "json" else text)
     else:
         from plumbline.streaming.watch import watch
 

@@ -11,13 +11,13 @@ import os
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import EngineConfig
-from plumbline.errors import DimensionMismatch, ModelMismatch, NotFound
+from plumbline.errors import Conflict, DimensionMismatch, DuplicatePath, ModelMismatch, NotFound, StorageError
 from plumbline.functions.markdown import chunk_markdown
 from plumbline.functions.text import normalise_path, under
 from plumbline.operators import analytics, diff, retrieval, windows
@@ -30,16 +30,20 @@ TABLES = {
     "chunks": "id long, document_id long, content string, heading_context string, start_byte long, end_byte long, chunk_index long, embedding array<float>",
     "metadata": "key string, value string",
 }
+#: Failures that a report names; it counts all.
+ERRORS_SHOWN = 1000
 LOG = "id long, ts long, source string, query string, top_k long, result_bytes long, baseline_bytes long"
 
 
 @dataclass
 class Report:
-    """How many files each outcome had, and what was written."""
+    """How many files each outcome had, what was written, and the first ``ERRORS_SHOWN`` of the paths that failed, with reasons."""
 
     counts: dict[str, int]
     removed: int = 0
     chunks: int = 0
+    bytes: int = 0
+    errors: list[tuple[str, str]] = field(default_factory=list)
 
     def summary(self) -> str:
         parts = [f"{self.counts.get(k, 0)} {k}" for k in ("added", "modified", "unchanged", "error")]
@@ -54,11 +58,15 @@ class Bank:
         self.embedder = embedder or HashEmbedder()
         if self._pointer() is None:
             self._commit({n: spark.createDataFrame([], s) for n, s in TABLES.items() if n != "metadata"})
-        meta = {r["key"]: r["value"] for r in self.table("metadata").collect()}
+        meta = self.metadata()
+        if int(meta["schema_version"]) > int(SCHEMA_VERSION):
+            raise StorageError(f"the index has schema {meta['schema_version']}, newer than {SCHEMA_VERSION}")
         if int(meta["embedding_dim"]) != self.config.embedding_dim:
             raise DimensionMismatch(f"the index has {meta['embedding_dim']} dimensions, not {self.config.embedding_dim}")
         if meta["model_id"] != self.config.model_id:
             raise ModelMismatch(f"the index was made with {meta['model_id']}, not {self.config.model_id}")
+        if meta["schema_version"] != SCHEMA_VERSION:
+            self._migrate()
 
     # --- storage
 
@@ -77,12 +85,32 @@ class Bank:
         names = sorted(s.getPath().getName() for s in fs.listStatus(self._path("current")))
         return names[-1] if names else None
 
-    def _commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes a whole version, then its marker: the change takes effect at once."""
+    def version(self) -> str | None:
+        """What names the state that readers see now."""
+        return self._pointer()
+
+    def metadata(self) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self.table("metadata").collect()}
+
+    def _migrate(self) -> None:
+        """Brings an older index up to date. Words are indexed from the chunks at each search and the log begins with the
+        first entry, so older tables hold all that is needed and only the stated schema changes."""
+        self._commit({n: self.table(n) for n in TABLES if n != "metadata"}, self._pointer())
+
+    def _commit(self, tables: dict[str, DataFrame], parent: str | None = None, schema_version: str = SCHEMA_VERSION) -> None:
+        """Writes a whole version, then its marker: the change takes effect at once.
+
+        parent: the version the change was made from. If another is current by the time the tables are written, the change
+        is refused. Between this look and the marker lies no work, but no lock either: writers that commit within the same
+        instant need one of their own.
+        """
         version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        meta = [("schema_version", SCHEMA_VERSION), ("embedding_dim", str(self.config.embedding_dim)), ("model_id", self.config.model_id)]
+        meta = [("schema_version", schema_version), ("embedding_dim", str(self.config.embedding_dim)), ("model_id", self.config.model_id)]
         for name, df in (tables | {"metadata": self.spark.createDataFrame(meta, TABLES["metadata"])}).items():
             df.write.parquet(f"{self.root}/{version}/{name}")
+        if parent is not None and self._pointer() != parent:
+            self._fs().delete(self._path(version), True)
+            raise Conflict("another writer has changed the index; try again")
         self._fs().create(self._path(f"current/{version}"), True).close()
 
     def table(self, name: str) -> DataFrame:
@@ -120,12 +148,15 @@ class Bank:
         twice in the report; the later text by hash stays. Rows with an error change nothing.
         """
         progress(0.0)
+        begun = self._pointer()
         documents, chunks = self.table("documents"), self.table("chunks")
         judged = diff.changes(incoming, documents, force).cache()
         counts = {r["status"]: r["files"] for r in diff.report(judged).collect()}
         gone = removed.select(normalise_path(F.col("path")).alias("path")).distinct() if removed is not None else None
         n_gone = documents.join(gone, "path", "left_semi").count() if gone is not None else 0
         report = Report(counts, n_gone)
+        if counts.get("error"):
+            report.errors = [(r["path"], r["error"]) for r in judged.where("status = 'error'").orderBy("path").limit(ERRORS_SHOWN).collect()]
         if dry_run or not (n_gone or counts.get("added") or counts.get("modified")):
             judged.unpersist()
             return report
@@ -141,7 +172,9 @@ class Bank:
         new_chunks = with_embeddings(self._chunked(fresh), "content", self.embedder, self.config.model_id, self.config.embedding_dim)
         new_chunks = new_chunks.withColumn("id", F.monotonically_increasing_id() + after_chunk)
         names = {n: [c.split()[0] for c in s.split(", ")] for n, s in TABLES.items()}
-        self._commit({"documents": kept.select(names["documents"]).unionByName(fresh.select(names["documents"])), "chunks": kept_chunks.select(names["chunks"]).unionByName(new_chunks.select(names["chunks"]))})
+        self._commit({"documents": kept.select(names["documents"]).unionByName(fresh.select(names["documents"])), "chunks": kept_chunks.select(names["chunks"]).unionByName(new_chunks.select(names["chunks"]))}, begun)
+        progress(0.8)
+        report.bytes = fresh.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
         report.chunks = self.table("chunks").where(F.col("id") >= after_chunk).count()
         fresh.unpersist()
         judged.unpersist()
@@ -167,6 +200,42 @@ class Bank:
         gone = self.spark.createDataFrame([(p,) for p in removed], "path string")
         return self.apply(files.read_files(self.spark, changed, self.config.max_file_size), gone, force)
 
+    # --- single documents
+
+    def _with_documents(self, documents: DataFrame, begun: str | None) -> None:
+        self._commit({"documents": documents, "chunks": self.table("chunks")}, begun)
+
+    def insert_document(self, path: str, content_hash: str, title: str | None = None, file_size: int = 0) -> int:
+        """Adds a document without chunks and gives its id; a path that is there already is an error."""
+        begun, documents = self._pointer(), self.table("documents")
+        if documents.where(F.col("path") == path).limit(1).count():
+            raise DuplicatePath(path)
+        new = (documents.agg(F.max("id")).first()[0] or 0) + 1
+        now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+        self._with_documents(documents.unionByName(self.spark.createDataFrame([(new, path, content_hash, title, now, file_size)], TABLES["documents"])), begun)
+        return new
+
+    def update_document_hash(self, path: str, content_hash: str, file_size: int | None = None) -> None:
+        begun, documents, here = self._pointer(), self.table("documents"), F.col("path") == path
+        if not documents.where(here).limit(1).count():
+            raise NotFound(path)
+        new = {"content_hash": F.lit(content_hash), "indexed_at": F.lit(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()))} | ({} if file_size is None else {"file_size": F.lit(file_size).cast("long")})
+        self._with_documents(documents.withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in new.items()}), begun)
+
+    def delete_chunks(self, document_id: int) -> int:
+        """Takes the chunks of a document out, leaves the document, and gives their number."""
+        begun, chunks, there = self._pointer(), self.table("chunks"), F.col("document_id") == document_id
+        n = chunks.where(there).count()
+        if n:
+            self._commit({"documents": self.table("documents"), "chunks": chunks.where(~there)}, begun)
+        return n
+
+    def document_roots(self) -> DataFrame:
+        """A path for each folder that ``gates.under_indexed_root`` tells apart: far fewer than there are documents."""
+        p = F.col("path")
+        folder = F.when(p.startswith("/"), F.regexp_replace(p, "[^/]*$", "_")).when(p.contains("/"), F.concat(F.substring_index(p, "/", 1), F.lit("/_"))).otherwise(p)
+        return self.table("documents").select(folder.alias("path")).distinct()
+
     # --- search
 
     def queries(self, texts: list[str]) -> DataFrame:

@@ -97,7 +97,7 @@ def filter_prompt_length(spark, d):
 
 @query("SELECT doc_id, text IS NOT NULL AND strlen(text) > 4000 AS too_large FROM documents")
 def filter_size_guard(spark, d):
-    return t(spark, d, "documents").select("doc_id", (F.octet_length("text") > 4000).alias("too_large"))
+    return t(spark, d, "documents").select("doc_id", F.coalesce(F.octet_length("text") > 4000, F.lit(False)).alias("too_large"))
 
 
 # --- joins
@@ -140,6 +140,12 @@ def join_prefix_roots(spark, d):
     return docs(spark, d).join(F.broadcast(roots), tx.under(F.col("path"), F.col("root"))).groupBy("root").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("SELECT vec_id, label, lang, toxic FROM embeddings JOIN documents ON doc_id = vec_id JOIN labels USING (doc_id)")
+def join_vectors_documents(spark, d):
+    vectors = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return vectors.join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id").join(t(spark, d, "labels").select("doc_id", "toxic"), "doc_id").withColumnRenamed("doc_id", "vec_id")
+
+
 # --- aggregates, windows, sets
 
 
@@ -349,6 +355,13 @@ def rrf_fusion(spark, d):
     return retrieval.fuse(retrieval.knn(*_vectors(spark, d), 15), words).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
+@query(_KNN + ", " + _BM25 + " SELECT query_id, id, bm25_rank FROM bm25 ANTI JOIN knn USING (query_id, id)")
+def bm25_only_ids(spark, d):
+    """Candidates that words alone have found."""
+    words = lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, AND_QUERIES, 100), 15)
+    return words.join(retrieval.knn(*_vectors(spark, d), 15), ["query_id", "id"], "left_anti").select("query_id", "id", "bm25_rank")
+
+
 def _hybrid(spark: SparkSession, d: str, part: str = "id >= 0") -> DataFrame:
     vectors, _ = _vectors(spark, d)
     # Documents without a vector are found by words alone; the heading is the title anywhere in the text, if it has one.

@@ -1,12 +1,13 @@
-"""Watching folders: a stream of ticks, each of which brings the index up to what is on disk.
+"""Watching folders: a stream of ticks, each of which re-indexes the roots below which files have changed.
 
 File streams of Spark never report a file again after it was changed, so the stream carries time alone;
-the stored hashes decide what is new. Ticks that come while one is at work fall together, which is
+file times and sizes say which roots to look at, the stored hashes what is new there. Ticks that come while one is at work fall together, which is
 what debouncing is for.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,23 +15,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.plans.bank import LOG, Bank, Report
+from plumbline.sources import files
 
 DEBOUNCE_MS = 500
 
 
 def affected_roots(roots: list[str], changed: list[str]) -> list[str]:
-    """The roots that hold any of the changed paths."""
-    return [r for r in roots if any(p == r or p.startswith(r.rstrip("/") + "/") for p in changed)]
+    """The roots that hold any of the changed paths, links to folders resolved."""
+    found = [os.path.realpath(p) for p in changed]
+    return [r for r in roots if any(p == (at := os.path.realpath(r)) or p.startswith(at.rstrip("/") + "/") for p in found)]
+
+
+def snapshot(roots: list[str], recursive: bool = True) -> dict[str, tuple[int, int]]:
+    """Time of change and size of each Markdown file below the roots."""
+    out = {}
+    for root in roots:
+        for path in files.discover(root, recursive):
+            try:
+                at = os.stat(path)
+            except FileNotFoundError:
+                continue
+            out[path] = (at.st_mtime_ns, at.st_size)
+    return out
+
+
+def changed_files(before: dict[str, tuple[int, int]], after: dict[str, tuple[int, int]]) -> list[str]:
+    """Files that came, went or changed."""
+    return sorted(p for p in before.keys() | after.keys() if before.get(p) != after.get(p))
 
 
 def watch(bank: Bank, roots: list[str], recursive: bool = True, on_report: Callable[[Report], None] = lambda _: None, debounce_ms: int = DEBOUNCE_MS) -> StreamingQuery:
     """Indexes all roots, then keeps them indexed until the query is stopped."""
 
+    seen = snapshot(roots, recursive)
+
     def update(*_: object) -> None:
-        for root in roots:
+        nonlocal seen
+        now = snapshot(roots, recursive)
+        for root in affected_roots(roots, changed_files(seen, now)):
             on_report(bank.index_path(root, recursive))
+        seen = now
 
-    update()
+    for root in roots:
+        on_report(bank.index_path(root, recursive))
     ticks = bank.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     return ticks.writeStream.trigger(processingTime=f"{debounce_ms} milliseconds").foreachBatch(update).start()
 
