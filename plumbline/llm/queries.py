@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, bpe, chat, exact_dedup, html_extract, langid, minhash, packing, token_store, url_filter
+from plumbline.llm import ann, bpe, chat, exact_dedup, fim, html_extract, langid, minhash, packing, token_store, trie, url_filter
 from plumbline.llm.common import scratch, table
 
 IDS_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,14 +70,29 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_byte_bpe, op3_url_filter, op4_near_dedup, op5_exact_dedup, op6_packing, op7_chat_format, op8_language_id, op9_token_store, op10_ann)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    whole = fim.restored(F.col("output"), F.col("form"))
+    digests = (F.sha2(c, 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (whole, "restored_sha256")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        op1_html_extract, op2_byte_bpe, op3_url_filter, op4_near_dedup, op5_exact_dedup, op6_packing, op7_chat_format, op8_language_id, op9_token_store, op10_ann,
+        op11_fill_in_middle, op13_prefix_trie,
+    )
+    return {f.__name__: f for f in found}
 
-# What a text adds to the template: a backslash before each control string.
-_ESCAPES = r"(length(regexp_replace({x}, '(\\\\|###|</turn>{more})', '\\\\\\1', 'g')))"
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DRAWS = ", ".join(f"CAST('0x' || substr(s, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+# CRC-32 of the decimal id: eight steps by the reversed polynomial for each byte, as SQL has no such function.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda v, i: xor(v // 2, 3988292384 * (v % 2)))), 4294967295)"
 
 ORACLE_SQL = {
     "op3_url_filter": r"""
@@ -101,6 +116,29 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verd
 WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+""",
+    "op11_fill_in_middle": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, length(x) AS n, {_DRAWS} FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(x, 1, a) AS pre, substr(x, a + 1, b - a) AS mid, substr(x, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+""",
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY place) AS own, {_CRC} % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, coalesce(b.own[:c.h], []) || c.own[c.h + 1:] AS turns FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, len(turns) AS size, d AS depth, turns[:d] AS path, turns[d].text AS last FROM r, unnest(range(0, len(turns) + 1)) u(d)),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) = depth AS leaf,
+        CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+')) END AS words,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM p GROUP BY depth, path),
+below AS (SELECT top.depth, top.path, sum((n.n_convs - 1) * n.words) AS saved_tokens, count(*) FILTER (n.leaf) AS n_leaves, count(*) FILTER (n.depth = top.depth + 1) AS n_children
+  FROM n JOIN n top ON top.depth <= n.depth AND n.path[:top.depth] = top.path GROUP BY ALL)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN below USING (depth, path) LEFT JOIN n up ON up.depth = n.depth - 1 AND up.path = n.path[:n.depth - 1]
 """,
 }
 
