@@ -22,11 +22,13 @@ with a chance of 5e-8.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import BROADCAST_KEYS, KEY, bounded_batches, discard, join_groups, keyed, partitions, quoted, stored
@@ -109,6 +111,23 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
 
 
+#: Bits a shingle of ``marks``, which a comparison of two sets takes before it reads them.
+MARKS = 3
+
+
+def marks(hashes: np.ndarray) -> bytes:
+    """Parity bits in proportion to the set, at least 64: they still tell long sets apart, whose ``parity`` says little."""
+    bits = max(6, (MARKS * len(hashes) - 1).bit_length())
+    places = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parity bits as those of ``width`` bytes, which say less: neighbouring bits are added up."""
+    bits = np.unpackbits(x, axis=1)
+    return np.packbits(bits.reshape(len(x), 8 * width, -1).sum(axis=2).astype(np.uint8) & 1, axis=1)
+
+
 def matrix(values: pa.Array, width: int, kind: type) -> np.ndarray:
     """Binary values of ``width`` bytes each as rows."""
     return np.frombuffer(b"".join(values.to_pylist()), kind).reshape(len(values), -1) if len(values) else np.zeros((0, width // np.dtype(kind).itemsize), kind)
@@ -124,20 +143,25 @@ def possible(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return (100 + percent) * apart <= (100 - percent) * sizes
 
 
+def leading(n: np.ndarray | Column, at: np.ndarray | Column, percent: int) -> np.ndarray | Column:
+    """Whether a set's place ``at`` may be the first it shares with a linked set that is no smaller."""
+    return (100 + percent) * (n - at) >= 2 * percent * n
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """``_row, doc_id, n, digest, sig, parity`` of rows with ``_row, doc_id, text``; the last three are null for empty sets."""
+    """``_row, doc_id, n, digest, sig, parity, marks`` of rows with ``_row, doc_id, text``; the last four are null for empty sets."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(text, width) for text in batch.column("text").to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            sigs, bits = ([f(s) if len(s) else None for s in sets] for f in (signature, parity))
+            found = [[f(s) if len(s) else None for s in sets] for f in (signature, parity, marks)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, bits))],
-                names=["_row", "doc_id", "n", "digest", "sig", "parity"],
+                [batch.column("_row"), batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, *found))],
+                names=["_row", "doc_id", "n", "digest", "sig", "parity", "marks"],
             )
 
-    return docs.mapInArrow(run, f"_row {KEY}, doc_id long, n long, digest binary, sig binary, parity binary")
+    return docs.mapInArrow(run, f"_row {KEY}, doc_id long, n long, digest binary, sig binary, parity binary, marks binary")
 
 
 def shingles(texts: DataFrame, width: int) -> DataFrame:
@@ -197,6 +221,30 @@ def neighbours(nodes: DataFrame, percent: int) -> DataFrame:
     return orders.select("tree", F.substring("key", 1, LEAD_BYTES).alias("lead"), "n", "node", "parity").mapInArrow(run, "a long, b long").distinct()
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b and others) that the ``marks`` of ``nodes`` (node, n, marks) leave open: no link is lost."""
+
+    def run(batches):
+        for batch in batches:
+            c = {k: batch.column(k) for k in ("marks_a", "marks_b")}
+            widths = {k: pc.binary_length(v).to_numpy() for k, v in c.items()}
+            sizes = batch.column("sizes").to_numpy()
+            keep = np.zeros(len(sizes), bool)
+            both = np.stack([widths["marks_a"], widths["marks_b"]], axis=1)
+            for wa, wb in np.unique(both, axis=0):
+                at = np.flatnonzero((both == (wa, wb)).all(axis=1))
+                x, y = (matrix(c[k].take(pa.array(at)), w, np.uint8) for k, w in (("marks_a", wa), ("marks_b", wb)))
+                least = min(wa, wb)
+                x, y = (v if v.shape[1] == least else folded(v, least) for v in (x, y))
+                keep[at] = possible(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), sizes[at], percent)
+            yield batch.select(names).filter(pa.array(keep))
+
+    names = pairs.columns
+    a, b = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("marks").alias(f"marks_{k}")) for k in ("a", "b"))
+    both = pairs.join(a, "a").join(b, "b").select(*names, (F.col("n_a") + F.col("n_b")).alias("sizes"), "marks_a", "marks_b")
+    return both.mapInArrow(run, pairs.schema)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b and others) with 100 * intersection >= percent * union of their full sets."""
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a"))
@@ -290,7 +338,8 @@ def meetings(postings: DataFrame, percent: int, nearest: bool) -> DataFrame:
     names = ["key", "n", "at", "node", "label", "side"]
 
     def met(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-        found, a, step = [np.zeros((0, 5), np.int64)], np.arange(len(c["key"])), 1
+        # A smaller set is found only by a place from which enough of it is left, were the other as small.
+        found, a, step = [np.zeros((0, 5), np.int64)], np.flatnonzero(leading(c["n"], c["at"], percent)), 1
         while len(a):
             a = a[a + step < len(c["key"])]
             # Within a key sizes grow: once one is too large, so are all that follow.
@@ -338,10 +387,12 @@ def meetings(postings: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
 def met_by_prefix(postings: DataFrame, members: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """``meetings`` of ``members`` (node, n, parity, label) by their ``postings`` (key, at, node)."""
-    named = postings.join(members.select("node", "label"), "node")
-    counts = named.groupBy("key").agg(F.count(F.lit(1)).alias("count"), (F.min("label") < F.max("label")).alias("mixed"))
-    mixed = stored(counts.where("mixed").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "mixed")
+    named = postings.select("key", "at", "node").join(members.select("node", "n", "label"), "node")
+    begins = F.max(leading(F.col("n"), F.col("at"), percent)).alias("begins")
+    counts = named.groupBy("key").agg(F.count(F.lit(1)).alias("count"), (F.min("label") < F.max("label")).alias("mixed"), begins)
+    mixed = stored(counts.where("mixed AND begins").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "mixed")
     hot, rest = stored(mixed.where("blocks > 1"), "hot"), mixed.where("blocks = 1").select("key")
+    postings, members = postings.select("key", "at", "node"), members.select("node", "n", "parity", "label")
     dealt = postings.join(rest, "key").join(members, "node").withColumn("side", F.lit(0))
     if not hot.isEmpty():  # as many as all postings by BLOCK at most
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -353,25 +404,50 @@ def met_by_prefix(postings: DataFrame, members: DataFrame, percent: int, nearest
     return meetings(dealt, percent, nearest)
 
 
-def hidden_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of labels that connect ``members`` (node, n, parity, label) as all links between them would, by an exact join.
+def linked_labels(postings: DataFrame, members: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of labels that connect ``members`` (node, n, parity, marks, label) as all links between them would.
 
-    First the nearest nodes of each pair of labels are compared. Labels that this leaves apart are compared by all pairs of nodes.
+    First the nearest nodes of each pair of labels are compared, by ``confirm``, which gives the linked rows of pairs (a, b and
+    others). Labels that this leaves apart are compared by all pairs of nodes that share a key of ``postings`` (key, at, node).
     """
-    own = sets.join(members.select("node"), "node", "left_semi")
-    postings = stored(postings_of(own, percent, common_shingles(own)), "postings")
     links = None
     for nearest in (True, False):
-        pairs = stored(met_by_prefix(postings, members, percent, nearest), "meetings")
-        found = stored(confirmed(pairs.select("a", "b", "label_a", "label_b"), sets, percent).select("label_a", "label_b").distinct().toDF("a", "b"), "hidden")
+        pairs = met_by_prefix(postings, members, percent, nearest).select("a", "b", "label_a", "label_b")
+        pairs = stored(plausible(pairs, members.select("node", "n", "marks"), percent), "meetings")
+        found = stored(confirm(pairs).select("label_a", "label_b").distinct().toDF("a", "b"), "hidden")
         discard(pairs)
         links = found if links is None else links.union(found)
         if nearest and not found.isEmpty():
             members = stored(relabelled(members, components(found)), "members")
+    return links
+
+
+def hidden_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``linked_labels`` by an exact join of the prefixes of the members' ``sets``."""
+    own = sets.join(members.select("node"), "node", "left_semi")
+    postings = stored(postings_of(own, percent, common_shingles(own)), "postings")
+    links = linked_labels(postings, members, percent, lambda pairs: confirmed(pairs, sets, percent))
     discard(postings)
     return links
 
 
+def with_components(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``_row, doc_id, n_shingles, component_id, kept`` of documents ``rows`` (_row, doc_id, n, digest): see ``near_duplicates``.
+
+    named: ``digest, first, size, label`` of each set, its documents' least and their number, and its component.
+    """
+    n_rows = rows.count()
+    named = stored(named.select("digest", "first", "size", "label"), "components")
+    of_component = named.groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("nodes"))
+    # Components may be large: the few that hold many nodes go to every task.
+    labelled = join_groups(named.select("digest", "size", "label"), of_component, "label", "nodes", n_rows).select("digest", "size", F.col("least").alias("first"))
+    labelled = stored(labelled, "labelled")
+    whole = join_groups(rows.where("n > 0").select("_row", "doc_id", "n", "digest"), labelled, "digest", "size", n_rows)
+    whole = whole.select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("_row") == F.col("first._row")).alias("kept"))
+    empty = rows.where("n = 0").select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return whole.unionByName(empty)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "") -> DataFrame:
     """A row per document: ``_row, doc_id, n_shingles, component_id, kept``.
 
@@ -387,33 +463,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     wanted = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     ids = docs.select(*(F.col(c).alias("_row") for c in quoted([key])), *wanted) if key else keyed(docs.select(*wanted), "_row")
     rows = stored(features(ids, width), "features")
-    n_rows = rows.count()
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))
-    groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig", "parity")).alias("rep"))
+    groups = rows.where("n > 0").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("_row", "n", "sig", "parity", "marks")).alias("rep"))
     # Numbers are written with the nodes, so they stay.
     nodes = stored(groups.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "size", "rep.*"), "nodes")
     near = stored(neighbours(nodes, percent), "near")
     needed = near.select("a").union(near.where("b IS NOT NULL").select("b")).distinct().toDF("node").join(nodes.select("node", "_row"), "node")
     needed = stored(needed, "needed")
     sets = stored(shingles(ids.join(F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed, "_row"), width), "sets")
-    links = stored(confirmed(near.where("b IS NOT NULL"), sets, percent), "links")
-    named = nodes.select("node", "n", "parity", "digest", "first", "size", F.col("node").alias("label"))
+    links = stored(confirmed(plausible(near.where("b IS NOT NULL"), nodes, percent), sets, percent), "links")
+    named = nodes.select("node", "n", "parity", "marks", "digest", "first", "size", F.col("node").alias("label"))
     if not links.isEmpty():
         named = relabelled(named, components(links))
     named = stored(named, "named")
-    members = stored(named.join(near.where("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi").select("node", "n", "parity", "label"), "members")
+    members = stored(named.join(near.where("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi").select("node", "n", "parity", "marks", "label"), "members")
     if not members.isEmpty():
         hidden = hidden_links(members, sets, percent)
         if not hidden.isEmpty():
             named = relabelled(named, components(hidden))
     for done in (near, needed, sets, links, members):
         discard(done)
-    named = stored(named.select("digest", "first", "size", "label"), "components")
-    of_component = named.groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("nodes"))
-    # Components may be large: the few that hold many nodes go to every task.
-    labelled = join_groups(named.select("digest", "size", "label"), of_component, "label", "nodes", n_rows).select("digest", "size", F.col("least").alias("first"))
-    labelled = stored(labelled, "labelled")
-    whole = join_groups(rows.where("n > 0").select("_row", "doc_id", "n", "digest"), labelled, "digest", "size", n_rows)
-    whole = whole.select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("_row") == F.col("first._row")).alias("kept"))
-    empty = rows.where("n = 0").select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return whole.unionByName(empty)
+    return with_components(rows, named)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, bpe, chat, exact_dedup, fim, html_extract, langid, minhash, packing, token_store, trie, url_filter
+from plumbline.llm import ann, bpe, chat, exact_dedup, fim, html_extract, jaccard, langid, minhash, packing, token_store, trie, url_filter
 from plumbline.llm.common import scratch, table
 
 IDS_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,6 +77,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_documents(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -84,12 +89,27 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_html_extract, op2_byte_bpe, op3_url_filter, op4_near_dedup, op5_exact_dedup, op6_packing, op7_chat_format, op8_language_id, op9_token_store, op10_ann,
-        op11_fill_in_middle, op13_prefix_trie,
+        op11_fill_in_middle, op12_jaccard_join, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components(width: int, percent: int) -> str:
+    """Shingle sets, their links and what these reach: ``sets`` (doc_id, s) and ``least`` (doc_id, component_id)."""
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' ')) END) AS s FROM words),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = reach.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)"""
+
+
 _DRAWS = ", ".join(f"CAST('0x' || substr(s, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
 # CRC-32 of the decimal id: eight steps by the reversed polynomial for each byte, as SQL has no such function.
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda v, i: xor(v // 2, 3988292384 * (v % 2)))), 4294967295)"
@@ -112,6 +132,7 @@ fit AS (
   GROUP BY ALL)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM fit
 """,
+    "op4_near_dedup": _components(3, 85) + " SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)",
     "op5_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
@@ -127,6 +148,7 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
 FROM p
 """,
+    "op12_jaccard_join": _components(5, 80) + " SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least USING (doc_id)",
     "op13_prefix_trie": f"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY place) AS own, {_CRC} % 4 AS h FROM t GROUP BY conv_id),
