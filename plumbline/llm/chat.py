@@ -43,6 +43,8 @@ class Mapping:
     order: str = ""
 
 
+#: The key of tables that hold canonical turns already.
+CANONICAL_KEY = "conv_id"
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 #: Layouts by their field paths; ``[]`` stands for the items of a list. Paths beside these are passed over.
@@ -197,12 +199,14 @@ def ordered_turns(rows: DataFrame) -> DataFrame:
     """Turn rows with the turns of a conversation together and in order, spread by conversation.
 
     The mapping that the fingerprint of the table's fields selects says which columns these are; other columns are
-    passed over, whatever their names. Null turns come first, equal turns follow by role and text. Rows are streamed, so a
+    passed over, whatever their names. Roles are put through ``ROLES``, but for those of canonical turns, which stay. Null turns come first, equal turns follow by role and text. Rows are streamed, so a
     conversation of any length needs no more memory than a batch.
     """
     mapping = row_mapping(schema_paths(rows.schema))
-    empty = F.lit("")
-    columns = {"conv_id": F.col(mapping.key).cast("long"), "turn": F.col(mapping.order).cast("long"), "role": F.coalesce(mapping.role, empty), "text": F.coalesce(mapping.text, empty)}
+    empty, role = F.lit(""), F.col(mapping.role)
+    if mapping.key != CANONICAL_KEY:
+        role = F.coalesce(F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))[role], role)
+    columns = {"conv_id": F.col(mapping.key).cast("long"), "turn": F.col(mapping.order).cast("long"), "role": F.coalesce(role, empty), "text": F.coalesce(mapping.text, empty)}
     turns = rows.select(*(c.alias(name) for name, c in columns.items()))
     return turns.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

@@ -173,7 +173,7 @@ def boundary(firsts: DataFrame, percent: int, listed: np.ndarray) -> int:
         from_ = _bin(int(shared_at_least(_size(at), percent)))
         return sum(light for b, light, _ in costs if b < at) + sum(heavy for b, _, heavy in costs if b >= from_)
 
-    ends = range(0, costs[-1][0] + 2) if costs else [0]
+    ends = range(0, costs[-1][0] + BINS + 2) if costs else [0]  # up to where even the largest sets have no heavy partner
     return _size(min(ends, key=cost))
 
 

@@ -31,8 +31,8 @@ FAMILY, HEADS = 20, 4
 _LANES = ("p0", "p1", "p2", "p3")
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], kept: list[str], name: str) -> DataFrame:
-    """``key``, ``kept`` and the place from 0 of each row among those of the same ``key`` by ``order`` (nulls first), stored.
+def numbered(rows: DataFrame, key: str, order: list[str], kept: dict[str, Column], name: str) -> DataFrame:
+    """``key``, the columns ``kept`` and the place from 0 of each row among those of the same ``key`` by ``order`` (nulls first), stored.
 
     Rows are sorted over all tasks by key and order; each task numbers its own, and the few keys that reach over several
     tasks go on where the task before ended.
@@ -40,7 +40,8 @@ def numbered(rows: DataFrame, key: str, order: list[str], kept: list[str], name:
     # Equal rows are alike, so any split of them will do.
     by = [F.asc_nulls_first(c) for c in (key, *order, "_tie")]
     dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
-    dealt = stored(dealt.select(key, *kept, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "dealt")
+    # What is kept is worked out behind the sort, which looks at the rows twice.
+    dealt = stored(dealt.select(key, *(c.alias(n) for n, c in kept.items()), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "dealt")
     counts = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # At most one key reaches into a task from those before it.
@@ -84,8 +85,7 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
     # The length keeps role and text apart.
     digest = F.sha2(F.concat_ws(":", F.octet_length("role").cast("string"), "role", "text"), 256)
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    turns = turns.select("conv_id", "turn", "role", "text", digest.alias("digest"), words.alias("words"))
-    turns = numbered(turns, "conv_id", ["turn", "role", "text"], ["digest", "words"], "place")
+    turns = numbered(turns, "conv_id", ["turn", "role", "text"], {"digest": digest, "words": words}, "place")
     sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
     asked = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(HEADS)).cast("int")
     convs = sizes.select("conv_id", "turns", asked.alias("asked"), (F.col("conv_id") - F.col("conv_id") % FAMILY).alias("base"))

@@ -445,7 +445,7 @@ def test_hidden_links_connect_as_all_links_do(spark):
         rows.append((i, " ".join(words)))
     docs = keyed(spark.createDataFrame(rows, "doc_id long, text string"), "_row")
     found = minhash.features(docs, 3)
-    members = stored(found.select(F.col("doc_id").alias("node"), "n", "parity", (F.col("doc_id") - F.col("doc_id") % 2).alias("label")), "members")
+    members = stored(found.select(F.col("doc_id").alias("node"), "n", "parity", "marks", (F.col("doc_id") - F.col("doc_id") % 2).alias("label")), "members")
     sets_of = stored(minhash.shingles(docs.withColumn("node", F.col("doc_id")), 3), "sets")
     links = minhash.hidden_links(members, sets_of, 85).collect()
     parent = {i: i - i % 2 for i in range(50)}
@@ -542,3 +542,13 @@ def test_chat_tables_of_other_layouts(spark):
         assert sorted(map(str, chat.read_back(chat.format_conversations(table)).collect())) == want
     with pytest.raises(ValueError, match="no mapping"):
         chat.format_conversations(plain.drop("turn"))
+
+
+def test_chat_roles_of_tables(spark):
+    """Other layouts' names of the roles are put through the same table as those of JSON records."""
+    rows = [(1, 0, "human", "q"), (1, 1, "gpt", "a"), (2, 0, None, "x"), (2, 1, "narrator", "y")]
+    other = spark.createDataFrame(rows, "conversation_id long, position long, from string, value string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(other)).collect()}
+    assert (got[1]["loss_chars"], got[2]["loss_chars"]) == (1, 0)
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\nq\nassistant\na\n").hexdigest()
+    assert got[2]["turns_sha256"] == hashlib.sha256(b"\nx\nnarrator\ny\n").hexdigest()
