@@ -1,23 +1,17 @@
-"""BM25 over a table of texts, for any number of queries at once.
-
-Only postings of query terms are ever materialised: texts are tokenised, exploded and met with the
-(small, distinct) query terms, so the shuffle carries matches, not the corpus.
-"""
+"""BM25 over a stored index of texts, for any number of queries at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fts
-from plumbline.functions.text import tokens
+from plumbline.operators import postings
+from plumbline.operators.postings import TextIndex
 
-K1, B = 1.2, 0.75
-#: Distinct query terms up to this number are sent to all tasks, more are joined by shuffle.
-BROADCAST_TERMS = 100_000
 PARSED = "query_id long, phrases array<array<string>>, clauses array<struct<need:array<int>,ban:array<int>>>"
 
 
@@ -32,42 +26,15 @@ def parsed(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("query_id").cast("long").alias("query_id"), "query").mapInPandas(run, PARSED)
 
 
-def documents(texts: DataFrame) -> DataFrame:
-    """``id, terms, len`` of rows with ``id, content`` and, if there, ``heading_context``: both columns count as one text of two fields."""
-    heading = tokens(F.coalesce("heading_context", F.lit(""))) if "heading_context" in texts.columns else F.array().cast("array<string>")
-    # A gap between the fields keeps phrases from reaching across.
-    fields = F.concat(tokens(F.coalesce("content", F.lit(""))), F.array(F.lit("")), heading)
-    return texts.select("id", fields.alias("terms")).withColumn("len", F.size("terms") - 1)
-
-
-def bm25(texts: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """``query_id, id, score, bm25_rank``: the ``limit`` best texts of each query, ties to smaller ids.
+def bm25(index: TextIndex, queries: DataFrame, limit: int) -> DataFrame:
+    """``query_id, id, score, bm25_rank``: the ``limit`` best texts of each query (query_id, query), ties to smaller ids.
 
     Terms have to match all (AND), unless the query says OR or NOT; a term in half of the texts or more
-    still counts a little.
+    still counts a little. An empty index gives no rows.
     """
-    wanted = parsed(queries)
-    docs = documents(texts)
-    corpus = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    phrases = wanted.select("query_id", F.posexplode("phrases").alias("phrase", "parts"))
-    parts = phrases.select("query_id", "phrase", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "term"))
-    terms = parts.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    postings = docs.select("id", "len", F.posexplode("terms").alias("at", "term")).join(terms, "term")
-    hits = postings.join(parts, "term")
-    # Where a phrase of several terms starts, all of them stand one after another.
-    starts = hits.groupBy("query_id", "phrase", "n_parts", "id", "len", (F.col("at") - F.col("part")).alias("start")).count().where("count = n_parts")
-    tf = starts.groupBy("query_id", "phrase", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, ["query_id", "phrase"]).crossJoin(F.broadcast(corpus))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    per_text = scored.groupBy("query_id", "id").agg(F.sort_array(F.collect_list(F.struct("phrase", weight.alias("w")))).alias("found"))
-    per_text = per_text.join(wanted.select("query_id", "clauses"), "query_id").withColumn("have", F.col("found.phrase"))
-    met = F.filter("clauses", lambda c: (F.size(F.array_except(c["need"], F.col("have"))) == 0) & ~F.arrays_overlap(c["ban"], F.col("have")))
-    counted = F.flatten(F.transform(F.col("met"), lambda c: c["need"]))
-    score = F.aggregate(F.filter("found", lambda x: F.array_contains(counted, x["phrase"])), F.lit(0.0), lambda s, x: s + x["w"])
-    ranked = per_text.withColumn("met", met).where(F.size("met") > 0).select("query_id", "id", score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return ranked.withColumn("bm25_rank", F.row_number().over(order)).where(F.col("bm25_rank") <= limit)
+    return postings.search(index, parsed(queries), limit)
+
+
+def work(index: TextIndex, queries: DataFrame, limit: int) -> DataFrame:
+    """``query_id, postings, scored``: the postings of each query's terms and those that a search of its best scores."""
+    return postings.work(index, parsed(queries), limit)

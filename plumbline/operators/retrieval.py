@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,50 +14,85 @@ from plumbline.config import EngineConfig
 from plumbline.errors import ConfigError
 from plumbline.functions.text import heading_boost, query_terms
 from plumbline.operators.lexical import bm25
+from plumbline.operators.postings import TextIndex
+from plumbline.storage import scratch
 
-#: Query vectors that one pass over the corpus takes along (numbers, not rows).
+#: Numbers in the query vectors that one pass over the corpus takes along.
 PASS_FLOATS = 8_000_000
+#: Products of queries and rows that a task works out at a time.
+TASK_PRODUCTS = 4_000_000
+FOUND = "query_id long, id long, distance double"
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, distance, vec_rank``: the ``k`` rows of ``vectors`` (id, embedding) with the least cosine distance, ties to smaller ids.
-
-    Each task multiplies its rows with the matrix of query vectors and passes on its own ``k`` best of
-    each query; so the corpus is read once, in place, and only candidates are shuffled. The query
-    matrix is sent to all tasks; its size is checked. Rows without an id or a vector as long as the queries' are passed over.
-    """
-    given = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").limit(PASS_FLOATS).collect()
-    if sum(len(r["embedding"]) for r in given) > PASS_FLOATS:
-        raise ConfigError(f"the query vectors hold more than {PASS_FLOATS} numbers; search in several batches")
-    widths = {len(r["embedding"]) for r in given} or {0}
-    if len(widths) > 1:
-        raise ConfigError("the query vectors differ in length")
-    width = widths.pop()
-    ids = np.array([r["query_id"] for r in given], "i8")
-    matrix = np.array([r["embedding"] for r in given], float).reshape(len(ids), width)
+def _pass(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    """``query_id, id, distance``: the ``k`` best rows of each task for each query; ``vectors`` have the queries' width."""
+    width = matrix.shape[1]
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def best(batches):
         query_ids, q = shared.value
-        held_ids, held = np.zeros((len(q), 0), "i8"), np.zeros((len(q), 0))
-        for batch in batches:
-            rows = batch.column("id").to_numpy()
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), width)
-            norms = np.linalg.norm(x, axis=1)
-            distance = 1 - (q @ x.T) / np.where(norms > 0, norms, np.nan)
-            held_ids = np.concatenate([held_ids, np.broadcast_to(rows, distance.shape)], axis=1)
-            held = np.concatenate([held, distance], axis=1)
-            order = np.lexsort((held_ids, held), axis=1)[:, :k]
-            held_ids, held = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, held.shape[1])), pa.array(held_ids.ravel()), pa.array(held.ravel())], names=["query_id", "id", "distance"])
+        parts = range(0, len(q), max(1, TASK_PRODUCTS // ROWS))
+        held = {p: (np.zeros((len(q[p : p + parts.step]), 0), "i8"), np.zeros((len(q[p : p + parts.step]), 0))) for p in parts}
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                rows = batch.column("id").to_numpy()
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), width)
+                norms = np.linalg.norm(x, axis=1)
+                norms = np.where(norms > 0, norms, np.nan)
+                for p in parts:
+                    distance = 1 - (q[p : p + parts.step] @ x.T) / norms
+                    near = np.concatenate([held[p][1], distance], axis=1)
+                    its = np.concatenate([held[p][0], np.broadcast_to(rows, distance.shape)], axis=1)
+                    order = np.lexsort((its, near), axis=1)[:, :k]
+                    held[p] = np.take_along_axis(its, order, 1), np.take_along_axis(near, order, 1)
+        for p in parts:
+            its, near = held[p]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids[p : p + parts.step], near.shape[1])), pa.array(its.ravel()), pa.array(near.ravel())], names=["query_id", "id", "distance"])
 
     found = vectors.where(F.col("id").isNotNull() & (F.size("embedding") == F.lit(width)) & F.lit(width > 0)).select(F.col("id").cast("long").alias("id"), "embedding")
-    found = found.mapInArrow(best, "query_id long, id long, distance double").where(~F.isnan("distance"))
+    return found.mapInArrow(best, FOUND).where(~F.isnan("distance"))
+
+
+#: Rows of a task's batch.
+ROWS = 4096
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, distance, vec_rank``: the ``k`` rows of ``vectors`` (id, embedding) with the least cosine distance, ties to smaller ids.
+
+    Each task multiplies its rows with a block of query vectors and passes on its own ``k`` best of
+    each query; so the corpus is read in place, and only candidates are shuffled. A block holds at most ``PASS_FLOATS`` numbers. More
+    queries take further passes, whose candidates are written to the shared folder. Rows without an id
+    or a vector as long as the queries' are passed over.
+    """
+    spark = vectors.sparkSession
+    given = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    shape = given.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if shape["least"] != shape["most"]:
+        raise ConfigError("the query vectors differ in length")
+    width = shape["most"] or 0
+    per = max(1, PASS_FLOATS // max(1, width))
+
+    def block(rows: list) -> DataFrame:
+        return _pass(vectors, np.array([r["query_id"] for r in rows], "i8"), np.array([r["embedding"] for r in rows], float).reshape(len(rows), width), k)
+
+    if shape["n"] <= per:
+        found = block(given.collect())
+    else:
+        path, rows = scratch(spark, "knn"), iter(given.toLocalIterator())
+        while taken := list(islice(rows, per)):
+            block(taken).write.mode("append").parquet(path)
+        found = spark.read.schema(FOUND).parquet(path)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= k)
 
 
+#: Candidates that are sent to where the chunks are; more are joined by shuffle.
+BROADCAST_CANDIDATES = 200_000
+
+
 def fuse(by_vector: DataFrame, by_words: DataFrame, rrf_k: int = 60) -> DataFrame:
     """``query_id, id, score, cand_pos``: sums of 1 / (k + rank) over both lists; candidates keep vector order, then word order."""
     joined = by_vector.select("query_id", "id", "vec_rank").join(by_words.select("query_id", "id", "bm25_rank"), ["query_id", "id"], "full")
@@ -94,17 +131,19 @@ def rerank(candidates: DataFrame, k: int, weight: float) -> DataFrame:
     return candidates.select("query_id", "id", "score", "cand_pos", "embedding").groupBy("query_id").applyInPandas(run, "query_id long, id long, score double, mmr_pos int")
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int, config: EngineConfig) -> DataFrame:
+def hybrid(chunks: DataFrame, index: TextIndex, queries: DataFrame, top_k: int, config: EngineConfig) -> DataFrame:
     """Raw hybrid search: ``query_id, id, score, mmr_pos``.
 
-    chunks: ``id, content, heading_context, embedding``; queries: ``query_id, query, embedding``. Both
+    chunks: ``id, heading_context, embedding``; index: of their texts; queries: ``query_id, query, embedding``. Both
     candidate lists hold ``top_k`` times the multiplier; a query that the word search cannot read is
-    answered by vectors alone.
+    answered by vectors alone. Chunks are read twice, by id and vector: once for neighbours, once for the candidates found.
     """
     pool = top_k * config.mmr_candidate_multiplier
-    fused = fuse(knn(chunks, queries, pool), bm25(chunks, queries, pool), config.rrf_k)
+    fused = fuse(knn(chunks, queries, pool), bm25(index, queries, pool), config.rrf_k)
     terms = queries.select("query_id", query_terms(F.col("query")).alias("terms"))
-    whole = fused.join(chunks.select("id", "heading_context", "embedding"), "id").join(terms, "query_id")
+    if queries.count() * pool * 2 <= BROADCAST_CANDIDATES:
+        fused, terms = F.broadcast(fused), F.broadcast(terms)
+    whole = chunks.select("id", "heading_context", "embedding").join(fused, "id").join(terms, "query_id")
     boosted = whole.withColumn("score", F.col("score") + heading_boost(F.col("heading_context"), F.col("terms"), config.heading_boost))
     return rerank(boosted, top_k, config.mmr_lambda)
 

@@ -12,6 +12,8 @@ from plumbline.functions import text as tx
 from plumbline.functions import vectors as vx
 from plumbline.functions.markdown import chunk_markdown
 from plumbline.operators import analytics, diff, lexical, retrieval, windows
+from plumbline.operators.postings import TextIndex
+from plumbline.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -321,6 +323,37 @@ def _asked(spark: SparkSession, texts: list[str], step: int = 1) -> DataFrame:
     return spark.createDataFrame([(i * step, x) for i, x in enumerate(texts)], "query_id long, query string")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, write: Callable[[str], object]) -> str:
+    """The folder of an index over the tables in ``d``; made by the first query of the session that searches it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = scratch(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The words of all documents."""
+    return TextIndex.read(spark, _once(spark, d, "words", lambda path: TextIndex.build(docs(spark, d).select("id", "content"), path)))
+
+
+def chunk_index(spark: SparkSession, d: str, part: str = "id IS NOT NULL") -> tuple[DataFrame, TextIndex]:
+    """All documents (or a part) as chunks with heading and vector, and the index of their words."""
+
+    def write(path: str) -> None:
+        # Documents without a vector are found by words alone; the heading is the title anywhere in the text, if it has one.
+        chunks = docs(spark, d).join(_vectors(spark, d)[0], "id", "left").where(part).withColumn("heading_context", F.coalesce(tx.title(F.col("content")), F.lit("")))
+        chunks.select("id", "heading_context", "embedding").write.parquet(f"{path}/chunks")
+        TextIndex.build(chunks.select("id", "content", "heading_context"), f"{path}/words")
+
+    path = _once(spark, d, f"chunks {part}".replace(" ", "-").replace("%", "mod").replace("=", "is"), write)
+    return spark.read.parquet(f"{path}/chunks"), TextIndex.read(spark, f"{path}/words")
+
+
 _TERMS = ", ".join(f"({100 * i}, {n}, {term!r})" for i, q in enumerate(AND_QUERIES) for n, term in enumerate(q.split()))
 _BM25 = rf"""tok AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS terms FROM documents),
 q(query_id, phrase, term) AS (VALUES {_TERMS}),
@@ -333,7 +366,7 @@ bm25 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id OR
 
 @query("WITH " + _BM25 + " SELECT query_id, id, round(score, 6) AS score, bm25_rank FROM bm25")
 def bm25_and(spark, d):
-    return lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, AND_QUERIES, 100), 15).withColumn("score", F.round("score", 6))
+    return lexical.bm25(text_index(spark, d), _asked(spark, AND_QUERIES, 100), 15).withColumn("score", F.round("score", 6))
 
 
 _SYNTAX = r"""WITH tok AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -346,28 +379,26 @@ SELECT CAST(query_id AS BIGINT) AS query_id, id FROM hit"""
 @query(_SYNTAX)
 def bm25_syntax(spark, d):
     """Which documents match OR, NOT and phrases; broken queries match nothing."""
-    return lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, SYNTAX_QUERIES), 1 << 30).select("query_id", "id")
+    return lexical.bm25(text_index(spark, d), _asked(spark, SYNTAX_QUERIES), 1 << 30).select("query_id", "id")
 
 
 @query(_KNN + ", " + _BM25 + " SELECT query_id, id, round(coalesce(1.0 / (60 + vec_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0), 9) AS score FROM knn FULL JOIN bm25 USING (query_id, id)")
 def rrf_fusion(spark, d):
-    words = lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, AND_QUERIES, 100), 15)
+    words = lexical.bm25(text_index(spark, d), _asked(spark, AND_QUERIES, 100), 15)
     return retrieval.fuse(retrieval.knn(*_vectors(spark, d), 15), words).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @query(_KNN + ", " + _BM25 + " SELECT query_id, id, bm25_rank FROM bm25 ANTI JOIN knn USING (query_id, id)")
 def bm25_only_ids(spark, d):
     """Candidates that words alone have found."""
-    words = lexical.bm25(docs(spark, d).select("id", "content"), _asked(spark, AND_QUERIES, 100), 15)
+    words = lexical.bm25(text_index(spark, d), _asked(spark, AND_QUERIES, 100), 15)
     return words.join(retrieval.knn(*_vectors(spark, d), 15), ["query_id", "id"], "left_anti").select("query_id", "id", "bm25_rank")
 
 
-def _hybrid(spark: SparkSession, d: str, part: str = "id >= 0") -> DataFrame:
-    vectors, _ = _vectors(spark, d)
-    # Documents without a vector are found by words alone; the heading is the title anywhere in the text, if it has one.
-    chunks = docs(spark, d).join(vectors, "id", "left").where(part).withColumn("heading_context", F.coalesce(tx.title(F.col("content")), F.lit("")))
-    asked = _asked(spark, AND_QUERIES, 100).join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
-    return retrieval.hybrid(chunks, asked, 5, EngineConfig())
+def _hybrid(spark: SparkSession, d: str, part: str = "id IS NOT NULL") -> DataFrame:
+    asked = _asked(spark, AND_QUERIES, 100).join(_vectors(spark, d)[0].withColumnRenamed("id", "query_id"), "query_id", "left")
+    chunks, index = chunk_index(spark, d, part)
+    return retrieval.hybrid(chunks, index, asked, 5, EngineConfig())
 
 
 @query()
