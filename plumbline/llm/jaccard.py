@@ -230,6 +230,7 @@ def shared_keys(keys: DataFrame, percent: int) -> DataFrame:
     """The rows of ``key, n, at, node`` whose key several sets hold, each with the set after it (``after``) that it may be linked to.
 
     Rows are sorted over all tasks, so a key held by many sets is spread; at the ends of a task rows are kept without a look at the next.
+    Those by which a set of the same size may be found come first, so that they stand next to each other.
     """
     names = ["key", "n", "at", "node"]
 
@@ -256,7 +257,8 @@ def shared_keys(keys: DataFrame, percent: int) -> DataFrame:
     def rows(c, after, linked):
         return pa.RecordBatch.from_arrays([*(pa.array(c[k]) for k in names), pa.array(after, mask=~linked)], names=[*names, "after"])
 
-    dealt = keys.repartitionByRange(partitions(keys.sparkSession), "key", "n", "node").sortWithinPartitions("key", "n", "node")
+    order = ["key", ~leading(F.col("n"), F.col("at"), percent), "n", "node"]
+    dealt = keys.repartitionByRange(partitions(keys.sparkSession), *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, "key long, n long, at long, node long, after long")
 
 

@@ -42,6 +42,8 @@ PARITY = 512
 WORDS = 300_000
 #: Sets whose shingles are counted for the order of prefixes, and most shingles of it; others count as rare. Neither changes the result.
 COUNTED, COMMON = 8192, 1 << 18
+#: Labels are compared with their nearest once more if one in so many was linked by that.
+FEW_LINKS = 20
 #: Nodes that one task compares through one shingle; those of commoner ones are dealt in pairs of blocks.
 BLOCK = 4096
 
@@ -329,11 +331,21 @@ def postings_of(sets: DataFrame, percent: int, common: tuple[np.ndarray, np.ndar
     return sets.select("node", "hashes").mapInArrow(run, "key long, at long, node long")
 
 
-def meetings(postings: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _best(pairs: np.ndarray) -> np.ndarray:
+    """Of rows (label_a, label_b, apart, ...), those that come first by ``apart`` for one of their labels."""
+    keep = np.zeros(len(pairs), bool)
+    for side in (0, 1):
+        order = np.lexsort((pairs[:, 2], pairs[:, side]))
+        keep[order[np.concatenate([[True], np.diff(pairs[order, side]) != 0])]] = True
+    return pairs[keep]
+
+
+def meetings(postings: DataFrame, percent: int, take: str) -> DataFrame:
     """Pairs (a, b, label_a < label_b) of nodes of different labels that share a ``key``, unless sizes, places or parity bits rule a link out.
 
     postings: ``key, n, at, node, label, side, parity``: a node's set has ``n`` shingles, the key at place ``at``. Nodes meet if
-    their sides differ or are 0. nearest: of each pair of labels, only the pair of nodes that differs in the fewest bits.
+    their sides differ or are 0. take: ``all`` pairs; the ``nearest`` of each pair of labels, that differ in the fewest bits; or of
+    each label the ``best``, so that there are no more pairs than labels.
     """
     names = ["key", "n", "at", "node", "label", "side"]
 
@@ -357,8 +369,10 @@ def meetings(postings: DataFrame, percent: int, nearest: bool) -> DataFrame:
             found.append(np.stack([c["label"][x], c["label"][y], apart, c["node"][x], c["node"][y]], axis=1))
             step += 1
         pairs = np.unique(np.concatenate(found), axis=0)
-        if nearest and len(pairs):
+        if take != "all" and len(pairs):
             pairs = pairs[np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)])]
+        if take == "best" and len(pairs):
+            pairs = _best(pairs)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in (3, 4, 0, 1, 2)], names=["a", "b", "label_a", "label_b", "apart"])
 
     def run(batches):
@@ -379,13 +393,17 @@ def meetings(postings: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
     dealt = postings.select(*names, "parity").repartition(partitions(postings.sparkSession), "key").sortWithinPartitions("key", "n", "node")
     pairs = dealt.mapInArrow(run, "a long, b long, label_a long, label_b long, apart long")
-    if not nearest:
+    if take == "all":
         return pairs.distinct()
+    if take == "best":
+        row = F.struct("apart", "a", "b", "label_a", "label_b")
+        each = pairs.select(F.explode(F.array("label_a", "label_b")).alias("label"), row.alias("row"))
+        return each.groupBy("label").agg(F.min("row").alias("row")).select("row.a", "row.b", "row.label_a", "row.label_b", "row.apart").distinct()
     best = pairs.groupBy("label_a", "label_b").agg(F.min(F.struct("apart", "a", "b")).alias("best"))
     return best.select("best.a", "best.b", "label_a", "label_b", "best.apart")
 
 
-def met_by_prefix(postings: DataFrame, members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def met_by_prefix(postings: DataFrame, members: DataFrame, percent: int, take: str) -> DataFrame:
     """``meetings`` of ``members`` (node, n, parity, label) by their ``postings`` (key, at, node)."""
     named = postings.select("key", "at", "node").join(members.select("node", "n", "label"), "node")
     begins = F.max(leading(F.col("n"), F.col("at"), percent)).alias("begins")
@@ -401,24 +419,31 @@ def met_by_prefix(postings: DataFrame, members: DataFrame, percent: int, nearest
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         blocks = blocks.withColumn("side", side).withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
         dealt = dealt.unionByName(blocks.select("key", "at", "node", "side").join(members, "node"))
-    return meetings(dealt, percent, nearest)
+    return meetings(dealt, percent, take)
 
 
 def linked_labels(postings: DataFrame, members: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) of labels that connect ``members`` (node, n, parity, marks, label) as all links between them would.
 
-    First the nearest nodes of each pair of labels are compared, by ``confirm``, which gives the linked rows of pairs (a, b and
-    others). Labels that this leaves apart are compared by all pairs of nodes that share a key of ``postings`` (key, at, node).
+    Nodes meet by a shared key of ``postings`` (key, at, node). ``confirm`` gives the linked rows of pairs (a, b and others). First
+    each label is compared with the one it comes nearest to, as long as that links many: families of near copies
+    become one label at the cost of their members, not of their pairs. Then the nearest nodes of each pair of labels
+    are compared, and labels that this leaves apart by all pairs of nodes.
     """
-    links = None
-    for nearest in (True, False):
-        pairs = met_by_prefix(postings, members, percent, nearest).select("a", "b", "label_a", "label_b")
+    links, take = None, "best"
+    while take:
+        pairs = met_by_prefix(postings, members, percent, take).select("a", "b", "label_a", "label_b")
         pairs = stored(plausible(pairs, members.select("node", "n", "marks"), percent), "meetings")
         found = stored(confirm(pairs).select("label_a", "label_b").distinct().toDF("a", "b"), "hidden")
         discard(pairs)
         links = found if links is None else links.union(found)
-        if nearest and not found.isEmpty():
+        n_found = found.count()
+        if n_found and take != "all":
+            n_labels = members.select("label").distinct().count() if take == "best" else 0
             members = stored(relabelled(members, components(found)), "members")
+            if n_found * FEW_LINKS >= n_labels > 0:
+                continue
+        take = {"best": "nearest", "nearest": "all", "all": ""}[take]
     return links
 
 

@@ -427,7 +427,7 @@ def test_missed_links_alone(spark, tmp_path, monkeypatch, block):
     members = found.select(F.col("doc_id").alias("node"), "n", "parity", F.col("doc_id").alias("label"))
     sets_of = minhash.shingles(docs.join(found.select("_row"), "_row", "left_semi").withColumn("node", F.col("doc_id")), 3)
     postings = minhash.postings_of(sets_of, 80, minhash.common_shingles(sets_of))
-    met = minhash.met_by_prefix(postings, members, 80, False)
+    met = minhash.met_by_prefix(postings, members, 80, "all")
     got = {tuple(sorted((r["a"], r["b"]))) for r in minhash.confirmed(met, sets_of, 80).collect()}
     sets = {i: set(minhash.shingle_set(t, 3).tolist()) for i, t in rows if i in named.values()}
     want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
