@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
+from plumbline.storage import discard, stored
 
 K1, B = 1.2, 0.75
 #: Texts of a span, which bound a row of postings, and of a part of it, whose scores have a bound of their own.
 SPAN, PART = 128, 16
 #: Buckets of terms, each a folder; the spans lie in one of their own.
 BUCKETS, SPANS_BUCKET = 16, -1
+#: Bytes of a row group: what a search for one term reads at least.
+ROW_GROUP = 4 << 20
 INDEX = "term string, span long, slots array<smallint>, tf array<int>, positions array<array<int>>, tops array<struct<tf:int,len:int>>, ids array<long>, lens array<int>, bucket int"
 
 
@@ -30,54 +33,81 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def tokenised(texts: DataFrame) -> DataFrame:
-    """``id, terms, len`` of rows with ``id, content`` and, if there, ``heading_context``: both columns count as one text of two fields."""
+def tokenised(texts: DataFrame, *kept: str) -> DataFrame:
+    """``id, terms, len`` of rows with ``id, content`` and, if there, ``heading_context``: both columns count as one text of two fields.
+    ``kept`` columns pass through."""
     heading = tokens(F.coalesce("heading_context", F.lit(""))) if "heading_context" in texts.columns else F.array().cast("array<string>")
     # A gap between the fields keeps phrases from reaching across.
     fields = F.concat(tokens(F.coalesce("content", F.lit(""))), F.array(F.lit("")), heading)
-    return texts.select("id", fields.alias("terms")).withColumn("len", F.size("terms") - 1)
-
-
-def _spans(batches):
-    """Index rows of texts (id, terms, len) sorted by length: the postings of each run of ``SPAN`` texts, and a row for the run itself."""
-    names = ["term", "span", "slots", "tf", "positions", "tops", "ids", "lens"]
-    pair = pa.struct([("tf", pa.int32()), ("len", pa.int32())])
-    kinds = [pa.string(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pair), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    span, held = TaskContext.get().partitionId() << 32, []
-
-    def rows(texts):
-        found: dict[str, tuple[list, list]] = {}
-        for slot, (_, terms, _) in enumerate(texts):
-            for at, term in enumerate(terms):
-                if term:
-                    slots, positions = found.setdefault(term, ([], []))
-                    if not slots or slots[-1] != slot:
-                        slots.append(slot)
-                        positions.append([])
-                    positions[-1].append(at)
-        lens = [n for _, _, n in texts]
-        out = []
-        for term, (slots, positions) in found.items():
-            tf = [len(p) for p in positions]
-            tops: list[dict | None] = [None] * (SPAN // PART)
-            for slot, n in zip(slots, tf, strict=True):
-                top = tops[slot // PART]
-                if top is None:
-                    tops[slot // PART] = {"tf": n, "len": lens[slot]}
-                elif n > top["tf"]:
-                    top["tf"] = n
-            out.append((term, span, slots, tf, positions, tops, None, None))
-        out.append((None, span, None, None, None, None, [i for i, _, _ in texts], lens))
-        columns = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    for batch in batches:
-        held += zip(*(batch.column(c).to_pylist() for c in ("id", "terms", "len")), strict=True)
-        while len(held) >= SPAN:
-            yield rows(held[:SPAN])
-            held, span = held[SPAN:], span + 1
-    if held:
-        yield rows(held)
+    return texts.select("id", fields.alias("terms"), *kept).withColumn("len", F.size("terms") - 1)
+
+
+_NAMES = ["term", "span", "slots", "tf", "positions", "tops", "ids", "lens"]
+_TOP = pa.struct([("tf", pa.int32()), ("len", pa.int32())])
+_KINDS = [pa.string(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(_TOP), pa.list_(pa.int64()), pa.list_(pa.int32())]
+#: Spans are numbered by the generation that writes them, the task and their order in it.
+_GENERATION, _TASK = 40, 20
+
+
+def _span_rows(span: int, texts: list[tuple]) -> list[tuple]:
+    """The postings of a span's texts (id, terms, len), and a row for the span itself."""
+    found: dict[str, tuple[list, list]] = {}
+    for slot, (_, terms, _) in enumerate(texts):
+        for at, term in enumerate(terms):
+            if term:
+                slots, positions = found.setdefault(term, ([], []))
+                if not slots or slots[-1] != slot:
+                    slots.append(slot)
+                    positions.append([])
+                positions[-1].append(at)
+    lens = [n for _, _, n in texts]
+    out: list[tuple] = []
+    for term, (slots, positions) in found.items():
+        tf = [len(p) for p in positions]
+        tops: list[dict | None] = [None] * (SPAN // PART)
+        for slot, n in zip(slots, tf, strict=True):
+            top = tops[slot // PART]
+            if top is None:
+                tops[slot // PART] = {"tf": n, "len": lens[slot]}
+            elif n > top["tf"]:
+                top["tf"] = n
+        out.append((term, span, slots, tf, positions, tops, None, None))
+    out.append((None, span, None, None, None, None, [i for i, _, _ in texts], lens))
+    return out
+
+
+def index_rows(tokens: DataFrame, generation: int = 0, apart: bool = False) -> DataFrame:
+    """The rows of an index (``INDEX``) of ``tokens`` (id, terms, len; stored, as the sort by length looks at them twice).
+
+    apart: rows have a ``part`` too, and no span holds texts of two. A task holds one span's words at a time. Rows come in buckets of
+    terms, in order.
+    """
+    order = ["part", "len", "id"] if apart else ["len", "id"]
+
+    def run(batches):
+        span, held, part = (generation << _GENERATION) | (TaskContext.get().partitionId() << _TASK), [], None
+
+        def rows() -> pa.RecordBatch:
+            columns = [*zip(*_span_rows(span, held), strict=True)]
+            arrays = [pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, *([pa.array([part] * len(columns[0]), pa.int32())] if apart else [])], names=[*_NAMES, *(["part"] if apart else [])])
+
+        for batch in batches:
+            parts = batch.column("part").to_pylist() if apart else [None] * len(batch)
+            for at, *text in zip(parts, *(batch.column(c).to_pylist() for c in ("id", "terms", "len")), strict=True):
+                if held and (len(held) == SPAN or at != part):
+                    yield rows()
+                    held, span = [], span + 1
+                part = at
+                held.append(tuple(text))
+        if held:
+            yield rows()
+
+    ordered = tokens.repartitionByRange(*order).sortWithinPartitions(*order)
+    made = ordered.mapInArrow(run, INDEX.removesuffix(", bucket int") + (", part int" if apart else ""))
+    made = made.withColumn("bucket", F.when(F.col("term").isNull(), SPANS_BUCKET).otherwise(bucket_of(F.col("term"))))
+    groups = ["part", "bucket"] if apart else ["bucket"]
+    return made.repartition(*groups, F.pmod(F.xxhash64("span"), F.lit(4))).sortWithinPartitions(*groups, "term", "span")
 
 
 @dataclass
@@ -88,21 +118,14 @@ class TextIndex:
     spans: DataFrame
 
     @staticmethod
-    def build(texts: DataFrame, path: str, mode: str = "errorifexists") -> TextIndex:
+    def build(texts: DataFrame, path: str) -> TextIndex:
         """Writes the index of ``texts`` (id, content and perhaps heading_context) to a folder and gives it.
 
-        Null texts are empty texts; rows without an id are passed over; an id given twice is two texts. A span's words are
-        held by one task at a time, a term's rows by the tasks of its bucket.
+        Null texts are empty texts; rows without an id are passed over; an id given twice is two texts.
         """
-        spark, aside = texts.sparkSession, f"{path}-tokens"
-        # Words are written first: the sort by length looks at its rows twice.
-        tokenised(texts.where("id IS NOT NULL")).write.mode("overwrite").parquet(aside)
-        ordered = spark.read.parquet(aside).repartitionByRange("len", "id").sortWithinPartitions("len", "id")
-        rows = ordered.mapInArrow(_spans, INDEX.removesuffix(", bucket int")).withColumn("bucket", F.when(F.col("term").isNull(), SPANS_BUCKET).otherwise(bucket_of(F.col("term"))))
-        spread = rows.repartition("bucket", F.pmod(F.xxhash64("span"), F.lit(4))).sortWithinPartitions("bucket", "term", "span")
-        spread.write.mode(mode).option("parquet.block.size", str(4 << 20)).partitionBy("bucket").parquet(path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(aside)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        spark, words = texts.sparkSession, stored(tokenised(texts.where("id IS NOT NULL")), "tokens")
+        index_rows(words).write.option("parquet.block.size", str(ROW_GROUP)).partitionBy("bucket").parquet(path)
+        discard(words)
         return TextIndex.read(spark, path)
 
     @staticmethod

@@ -1,49 +1,59 @@
 """An index of documents as Parquet tables, and several of them as one.
 
-A bank is a folder of versions. A change writes a new version and then moves the pointer to it, so
-readers see the old state or the new, and a failed run leaves nothing behind that counts. Rows keep
-to files by document, and unchanged documents are copied by the engine, not through the driver.
+Tables are dealt into parts by the hash of a document's path, each part of a table a folder per generation: ``part=…/gen=…``.
+A change reads and rewrites the parts that its documents fall into and leaves the others as they are. It takes effect
+by one small file, the next commit, which names the generation of every part and is created only if it isn't there: of two
+writers one is refused, readers see the old state or the new, and what a failed run has written counts for nothing.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import EngineConfig
 from plumbline.errors import Conflict, DimensionMismatch, DuplicatePath, ModelMismatch, NotFound, StorageError
 from plumbline.functions.markdown import chunk_markdown
 from plumbline.functions.text import normalise_path, under
-from plumbline.operators import analytics, diff, retrieval, windows
+from plumbline.operators import analytics, diff, postings, retrieval, windows
+from plumbline.operators.postings import INDEX, TextIndex
 from plumbline.plans.embedding import Embedder, HashEmbedder, with_embeddings
 from plumbline.sources import files
+from plumbline.storage import delete, discard, stored
 
 SCHEMA_VERSION = "3"
 TABLES = {
     "documents": "id long, path string, content_hash string, title string, indexed_at string, file_size long",
     "chunks": "id long, document_id long, content string, heading_context string, start_byte long, end_byte long, chunk_index long, embedding array<float>",
-    "metadata": "key string, value string",
 }
-#: Failures that a report names; it counts all.
-ERRORS_SHOWN = 1000
 LOG = "id long, ts long, source string, query string, top_k long, result_bytes long, baseline_bytes long"
+#: Parts of a new index.
+PARTS = 16
+#: Seconds between looks at how far a write has come.
+POLL_SECONDS = 0.1
+
+
+def now() -> str:
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
 
 @dataclass
 class Report:
-    """How many files each outcome had, what was written, and the first ``ERRORS_SHOWN`` of the paths that failed, with reasons."""
+    """How many files each outcome had, what was written, and a table ``path, error`` of those that failed."""
 
     counts: dict[str, int]
     removed: int = 0
     chunks: int = 0
     bytes: int = 0
-    errors: list[tuple[str, str]] = field(default_factory=list)
+    errors: DataFrame | None = None
 
     def summary(self) -> str:
         parts = [f"{self.counts.get(k, 0)} {k}" for k in ("added", "modified", "unchanged", "error")]
@@ -53,11 +63,15 @@ class Report:
 class Bank:
     """One index. ``root`` may be any path that Spark can write."""
 
-    def __init__(self, spark: SparkSession, root: str, config: EngineConfig | None = None, embedder: Embedder | None = None):
+    def __init__(self, spark: SparkSession, root: str, config: EngineConfig | None = None, embedder: Embedder | None = None, parts: int = PARTS):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or EngineConfig()
         self.embedder = embedder or HashEmbedder()
-        if self._pointer() is None:
-            self._commit({n: spark.createDataFrame([], s) for n, s in TABLES.items() if n != "metadata"})
+        if not self._commits():
+            fresh = {"schema_version": SCHEMA_VERSION, "embedding_dim": self.config.embedding_dim, "model_id": self.config.model_id, "parts": parts, "next_id": 0}
+            try:
+                self._commit(0, fresh | {"tables": {n: {} for n in (*TABLES, "words")}})
+            except Conflict:  # another has just made it
+                pass
         meta = self.metadata()
         if int(meta["schema_version"]) > int(SCHEMA_VERSION):
             raise StorageError(f"the index has schema {meta['schema_version']}, newer than {SCHEMA_VERSION}")
@@ -71,116 +85,206 @@ class Bank:
     # --- storage
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def _pointer(self) -> str | None:
-        """The current version: the newest marker file."""
+    def _commits(self) -> list[int]:
+        """The numbers of the commits that are there, ascending."""
         fs = self._fs()
-        if not fs.exists(self._path("current")):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(self._path("current")))
-        return names[-1] if names else None
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(self._path("commits"))) if fs.exists(self._path("commits")) else []
 
-    def version(self) -> str | None:
+    def version(self) -> int:
         """What names the state that readers see now."""
-        return self._pointer()
+        return self._commits()[-1]
 
-    def metadata(self) -> dict[str, str]:
-        return {r["key"]: r["value"] for r in self.table("metadata").collect()}
+    def _state(self, version: int | None = None) -> dict:
+        at = self._path(f"commits/{self.version() if version is None else version:020d}")
+        stream = self._fs().open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
-    def _migrate(self) -> None:
-        """Brings an older index up to date. Words are indexed from the chunks at each search and the log begins with the
-        first entry, so older tables hold all that is needed and only the stated schema changes."""
-        self._commit({n: self.table(n) for n in TABLES if n != "metadata"}, self._pointer())
-
-    def _commit(self, tables: dict[str, DataFrame], parent: str | None = None, schema_version: str = SCHEMA_VERSION) -> None:
-        """Writes a whole version, then its marker: the change takes effect at once.
+    def metadata(self) -> dict[str, str]:
+        return {k: str(v) for k, v in self._state().items() if k in ("schema_version", "embedding_dim", "model_id")}
 
-        parent: the version the change was made from. If another is current by the time the tables are written, the change
-        is refused. Between this look and the marker lies no work, but no lock either: writers that commit within the same
-        instant need one of their own.
-        """
-        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        meta = [("schema_version", schema_version), ("embedding_dim", str(self.config.embedding_dim)), ("model_id", self.config.model_id)]
-        for name, df in (tables | {"metadata": self.spark.createDataFrame(meta, TABLES["metadata"])}).items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
-        if parent is not None and self._pointer() != parent:
-            self._fs().delete(self._path(version), True)
+    def _commit(self, version: int, state: dict) -> None:
+        """Puts a state into effect as commit ``version``; refused if there is one of that number."""
+        fs, at = self._fs(), self._path(f"commits/{version:020d}")
+        if fs.exists(at):
             raise Conflict("another writer has changed the index; try again")
-        self._fs().create(self._path(f"current/{version}"), True).close()
+        fs.mkdirs(self._path("commits"))
+        try:
+            stream = fs.create(at, False)  # fails if another writer has made it since
+        except Exception as e:
+            raise Conflict("another writer has changed the index; try again") from e
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+
+    @staticmethod
+    def _current(generations: dict[str, str]) -> Column:
+        """Whether a row's folder belongs to the state: decided by its path, before a file is read."""
+        if not generations:
+            return F.lit(False)
+        known = F.create_map(*(F.lit(x) for part, gen in generations.items() for x in (int(part), gen)))
+        return F.col("part").isin([int(p) for p in generations]) & (known[F.col("part")] == F.col("gen"))
+
+    def _stored(self, name: str, schema: str, state: dict) -> DataFrame:
+        self._fs().mkdirs(self._path(name))
+        rows = self.spark.read.schema(f"{schema}, part int, gen string").parquet(f"{self.root}/{name}")
+        return rows.where(self._current(state["tables"].get(name, {}))).drop("gen")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{self._pointer()}/{name}")
+        return self._stored(name, TABLES[name], self._state()).drop("part")
+
+    def index(self) -> TextIndex:
+        """The words of all chunks."""
+        return TextIndex.of(self._stored("words", INDEX, self._state()).drop("part"))
+
+    def _part(self, path: Column, state: dict) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(state["parts"])).cast("int")
+
+    def _write(self, name: str, rows: DataFrame, parts: list[int], gen: str, state: dict) -> None:
+        """Makes ``rows`` (with ``part``) the new content of ``parts`` of a table, for the commit that will hold ``state``."""
+        by = ["part", "gen", *(["bucket"] if name == "words" else [])]
+        writer = rows.withColumn("gen", F.lit(gen)).write.mode("append").partitionBy(*by)
+        (writer.option("parquet.block.size", str(postings.ROW_GROUP)) if name == "words" else writer).parquet(f"{self.root}/{name}")
+        state["tables"].setdefault(name, {}).update({str(p): gen for p in parts})
+
+    def _write_words(self, parts: list[int], gen: str, version: int, state: dict) -> None:
+        """Indexes the words of the chunks in ``parts`` as the commit will hold them."""
+        chunks = self._stored("chunks", TABLES["chunks"], state).where(F.col("part").isin(parts))
+        words = stored(postings.tokenised(chunks, "part"), "tokens")
+        self._write("words", postings.index_rows(words, version, apart=True), parts, gen, state)
+        discard(words)
+
+    def _generation(self, version: int) -> str:
+        return f"{version:010d}-{uuid.uuid4().hex[:8]}"
+
+    def _migrate(self) -> None:
+        """Brings an older index up to date: the words of all chunks are indexed; the log begins with its first entry."""
+        version, state = self.version() + 1, self._state()
+        parts = sorted(int(p) for p in state["tables"]["chunks"])
+        state["schema_version"] = SCHEMA_VERSION
+        if parts:
+            self._write_words(parts, self._generation(version), version, state)
+        self._commit(version, state)
 
     def vacuum(self) -> None:
-        """Deletes versions that are no longer current."""
-        fs, current = self._fs(), self._pointer()
-        for at in fs.listStatus(self._path("")):
-            name = at.getPath().getName()
-            if name not in ("current", "log", current):
-                fs.delete(at.getPath(), True)
-        for at in fs.listStatus(self._path("current")):
-            if at.getPath().getName() != current:
-                fs.delete(at.getPath(), False)
+        """Deletes what belongs to earlier states alone."""
+        fs, last, state = self._fs(), self.version(), self._state()
+        for name, generations in state["tables"].items():
+            for part in fs.listStatus(self._path(name)) if fs.exists(self._path(name)) else []:
+                number = part.getPath().getName().removeprefix("part=")
+                for gen in fs.listStatus(part.getPath()) if part.isDirectory() and number.isdigit() else []:
+                    if gen.getPath().getName() != f"gen={generations.get(number)}":
+                        fs.delete(gen.getPath(), True)
+        for n in self._commits():
+            if n != last:
+                fs.delete(self._path(f"commits/{n:020d}"), False)
 
     # --- ingestion
 
     def _chunked(self, docs: DataFrame) -> DataFrame:
         most, overlap = self.config.max_chunk_bytes, self.config.chunk_overlap_chars
+        names = ["document_id", "part", "chunk_index", "content", "heading_context", "start_byte", "end_byte"]
 
         def run(frames):
             import pandas as pd
 
             for frame in frames:
-                rows = [(d, i, c.content, c.heading_context, c.start_byte, c.end_byte) for d, text in zip(frame["document_id"], frame["content"], strict=True) for i, c in enumerate(chunk_markdown(text, most, overlap))]
-                yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "heading_context", "start_byte", "end_byte"])
-
-        return docs.select(F.col("id").alias("document_id"), "content").mapInPandas(run, "document_id long, chunk_index long, content string, heading_context string, start_byte long, end_byte long")
+                rows = [(d, p, i, c.content, c.heading_context, c.start_byte, c.end_byte) for d, p, text in zip(frame["document_id"], frame["part"], frame["content"], strict=True) for i, c in enumerate(chunk_markdown(text, most, overlap))]
+                yield pd.DataFrame(rows, columns=names)
+
+        return docs.select(F.col("id").alias("document_id"), "part", "content").mapInPandas(run, "document_id long, part int, chunk_index long, content string, heading_context string, start_byte long, end_byte long")
+
+    def _followed(self, write: Callable[[], None], progress: Callable[[float], None]) -> None:
+        """Runs ``write`` and tells how many of its tasks are done: from 0.2 to 0.8."""
+        sc, group, failed = self.spark.sparkContext, uuid.uuid4().hex, []
+
+        def run() -> None:
+            try:
+                sc.setJobGroup(group, "writing an index")
+                write()
+            except BaseException as e:  # noqa: BLE001  raised again by the caller's thread
+                failed.append(e)
+
+        thread = InheritableThread(target=run)
+        thread.start()
+        told, tracker = 0.2, sc.statusTracker()
+        while thread.is_alive():
+            thread.join(POLL_SECONDS)
+            stages = {s for j in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(j)) for s in info.stageIds}
+            known = [x for s in stages if (x := tracker.getStageInfo(s))]
+            total = sum(x.numTasks for x in known)
+            at = 0.2 + 0.6 * sum(x.numCompletedTasks for x in known) / total if total else 0.2
+            if at > told:
+                progress(told := at)
+        if failed:
+            raise failed[0]
 
     def apply(self, incoming: DataFrame, removed: DataFrame | None = None, force: bool = False, dry_run: bool = False, progress: Callable[[float], None] = lambda _: None) -> Report:
         """Brings the index up to ``incoming`` (see ``files.described``) and drops the ``removed`` paths.
 
-        Changed documents are deleted and inserted anew, so their ids change. A path given twice counts
-        twice in the report; the later text by hash stays. Rows with an error change nothing.
+        Changed documents are deleted and inserted anew, so their ids change; ids are never given twice. A path given twice counts
+        twice in the report; the later text by hash stays. Rows with an error change nothing. What comes in is read once
+        and kept in the shared folder, so that documents, chunks and words are made from the same rows.
         """
         progress(0.0)
-        begun = self._pointer()
-        documents, chunks = self.table("documents"), self.table("chunks")
-        judged = diff.changes(incoming, documents, force).cache()
+        begun, state = self.version(), self._state()
+        version, gen = begun + 1, self._generation(begun + 1)
+        documents, chunks = (self._stored(n, TABLES[n], state) for n in TABLES)
+        judged = stored(diff.changes(incoming, documents, force), "judged")
         counts = {r["status"]: r["files"] for r in diff.report(judged).collect()}
-        gone = removed.select(normalise_path(F.col("path")).alias("path")).distinct() if removed is not None else None
-        n_gone = documents.join(gone, "path", "left_semi").count() if gone is not None else 0
-        report = Report(counts, n_gone)
+        none = self.spark.createDataFrame([], "path string")
+        gone = stored((removed.select(normalise_path(F.col("path")).alias("path")).distinct() if removed is not None else none).join(documents, "path", "left_semi"), "gone")
+        report = Report(counts, gone.count())
         if counts.get("error"):
-            report.errors = [(r["path"], r["error"]) for r in judged.where("status = 'error'").orderBy("path").limit(ERRORS_SHOWN).collect()]
-        if dry_run or not (n_gone or counts.get("added") or counts.get("modified")):
-            judged.unpersist()
+            report.errors = judged.where("status = 'error'").select("path", "error")
+        if dry_run or not (report.removed or counts.get("added") or counts.get("modified")):
             return report
-        fresh = judged.where(F.col("status").isin("added", "modified"))
-        fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("content_hash")))).where("_n = 1").drop("_n")
-        dropped = fresh.select("path") if gone is None else fresh.select("path").unionByName(gone).distinct()
-        kept = documents.join(dropped, "path", "left_anti")
-        kept_chunks = chunks.join(kept.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        last = Window.partitionBy("path").orderBy(F.desc("content_hash"))
+        fresh = judged.where(F.col("status").isin("added", "modified")).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        fresh = fresh.withColumns({"id": F.monotonically_increasing_id() + state["next_id"], "indexed_at": F.lit(now()), "part": self._part(F.col("path"), state)})
+        fresh = stored(fresh, "fresh")
+        dropped = stored(fresh.select("path").unionByName(gone).distinct(), "dropped")
+        parts = sorted(r["part"] for r in dropped.select(self._part(F.col("path"), state).alias("part")).distinct().collect())
+        touched = F.col("part").isin(parts)
+        kept = documents.where(touched).join(dropped, "path", "left_anti")
+        kept_chunks = chunks.where(touched).join(kept.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        after = (fresh.agg(F.max("id")).first()[0] or 0) + state["next_id"] + 1
+        pieces = stored(self._chunked(fresh).withColumn("id", F.monotonically_increasing_id() + after), "pieces")
+        report.bytes, report.chunks = fresh.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0], pieces.count()
+        state["next_id"] = (pieces.agg(F.max("id")).first()[0] or after) + 1
         progress(0.2)
-        # Ids follow on the largest so far; each task numbers its own rows.
-        after_doc, after_chunk = ((df.agg(F.max("id")).first()[0] or 0) + 1 for df in (documents, chunks))
-        fresh = fresh.withColumn("id", F.monotonically_increasing_id() + after_doc).withColumn("indexed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).cache()
-        new_chunks = with_embeddings(self._chunked(fresh), "content", self.embedder, self.config.model_id, self.config.embedding_dim)
-        new_chunks = new_chunks.withColumn("id", F.monotonically_increasing_id() + after_chunk)
-        names = {n: [c.split()[0] for c in s.split(", ")] for n, s in TABLES.items()}
-        self._commit({"documents": kept.select(names["documents"]).unionByName(fresh.select(names["documents"])), "chunks": kept_chunks.select(names["chunks"]).unionByName(new_chunks.select(names["chunks"]))}, begun)
-        progress(0.8)
-        report.bytes = fresh.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
-        report.chunks = self.table("chunks").where(F.col("id") >= after_chunk).count()
-        fresh.unpersist()
-        judged.unpersist()
+        columns = {n: [*(c.split()[0] for c in s.split(", ")), "part"] for n, s in TABLES.items()}
+        new = with_embeddings(pieces, "content", self.embedder, self.config.model_id, self.config.embedding_dim)
+
+        def write() -> None:
+            self._write("chunks", kept_chunks.select(columns["chunks"]).unionByName(new.select(columns["chunks"])), parts, gen, state)
+
+        self._followed(write, progress)
+        self._write("documents", kept.select(columns["documents"]).unionByName(fresh.select(columns["documents"])), parts, gen, state)
+        self._write_words(parts, gen, version, state)
+        progress(0.9)
+        self._commit_or_undo(version, gen, state)
+        for done in (gone, fresh, dropped, pieces, *([] if report.errors else [judged])):
+            discard(done)
         progress(1.0)
         return report
 
+    def _commit_or_undo(self, version: int, gen: str, state: dict) -> None:
+        try:
+            self._commit(version, state)
+        except Conflict:
+            for name, generations in state["tables"].items():
+                for part, its in generations.items():
+                    if its == gen:
+                        delete(self.spark, f"{self.root}/{name}/part={part}/gen={gen}")
+            raise
+
     def index_path(self, root: str, recursive: bool = True, force: bool = False, dry_run: bool = False, progress: Callable[[float], None] = lambda _: None) -> Report:
         """Indexes Markdown files below ``root``; documents under it whose files are gone leave the index, others stay."""
         if not os.path.exists(root):
@@ -202,33 +306,43 @@ class Bank:
 
     # --- single documents
 
-    def _with_documents(self, documents: DataFrame, begun: str | None) -> None:
-        self._commit({"documents": documents, "chunks": self.table("chunks")}, begun)
+    def _change(self, tables: dict[str, Callable[[DataFrame], DataFrame]], parts: list[int], words: bool = False, **more: int) -> None:
+        """Rewrites ``parts`` of tables by functions of their rows, as one commit."""
+        begun, state = self.version(), self._state()
+        version, gen, before = begun + 1, self._generation(begun + 1), json.loads(json.dumps(state))
+        for name, change in tables.items():
+            rows = self._stored(name, TABLES[name], before).where(F.col("part").isin(parts))
+            self._write(name, change(rows), parts, gen, state)
+        if words:
+            self._write_words(parts, gen, version, state)
+        self._commit_or_undo(version, gen, state | more)
+
+    def _part_of(self, path: str) -> int:
+        return self.spark.range(1).select(self._part(F.lit(path), self._state())).first()[0]
 
     def insert_document(self, path: str, content_hash: str, title: str | None = None, file_size: int = 0) -> int:
         """Adds a document without chunks and gives its id; a path that is there already is an error."""
-        begun, documents = self._pointer(), self.table("documents")
-        if documents.where(F.col("path") == path).limit(1).count():
+        if self.table("documents").where(F.col("path") == path).limit(1).count():
             raise DuplicatePath(path)
-        new = (documents.agg(F.max("id")).first()[0] or 0) + 1
-        now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
-        self._with_documents(documents.unionByName(self.spark.createDataFrame([(new, path, content_hash, title, now, file_size)], TABLES["documents"])), begun)
+        new, part = self._state()["next_id"], self._part_of(path)
+        row = self.spark.createDataFrame([(new, path, content_hash, title, now(), file_size, part)], TABLES["documents"] + ", part int")
+        self._change({"documents": lambda rows: rows.unionByName(row)}, [part], next_id=new + 1)
         return new
 
     def update_document_hash(self, path: str, content_hash: str, file_size: int | None = None) -> None:
-        begun, documents, here = self._pointer(), self.table("documents"), F.col("path") == path
-        if not documents.where(here).limit(1).count():
+        here = F.col("path") == path
+        if not self.table("documents").where(here).limit(1).count():
             raise NotFound(path)
-        new = {"content_hash": F.lit(content_hash), "indexed_at": F.lit(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()))} | ({} if file_size is None else {"file_size": F.lit(file_size).cast("long")})
-        self._with_documents(documents.withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in new.items()}), begun)
+        new = {"content_hash": F.lit(content_hash), "indexed_at": F.lit(now())} | ({} if file_size is None else {"file_size": F.lit(file_size).cast("long")})
+        self._change({"documents": lambda rows: rows.withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in new.items()})}, [self._part_of(path)])
 
     def delete_chunks(self, document_id: int) -> int:
         """Takes the chunks of a document out, leaves the document, and gives their number."""
-        begun, chunks, there = self._pointer(), self.table("chunks"), F.col("document_id") == document_id
-        n = chunks.where(there).count()
-        if n:
-            self._commit({"documents": self.table("documents"), "chunks": chunks.where(~there)}, begun)
-        return n
+        there = F.col("document_id") == document_id
+        found = self._stored("chunks", TABLES["chunks"], self._state()).where(there).groupBy("part").count().collect()
+        if found:
+            self._change({"chunks": lambda rows: rows.where(~there)}, [r["part"] for r in found], words=True)
+        return sum(r["count"] for r in found)
 
     def document_roots(self) -> DataFrame:
         """A path for each folder that ``gates.under_indexed_root`` tells apart: far fewer than there are documents."""
@@ -246,7 +360,7 @@ class Bank:
         """``query_id, id, score, mmr_pos, content, heading_context, file_path`` with scores as fused and boosted."""
         queries = self.queries(queries) if isinstance(queries, list) else queries
         chunks = self.table("chunks")
-        hits = retrieval.hybrid(chunks, queries, top_k, self.config)
+        hits = retrieval.hybrid(chunks, self.index(), queries, top_k, self.config)
         paths = self.table("documents").select(F.col("id").alias("document_id"), F.col("path").alias("file_path"))
         return hits.join(chunks.select("id", "document_id", "content", "heading_context"), "id").join(paths, "document_id").drop("document_id")
 
@@ -274,7 +388,9 @@ class Bank:
     # --- inspection and log
 
     def stats(self) -> dict:
-        size = sum(s.getLen() for n in TABLES for s in self._fs().listStatus(self._path(f"{self._pointer()}/{n}")))
+        current = [(n, p, g) for n, its in self._state()["tables"].items() for p, g in its.items()]
+        places = [self._path(f"{n}/part={p}/gen={g}") for n, p, g in current]
+        size = sum(self._fs().getContentSummary(at).getLength() for at in places if self._fs().exists(at))
         return analytics.stats(self.table("documents"), self.table("chunks")).first().asDict() | {"index_bytes": size, "embedding_dim": self.config.embedding_dim}
 
     def chunks_of(self, path: str) -> DataFrame:

@@ -125,7 +125,7 @@ class Tools:
             report = self.primary.index_path(path, recursive, force, progress=progress)
         except Exception as e:  # noqa: BLE001
             return f"Error: {e}"
-        lines = [f"  - {at}: {what}" for at, what in report.errors]
+        lines = [f"  - {r['path']}: {r['error']}" for r in report.errors.orderBy("path").toLocalIterator()] if report.errors else []
         return "\n".join([report.summary(), "", "Errors:", *lines]) if lines else report.summary()
 
     def status(self) -> str:

@@ -70,20 +70,59 @@ def test_documents_one_by_one(spark, tmp_path):
 
 
 def test_a_second_writer_is_refused(spark, tmp_path):
+    """Of two changes made from one state the later counts for nothing, and what it has written goes."""
     bank = Bank(spark, str(tmp_path / "bank"), CONFIG)
     begun = bank.version()
+    other = Bank(spark, str(tmp_path / "bank"), CONFIG)
+    other.version = lambda: begun  # it has looked before the first one's commit
     bank.insert_document("a.md", "h")
     with pytest.raises(Conflict):
-        bank._commit({"documents": bank.table("documents"), "chunks": bank.table("chunks")}, begun)
-    assert bank.table("documents").count() == 1
+        other.insert_document("b.md", "h")
+    assert [r["path"] for r in bank.table("documents").collect()] == ["a.md"]
+    assert len(list((tmp_path / "bank" / "documents").glob("part=*/gen=*"))) == 1
 
 
 def test_old_schema_is_migrated(spark, tmp_path):
+    """An index without words gets those of its chunks, and finds the same as one that had them from the start."""
     bank = Bank(spark, str(tmp_path / "bank"), CONFIG)
-    bank.insert_document("a.md", "h")
-    bank._commit({"documents": bank.table("documents"), "chunks": bank.table("chunks")}, schema_version="1")
+    bank.index_documents(spark.createDataFrame([(f"{w}.md", body(w)) for w in ("alpha", "beta", "gamma")], "path string, content string"))
+    want = sorted(map(str, bank.search(["beta speaks"], 3).collect()))
+    state = bank._state()
+    state["schema_version"] = "1"
+    del state["tables"]["words"]
+    bank._commit(bank.version() + 1, state)
+    assert bank.index().spans.count() == 0
     again = Bank(spark, str(tmp_path / "bank"), CONFIG)
-    assert again.metadata()["schema_version"] == "3" and again.table("documents").count() == 1
+    assert again.metadata()["schema_version"] == "3" and again.table("documents").count() == 3
+    assert sorted(map(str, again.search(["beta speaks"], 3).collect())) == want
+
+
+def test_a_change_rewrites_only_its_part(spark, tmp_path):
+    """One changed file: one part of each table gets a new generation; ids are never given twice; progress is told."""
+    root = tmp_path / "docs"
+    root.mkdir()
+    for i in range(12):
+        (root / f"{i}.md").write_text(body(f"word{i}"))
+    bank, told = Bank(spark, str(tmp_path / "bank"), CONFIG, parts=8), []
+    bank.index_path(str(root), progress=told.append)
+    assert told[0] == 0 and told[-1] == 1 and told == sorted(told) and any(0.2 < x <= 0.8 for x in told)
+    before, ids = bank._state(), {r["id"] for r in bank.table("documents").collect()}
+    (root / "3.md").write_text(body("changed"))
+    (root / "4.md").unlink()
+    report = bank.index_diff([str(root / "3.md")], [str(root / "4.md")])
+    assert report.counts == {"modified": 1} and report.removed == 1
+    after = bank._state()
+    parts = {bank._part_of(str(root / f"{i}.md")) for i in (3, 4)}
+    for name in ("documents", "chunks", "words"):
+        changed = {p for p in range(8) if before["tables"][name].get(str(p)) != after["tables"][name].get(str(p))}
+        assert changed == parts
+    fresh = {r["id"] for r in bank.table("documents").collect()} - ids
+    assert len(fresh) == 1 and min(fresh) > max(ids) and bank.table("documents").count() == 11
+    assert bank.search(["changed speaks"], 1).first()["file_path"].endswith("3.md")
+    chunks = bank.table("chunks")
+    assert bank.index().spans.selectExpr("explode(ids) AS id").join(chunks, "id", "full").where("content IS NULL OR document_id IS NULL").count() == 0
+    bank.vacuum()
+    assert bank.table("documents").count() == 11 and bank.search(["word5 speaks"], 1).first()["file_path"].endswith("5.md")
 
 
 def test_changes_lead_to_their_roots(tmp_path):
