@@ -1,9 +1,28 @@
-"""Gates of editor hooks: may this file be indexed, and under which path."""
+"""Which folder a path belongs to, and whether a hook may index a file, and under which path."""
 
 from __future__ import annotations
 
 import posixpath
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def roots_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """``paths`` (with ``path``) with the ``root`` that each lies in or is, the longest if several; those in none go.
+
+    A path is split into itself and the folders above it, and these meet the ``roots`` (root) by a hash join. A path has as many
+    as it has slashes, so the join grows with the paths alone, however many roots there are. A root's last slash doesn't count.
+    """
+    known = roots.select("root", F.when(F.col("root") == "/", "").otherwise(F.rtrim("root", F.lit("/"))).alias("_above")).where("root IS NOT NULL")
+    known = known.groupBy("_above").agg(F.min("root").alias("root"))
+    pieces = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, 1, n), "/"))
+    keyed = paths.where("path IS NOT NULL").withColumn("_row", F.monotonically_increasing_id())
+    met = keyed.select("_row", *paths.columns, F.explode(above).alias("_above")).join(known, "_above")
+    best = F.max_by(F.struct(*paths.columns, "root"), F.length("_above")).alias("best")
+    return met.groupBy("_row").agg(best).select("best.*")
+
 
 def under_indexed_root(target: str, cwd: str | None, paths: list[str]) -> str | None:
     """The form of ``target`` under which an index with those ``paths`` would know it; None if it lies outside.

@@ -11,7 +11,7 @@ from plumbline.config import EngineConfig
 from plumbline.functions import text as tx
 from plumbline.functions import vectors as vx
 from plumbline.functions.markdown import chunk_markdown
-from plumbline.operators import analytics, diff, lexical, retrieval, windows
+from plumbline.operators import analytics, diff, gates, lexical, retrieval, windows
 from plumbline.operators.postings import TextIndex
 from plumbline.storage import scratch
 
@@ -57,6 +57,10 @@ LOG = """WITH log AS (SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS
   event_id % 5000 AS result_bytes, event_id * 7 % 70000 AS baseline_bytes FROM events) """
 
 
+#: Characters of a context.
+BUDGET = 1500
+
+
 # --- scans, filters, projections
 
 
@@ -130,16 +134,19 @@ def join_left_missing_vector(spark, d):
 
 @query("WITH c AS (SELECT * FROM conversations) SELECT a.conv_id, a.turn, count(*) AS near, max(b.turn) AS last FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY ALL")
 def join_range_neighbours(spark, d):
-    c = t(spark, d, "conversations").select("conv_id", "turn")
-    b = c.select(F.col("conv_id"), F.col("turn").alias("other"))
-    near = c.join(b, "conv_id").where(F.col("other").between(F.col("turn") - 1, F.col("turn") + 1))
-    return near.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("near"), F.max("other").alias("last"))
+    near = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-1, 1)
+    c = t(spark, d, "conversations").where("turn IS NOT NULL").select("conv_id", "turn")
+    return c.select("conv_id", "turn", F.count(F.lit(1)).over(near).alias("near"), F.max("turn").over(near).alias("last")).distinct()
+
 
+_ROOTS = "('docs/1'), ('docs/5'), ('docs'), ('docs/5/7.md'), ('other')"
 
-@query(f"WITH x AS (SELECT {PATH} AS path FROM documents), r(root) AS (VALUES ('docs/1'), ('docs/5'), ('other')) SELECT root, count(*) AS files FROM x JOIN r ON starts_with(path, root || '/') GROUP BY root")
+
+@query(f"WITH x AS (SELECT {PATH} AS path FROM documents), r(root) AS (VALUES {_ROOTS}), m AS (SELECT path, root, row_number() OVER (PARTITION BY path ORDER BY length(root) DESC) AS n FROM x JOIN r ON path = root OR starts_with(path, root || '/')) SELECT root, count(*) AS files FROM m WHERE n = 1 GROUP BY root")
 def join_prefix_roots(spark, d):
-    roots = spark.createDataFrame([("docs/1",), ("docs/5",), ("other",)], "root string")
-    return docs(spark, d).join(F.broadcast(roots), tx.under(F.col("path"), F.col("root"))).groupBy("root").agg(F.count(F.lit(1)).alias("files"))
+    """Each file belongs to the longest root it lies in."""
+    roots = spark.createDataFrame([("docs/1",), ("docs/5",), ("docs",), ("docs/5/7.md",), ("other",)], "root string")
+    return gates.roots_of(docs(spark, d).select("path"), roots).groupBy("root").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("SELECT vec_id, label, lang, toxic FROM embeddings JOIN documents ON doc_id = vec_id JOIN labels USING (doc_id)")
@@ -199,6 +206,20 @@ def window_context(spark, d):
     return windows.chunk_windows(chunks, chunks.select("id"), 1, 100_000_000)
 
 
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id AS d, conv_id * 1000 + turn AS id, turn AS i, text, length(text) AS n FROM conversations),
+w AS (SELECT id, d, i AS low, i AS high, n AS used, n < {BUDGET} AS l, n < {BUDGET} AS r, 0 AS step FROM c
+  UNION ALL SELECT id, d, low - (step % 2 = 0 AND fits)::INT, high + (step % 2 = 1 AND fits)::INT, CASE WHEN fits THEN used + 2 + n ELSE used END, CASE WHEN step % 2 = 0 THEN fits ELSE l END, CASE WHEN step % 2 = 1 THEN fits ELSE r END, step + 1
+  FROM (SELECT w.*, c.n, coalesce((CASE WHEN step % 2 = 0 THEN l ELSE r END) AND used + 2 + c.n <= {BUDGET}, false) AS fits FROM w LEFT JOIN c ON c.d = w.d AND c.i = CASE WHEN step % 2 = 0 THEN low - 1 ELSE high + 1 END WHERE step < 6 AND (l OR r)) x),
+last AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY step DESC) = 1)
+SELECT last.id AS target_id, CASE WHEN low = high THEN substr(any_value(t.text), 1, {BUDGET}) ELSE string_agg(t.text, chr(10) || chr(10) ORDER BY t.i) END AS context
+FROM last JOIN c t ON t.d = last.d AND t.i BETWEEN low AND high GROUP BY last.id, low, high""")
+def window_budget(spark, d):
+    """Contexts of up to three turns on either side that fit into a budget, which most reach."""
+    c = t(spark, d, "conversations")
+    chunks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
+    return windows.chunk_windows(chunks, chunks.select("id"), 3, BUDGET)
+
+
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
 def sort_top_k(spark, d):
     return t(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("event_id", "ts")
@@ -370,22 +391,34 @@ def bm25_and(spark, d):
 
 
 _SYNTAX = r"""WITH tok AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents),
-has AS (SELECT id, list_contains(w, 'heed') AS heed, list_contains(w, 'thing') AS thing, list_contains(w, 'the') AS the, list_contains(w, 'and') AS "and", list_contains(w, 'und') AS und,
-  contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AS of_the FROM tok),
-hit AS (SELECT 0 AS query_id, id FROM has WHERE heed OR thing UNION ALL SELECT 1, id FROM has WHERE the AND NOT "and" UNION ALL SELECT 2, id FROM has WHERE of_the UNION ALL SELECT 3, id FROM has WHERE (heed AND thing) OR und)
-SELECT CAST(query_id AS BIGINT) AS query_id, id FROM hit"""
+n AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM tok),
+p(phrase, terms) AS (VALUES ('heed', ['heed']), ('thing', ['thing']), ('the', ['the']), ('and', ['and']), ('und', ['und']), ('of_the', ['of', 'the'])),
+tf AS (SELECT phrase, id, len(w) AS l, CASE WHEN len(terms) = 1 THEN len(list_filter(w, lambda x: x = terms[1])) ELSE len(list_filter(range(1, len(w)), lambda i: w[i] = terms[1] AND w[i + 1] = terms[2])) END AS tf FROM tok, p WHERE list_has_all(w, terms)),
+found AS (SELECT *, count(*) OVER (PARTITION BY phrase) AS df FROM tf WHERE tf > 0),
+s AS (SELECT phrase, id, greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len)) AS s FROM found, n),
+has AS (SELECT id, max(s) FILTER (phrase = 'heed') AS heed, max(s) FILTER (phrase = 'thing') AS thing, max(s) FILTER (phrase = 'the') AS the, max(s) FILTER (phrase = 'and') AS "and", max(s) FILTER (phrase = 'und') AS und, max(s) FILTER (phrase = 'of_the') AS of_the FROM s GROUP BY id),
+hit AS (SELECT 0 AS query_id, id, coalesce(heed, 0) + coalesce(thing, 0) AS score FROM has WHERE heed > 0 OR thing > 0
+  UNION ALL SELECT 1, id, the FROM has WHERE the > 0 AND "and" IS NULL UNION ALL SELECT 2, id, of_the FROM has WHERE of_the > 0
+  UNION ALL SELECT 3, id, CASE WHEN heed > 0 AND thing > 0 THEN heed + thing ELSE 0 END + coalesce(und, 0) FROM has WHERE (heed > 0 AND thing > 0) OR und > 0)
+SELECT CAST(query_id AS BIGINT) AS query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS bm25_rank FROM hit"""
 
 
 @query(_SYNTAX)
 def bm25_syntax(spark, d):
-    """Which documents match OR, NOT and phrases; broken queries match nothing."""
-    return lexical.bm25(text_index(spark, d), _asked(spark, SYNTAX_QUERIES), 1 << 30).select("query_id", "id")
+    """What OR, NOT and phrases find, with scores and ranks; broken queries match nothing."""
+    return lexical.bm25(text_index(spark, d), _asked(spark, SYNTAX_QUERIES), 1 << 30).withColumn("score", F.round("score", 6))
+
+
+@query()
+def bm25_work(spark, d):
+    """How many postings the terms of each query have, and how many a search for its best 15 scores."""
+    return lexical.work(text_index(spark, d), _asked(spark, AND_QUERIES, 100), 15)
 
 
-@query(_KNN + ", " + _BM25 + " SELECT query_id, id, round(coalesce(1.0 / (60 + vec_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0), 9) AS score FROM knn FULL JOIN bm25 USING (query_id, id)")
+@query(_KNN + ", " + _BM25 + " SELECT query_id, id, round(coalesce(1.0 / (60 + vec_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0), 9) AS score, coalesce(vec_rank, 1073741824 + bm25_rank) AS cand_pos FROM knn FULL JOIN bm25 USING (query_id, id)")
 def rrf_fusion(spark, d):
     words = lexical.bm25(text_index(spark, d), _asked(spark, AND_QUERIES, 100), 15)
-    return retrieval.fuse(retrieval.knn(*_vectors(spark, d), 15), words).select("query_id", "id", F.round("score", 9).alias("score"))
+    return retrieval.fuse(retrieval.knn(*_vectors(spark, d), 15), words).withColumn("score", F.round("score", 9))
 
 
 @query(_KNN + ", " + _BM25 + " SELECT query_id, id, bm25_rank FROM bm25 ANTI JOIN knn USING (query_id, id)")
@@ -401,21 +434,55 @@ def _hybrid(spark: SparkSession, d: str, part: str = "id IS NOT NULL") -> DataFr
     return retrieval.hybrid(chunks, index, asked, 5, EngineConfig())
 
 
-@query()
+_BOOST = ", ".join(f"({100 * i}, {[w for w in q.split() if len(w.encode()) >= 3]!r})" for i, q in enumerate(AND_QUERIES))
+_ASKED = f"""WITH RECURSIVE q(query_id, phrase, term) AS (VALUES {_TERMS}), b(query_id, words) AS (VALUES {_BOOST}),
+qv AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IN (SELECT query_id FROM q))"""
+
+
+def _hybrid_sql(part: str) -> str:
+    """The raw hits of a hybrid search of the documents in ``part``: ``query_id, id, score, mmr_pos``."""
+    return rf"""{_ASKED},
+chunk AS (SELECT doc_id AS id, text, coalesce(nullif(trim(regexp_extract(text, '(?m)^[^\S\n]*# [^\S\n]*(\S[^\n]*)$', 1)), ''), '') AS heading, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE {part}),
+near AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_dot_product(qv.e, chunk.e) / (sqrt(list_dot_product(qv.e, qv.e)) * sqrt(list_dot_product(chunk.e, chunk.e))), id) AS vec_rank FROM qv, chunk WHERE chunk.e IS NOT NULL QUALIFY vec_rank <= 15),
+tok AS (SELECT id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') || regexp_extract_all(strip_accents(lower(heading)), '[\p{{L}}\p{{N}}]+') AS terms FROM chunk),
+n AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_len FROM tok),
+tf AS (SELECT query_id, phrase, id, len(terms) AS l, len(list_filter(terms, lambda x: x = term)) AS tf FROM tok, q WHERE list_contains(terms, term)),
+df AS (SELECT query_id, phrase, count(*) AS df FROM tf GROUP BY ALL),
+s AS (SELECT tf.query_id, id, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))) AS score, count(*) AS hits FROM tf JOIN df USING (query_id, phrase), n GROUP BY tf.query_id, id),
+bm25 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS bm25_rank FROM s WHERE hits = (SELECT count(*) FROM q WHERE q.query_id = s.query_id) QUALIFY bm25_rank <= 15),
+fused AS (SELECT query_id, id, coalesce(1.0 / (60 + vec_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS score, coalesce(vec_rank, 1073741824 + bm25_rank) AS pos FROM near FULL JOIN bm25 USING (query_id, id)),
+cand AS (SELECT query_id, id, e, pos, score + coalesce(0.05 * len(list_filter(words, lambda w: contains(lower(heading), w))) / nullif(len(words), 0), 0) AS score FROM fused JOIN chunk USING (id) JOIN b USING (query_id)),
+pick AS (SELECT query_id, 0 AS step, []::BIGINT[] AS chosen FROM (SELECT DISTINCT query_id FROM cand)
+  UNION ALL SELECT query_id, step + 1, list_append(chosen, (SELECT arg_max(c.id, struct_pack(v := 0.7 * c.score - 0.3 * greatest(coalesce((SELECT max(list_dot_product(c.e, s.e)) FROM cand s WHERE s.query_id = pick.query_id AND list_contains(pick.chosen, s.id)), 0), 0), p := c.pos)) FROM cand c WHERE c.query_id = pick.query_id AND NOT list_contains(pick.chosen, c.id)))
+  FROM pick WHERE step < 5),
+hits AS (SELECT query_id, id, score, CAST(list_position(chosen, id) AS INTEGER) AS mmr_pos FROM cand JOIN (SELECT query_id, chosen FROM pick WHERE step = 5) USING (query_id) WHERE list_contains(chosen, id))
+SELECT * FROM hits"""
+
+
+@query(f"SELECT query_id, id, round(CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END, 9) AS score, mmr_pos FROM ({_hybrid_sql('true')}) h WINDOW w AS (PARTITION BY query_id)")
 def hybrid_search(spark, d):
-    return retrieval.normalised(_hybrid(spark, d))
+    return retrieval.normalised(_hybrid(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""WITH h AS (SELECT *, 'even' AS source_db FROM ({_hybrid_sql('doc_id % 2 = 0')}) UNION ALL SELECT *, 'odd' FROM ({_hybrid_sql('doc_id % 2 = 1')})),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_db, mmr_pos) AS INTEGER) AS rank FROM h QUALIFY rank <= 5)
+SELECT query_id, id, round(CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE score END, 9) AS score, source_db, rank FROM r WINDOW w AS (PARTITION BY query_id)""")
 def banks_merged(spark, d):
-    return retrieval.merged({"even": _hybrid(spark, d, "id % 2 = 0"), "odd": _hybrid(spark, d, "id % 2 = 1")}, 5)
+    merged = retrieval.merged({"even": _hybrid(spark, d, "id % 2 = 0"), "odd": _hybrid(spark, d, "id % 2 = 1")}, 5)
+    return merged.withColumn("score", F.round("score", 9))
 
 
-@query()
+_MMR = """, cand AS (SELECT query_id, knn.id, 1 - distance AS score, vec_rank AS pos, v.e FROM knn JOIN v ON v.id = knn.id),
+pick AS (SELECT query_id, 0 AS step, []::BIGINT[] AS chosen FROM (SELECT DISTINCT query_id FROM cand)
+  UNION ALL SELECT query_id, step + 1, list_append(chosen, (SELECT arg_max(c.id, struct_pack(v := 0.7 * c.score - 0.3 * greatest(coalesce((SELECT max(list_dot_product(c.e, s.e)) FROM cand s WHERE s.query_id = pick.query_id AND list_contains(pick.chosen, s.id)), 0), 0), p := c.pos)) FROM cand c WHERE c.query_id = pick.query_id AND NOT list_contains(pick.chosen, c.id)))
+  FROM pick WHERE step < 10)"""
+
+
+@query(_KNN.replace("WITH v", "WITH RECURSIVE v").replace("<= 15", "<= 30") + _MMR + " SELECT query_id, id, round(score, 6) AS score, CAST(list_position(chosen, id) AS INTEGER) AS mmr_pos FROM cand JOIN (SELECT query_id, chosen FROM pick WHERE step = 10) USING (query_id) WHERE list_contains(chosen, id)")
 def mmr_rerank(spark, d):
     near = retrieval.knn(*_vectors(spark, d), 30)
     cands = near.join(_vectors(spark, d)[0], "id").select("query_id", "id", (1 - F.col("distance")).alias("score"), F.col("vec_rank").alias("cand_pos"), "embedding")
-    return retrieval.rerank(cands, 10, 0.7)
+    return retrieval.rerank(cands, 10, 0.7).withColumn("score", F.round("score", 6))
 
 
 @query()
