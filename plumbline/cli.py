@@ -13,7 +13,7 @@ from plumbline import config as settings
 from plumbline.functions import render
 from plumbline.operators import analytics
 from plumbline.plans.bank import Bank, BankSet
-from plumbline.service import LogWriter, run_hook
+from plumbline.service import LogWriter, passes_gate, run_hook
 
 
 def parser() -> argparse.ArgumentParser:
@@ -50,11 +50,14 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config = settings.load(args.config).with_overrides(args.dim, args.model, args.db).validated()
+    payload = ""
+    if args.command == "hook":  # gates first: a session takes seconds to start
+        payload = sys.stdin.read()
+        if not os.path.isdir(config.db_path) or not passes_gate(args.kind, payload):
+            return 0
     spark = SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "hook":
-        if os.path.isdir(config.db_path):
-            run_hook(args.kind, sys.stdin.read(), lambda: Bank(spark, config.db_path, config))
-        return 0
+        return run_hook(args.kind, payload, lambda: Bank(spark, config.db_path, config))
     if args.command != "index" and args.command != "watch" and not os.path.isdir(config.db_path):
         print(f"No index at {config.db_path}. Run 'index' first.")
         return 1

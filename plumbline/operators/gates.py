@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import posixpath
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,27 +22,30 @@ def roots_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return met.groupBy("_row").agg(best).select("best.*")
 
 
-def under_indexed_root(target: str, cwd: str | None, paths: list[str]) -> str | None:
-    """The form of ``target`` under which an index with those ``paths`` would know it; None if it lies outside.
+def forms(target: str, cwd: str | None) -> list[str]:
+    """The forms under which an index may know a path: as it is, and from ``cwd``."""
+    target = target.replace("\\", "/").removeprefix("./")
+    below = (cwd or "").rstrip("/") + "/"
+    return [target, target[len(below) :]] if target.startswith("/") and cwd and target.startswith(below) else [target]
+
 
-    Absolute entries speak for their own folder, relative ones for their topmost folder, entries without a
-    folder for themselves alone. An absolute target matches relative entries by its path from ``cwd``.
+def fits(path: Column, form: str) -> Column:
+    """Whether ``form`` lies in the folder that an index's ``path`` speaks for.
+
+    Absolute paths speak for their own folder, but for the topmost, relative ones for their topmost folder, those without a
+    folder for themselves alone.
     """
-    target = target.replace("\\", "/").removeprefix("./")
-    forms = [target]
-    if target.startswith("/") and cwd and target.startswith(cwd.rstrip("/") + "/"):
-        forms.append(target[len(cwd.rstrip("/")) + 1 :])
-    for form in forms:
-        for path in paths:
-            if path.startswith("/") != form.startswith("/"):
-                continue
-            if path.startswith("/"):
-                parent = posixpath.dirname(path)
-                fits = parent != "/" and form.startswith(parent + "/")
-            elif "/" in path:
-                fits = form.startswith(path.split("/", 1)[0] + "/")
-            else:
-                fits = form == path
-            if fits:
-                return form
+    parent = F.regexp_replace(path, "/[^/]*$", "")
+    own = (parent != "") & F.startswith(F.lit(form), F.concat(parent, F.lit("/")))
+    top = F.startswith(F.lit(form), F.concat(F.substring_index(path, "/", 1), F.lit("/")))
+    if form.startswith("/"):
+        return F.startswith(path, F.lit("/")) & own
+    return ~F.startswith(path, F.lit("/")) & F.when(F.contains(path, F.lit("/")), top).otherwise(path == form)
+
+
+def under_indexed_root(target: str, cwd: str | None, paths: DataFrame) -> str | None:
+    """The form of ``target`` under which an index with those ``paths`` (path) would know it; None if it lies outside."""
+    for form in forms(target, cwd):
+        if not paths.where(fits(F.col("path"), form)).isEmpty():
+            return form
     return None

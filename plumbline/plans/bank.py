@@ -9,7 +9,6 @@ writers one is refused, readers see the old state or the new, and what a failed
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from collections.abc import Callable
@@ -23,7 +22,7 @@ from plumbline.config import EngineConfig
 from plumbline.errors import Conflict, DimensionMismatch, DuplicatePath, ModelMismatch, NotFound, StorageError
 from plumbline.functions.markdown import chunk_markdown
 from plumbline.functions.text import normalise_path, under
-from plumbline.operators import analytics, diff, postings, retrieval, windows
+from plumbline.operators import analytics, diff, gates, postings, retrieval, windows
 from plumbline.operators.postings import INDEX, TextIndex
 from plumbline.plans.embedding import Embedder, HashEmbedder, with_embeddings
 from plumbline.sources import files
@@ -287,13 +286,12 @@ class Bank:
 
     def index_path(self, root: str, recursive: bool = True, force: bool = False, dry_run: bool = False, progress: Callable[[float], None] = lambda _: None) -> Report:
         """Indexes Markdown files below ``root``; documents under it whose files are gone leave the index, others stay."""
-        if not os.path.exists(root):
+        if not files.exists(root):
             raise NotFound(root)
-        incoming = files.read_files(self.spark, files.discover(root, recursive), self.config.max_file_size)
+        incoming = files.described(files.scan(self.spark, root, recursive, self.config.max_file_size))
         at = root.replace("\\", "/").removeprefix("./").rstrip("/")
-        stored = self.table("documents").where(under(F.col("path"), at) if at not in ("", ".") else F.lit(True)).select("path")
-        missing = stored.mapInPandas(lambda frames: (f[[not os.path.exists(p) for p in f["path"]]] for f in frames), "path string")
-        return self.apply(incoming, missing, force, dry_run, progress)
+        known = self.table("documents").where(under(F.col("path"), at) if at not in ("", ".") else F.lit(True))
+        return self.apply(incoming, files.missing(known), force, dry_run, progress)
 
     def index_documents(self, docs: DataFrame, removed: DataFrame | None = None, force: bool = False) -> Report:
         """Indexes documents that are given with their texts (``path, content`` and perhaps ``content_hash, title``), without a size limit."""
@@ -344,11 +342,9 @@ class Bank:
             self._change({"chunks": lambda rows: rows.where(~there)}, [r["part"] for r in found], words=True)
         return sum(r["count"] for r in found)
 
-    def document_roots(self) -> DataFrame:
-        """A path for each folder that ``gates.under_indexed_root`` tells apart: far fewer than there are documents."""
-        p = F.col("path")
-        folder = F.when(p.startswith("/"), F.regexp_replace(p, "[^/]*$", "_")).when(p.contains("/"), F.concat(F.substring_index(p, "/", 1), F.lit("/_"))).otherwise(p)
-        return self.table("documents").select(folder.alias("path")).distinct()
+    def known_form(self, target: str, cwd: str | None) -> str | None:
+        """The form of ``target`` under which the index knows its folder; None if it lies outside."""
+        return gates.under_indexed_root(target, cwd, self.table("documents"))
 
     # --- search
 
@@ -403,17 +399,25 @@ class Bank:
     def log(self) -> DataFrame:
         if not self._fs().exists(self._path("log")):
             return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
+        return self.spark.read.schema(LOG + ", batch string").parquet(f"{self.root}/log").drop("batch")
+
+    def append_logs(self, batch: str, rows: list[tuple]) -> None:
+        """Adds rows (``LOG``) to the log as one file. A batch that is written again, after a failure, replaces what it left."""
+        self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
 
     def append_log(self, source: str, query: str, top_k: int, result_bytes: int, baseline_bytes: int, ts: int | None = None) -> None:
-        row = (time.time_ns(), int(time.time()) if ts is None else ts, source, query, top_k, result_bytes, baseline_bytes)
-        self.spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        self.append_logs(uuid.uuid4().hex, [log_row(source, query, top_k, result_bytes, baseline_bytes, ts)])
+
+
+def log_row(source: str, query: str, top_k: int, result_bytes: int, baseline_bytes: int, ts: int | None = None) -> tuple:
+    return time.time_ns(), int(time.time()) if ts is None else ts, source, query, top_k, result_bytes, baseline_bytes
 
 
 def hook_block(hit: dict, most: int = 500) -> str:
+    """Where a hit is from and its score, then its text as a quote."""
     text = hit["content"] if len(hit["content"].encode()) <= most else hit["content"][:most] + "…"
     head = f"{hit['file_path']}" + (f" § {hit['heading_context']}" if hit["heading_context"] else "")
-    return "\n".join(f"> {line}" for line in [head, *text.splitlines()])
+    return "\n".join([f"{head} (score: {hit['score']:.2f})", *(f"> {line}" for line in text.splitlines())])
 
 
 def format_results(hits: list[dict]) -> str:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -38,6 +39,21 @@ class HashEmbedder:
         return out
 
 
+class Shared:
+    """An embedder that each worker makes once, by a function of a module, and keeps: what it holds is never sent to a task."""
+
+    def __init__(self, make: Callable[[], Embedder]):
+        self.make = make
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return _made(self.make).encode(texts)
+
+
+@lru_cache(4)
+def _made(make: Callable[[], Embedder]) -> Embedder:
+    return make()
+
+
 def truncate_and_normalise(x: np.ndarray, dim: int) -> np.ndarray:
     """The leading components at unit length; rows of almost no length stay."""
     x = x[:, :dim]

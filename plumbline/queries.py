@@ -155,6 +155,15 @@ def join_vectors_documents(spark, d):
     return vectors.join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id").join(t(spark, d, "labels").select("doc_id", "toxic"), "doc_id").withColumnRenamed("doc_id", "vec_id")
 
 
+@query(f"SELECT {PATH} AS path, turn AS chunk_index, conv_id * 1000 + turn AS id, strlen(c.text) AS n_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY turn, conv_id * 1000 + turn) AS reading FROM conversations c JOIN documents ON doc_id = conv_id")
+def chunks_of_document(spark, d):
+    """The chunks of every document in reading order."""
+    c = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.octet_length("text").cast("long").alias("n_bytes"))
+    order = Window.partitionBy("document_id").orderBy("chunk_index", "id")
+    found = c.join(docs(spark, d).select(F.col("id").alias("document_id"), "path"), "document_id")
+    return found.withColumn("reading", F.row_number().over(order)).select("path", "chunk_index", "id", "n_bytes", "reading")
+
+
 # --- aggregates, windows, sets
 
 
@@ -307,6 +316,18 @@ def json_field(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
+_PAYLOAD = "json_object('tool_input', json_object('file_path', source || '/' || doc_id || '.md'), 'cwd', CASE WHEN doc_id % 3 > 0 THEN '/' || lang END, 'prompt', text)"
+
+
+@query(f"WITH p AS (SELECT doc_id, {_PAYLOAD} AS payload FROM documents) SELECT doc_id, json_extract_string(payload, '$.tool_input.file_path') AS file_path, json_extract_string(payload, '$.cwd') AS cwd, strlen(json_extract_string(payload, '$.prompt')) AS prompt_bytes, json_extract_string(payload, '$.none') AS none FROM p")
+def payload_parse(spark, d):
+    """What hooks read from their payloads, of a payload for each document."""
+    x = t(spark, d, "documents")
+    payload = F.to_json(F.struct(F.struct(F.concat_ws("/", "source", F.concat("doc_id", F.lit(".md"))).alias("file_path")).alias("tool_input"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("/"), "lang")).alias("cwd"), F.col("text").alias("prompt")))
+    read = F.from_json(payload, "tool_input struct<file_path:string>, cwd string, prompt string, none string")
+    return x.select("doc_id", read.alias("p")).select("doc_id", F.col("p.tool_input.file_path").alias("file_path"), "p.cwd", F.octet_length("p.prompt").cast("long").alias("prompt_bytes"), "p.none")
+
+
 _HEAD = "list_transform(embedding[:16], lambda x: CAST(x AS DOUBLE))"
 
 

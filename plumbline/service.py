@@ -7,14 +7,15 @@ import logging
 import os
 import posixpath
 import sys
+import threading
+import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
 from plumbline.errors import EngineError, PayloadError
-from plumbline.operators.gates import under_indexed_root
-from plumbline.plans.bank import Bank, BankSet, Report, format_results
+from plumbline.plans.bank import Bank, BankSet, Report, format_results, log_row
 from plumbline.sources import files
 
 logger = logging.getLogger(__name__)
@@ -46,11 +47,9 @@ def index_edited(bank: Bank, payload: str) -> Report | None:
     A file known by a relative path is read below the payload's ``cwd`` and keeps that path.
     """
     target, cwd = payload_field(payload, "tool_input.file_path")
-    name = posixpath.basename(target.replace("\\", "/"))
-    if not name.endswith(".md") or name == ".md":
+    if not files.is_markdown_name(posixpath.basename(target.replace("\\", "/"))):
         return None
-    paths = [r["path"] for r in bank.document_roots().collect()]
-    known = under_indexed_root(target, cwd, paths)
+    known = bank.known_form(target, cwd)
     if known is None:
         return None
     at = known if known.startswith("/") else os.path.join(cwd or ".", known)
@@ -62,6 +61,15 @@ def search_prompt(bank: Bank, payload: str) -> str | None:
     return bank.hook_search(prompt)
 
 
+def passes_gate(kind: str, payload: str) -> bool:
+    """Whether a hook has anything to do, as far as the payload tells: asked before a session is started. Broken payloads pass, to be reported."""
+    try:
+        value, _ = payload_field(payload, "prompt" if kind == "search" else "tool_input.file_path")
+    except PayloadError:
+        return True
+    return 5 <= len(value.split()) <= 150 if kind == "search" else files.is_markdown_name(posixpath.basename(value.replace("\\", "/")))
+
+
 def run_hook(kind: str, payload: str, bank: Callable[[], Bank], show: Callable[[str], None] = print) -> int:
     """The hook ``index`` or ``search`` on a payload. Always 0: whatever fails is told to stderr only."""
     try:
@@ -78,21 +86,36 @@ def run_hook(kind: str, payload: str, bank: Callable[[], Bank], show: Callable[[
 
 
 class LogWriter:
-    """Appends to the log of searches in a thread of its own; a failure warns and fails nothing."""
+    """Appends to the log of searches in a thread of its own; a failure warns and fails nothing.
+
+    Searches that come while one batch is being written go into the next one together, so many searches make few files.
+    """
 
     def __init__(self, bank: Bank):
         self.bank, self._pool = bank, ThreadPoolExecutor(1, "search-log")
-
-    def _write(self, source: str, query: str, top_k: int, hits: list[dict]) -> None:
-        try:
-            paths = sorted({h["file_path"] for h in hits})
-            read = self.bank.table("documents").where(F.col("path").isin(paths)).agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
-            self.bank.append_log(source, query, top_k, sum(len(h["content"].encode()) for h in hits), read)
-        except Exception as e:  # noqa: BLE001  the search has succeeded
-            logger.warning("the search was not logged: %s", e)
+        self._waiting: list[tuple] = []
+        self._lock, self._name, self._batches = threading.Lock(), uuid.uuid4().hex, 0
+
+    def _write(self) -> None:
+        with self._lock:
+            rows, self._waiting = self._waiting, []
+        if not rows:
+            return  # an earlier batch took them along
+        self._batches += 1
+        for left in (1, 0):
+            try:
+                self.bank.append_logs(f"{self._name}-{self._batches}", rows)
+                return
+            except Exception as e:  # noqa: BLE001  the searches have succeeded
+                if not left:
+                    logger.warning("%d searches were not logged: %s", len(rows), e)
 
     def append(self, source: str, query: str, top_k: int, hits: list[dict]) -> Future:
-        return self._pool.submit(self._write, source, query, top_k, hits)
+        """Logs a search: the bytes of its hits, and those of the files it spared, as they are on disk; missing files count nothing."""
+        read = sum(files.size_on_disk(p) for p in {h["file_path"] for h in hits})
+        with self._lock:
+            self._waiting.append(log_row(source, query, top_k, sum(len(h["content"].encode()) for h in hits), read))
+        return self._pool.submit(self._write)
 
     def close(self) -> None:
         """Waits for what is still being written."""

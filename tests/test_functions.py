@@ -1,15 +1,15 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import config
 from plumbline.errors import ConfigError
 from plumbline.functions import fts
 from plumbline.functions.markdown import chunk_markdown, sections, sentence_end, split_words, tail
-from plumbline.operators.gates import under_indexed_root
+from plumbline.operators.gates import roots_of, under_indexed_root
 from plumbline.operators.retrieval import mmr_order
-from plumbline.operators.windows import assemble
+from plumbline.operators.windows import chunk_windows
 from plumbline.plans.embedding import truncate_and_normalise
-from plumbline.streaming.watch import affected_roots
 
 
 @pytest.mark.parametrize(
@@ -54,11 +54,27 @@ def test_fences_are_no_headings():
     assert [c.heading_context for c in sections("# A\n\n```\n# not\n```\n")] == ["A"]
 
 
-def test_windows():
-    assert assemble(["aaaa", "BB", "cccc"], 1, 4) == "BB"
-    assert assemble(["aaaa", "BB", "cccc"], 1, 8) == "aaaa\n\nBB"
-    assert assemble(["x", "abcdefghij", "y"], 1, 4) == "abcd"
-    assert assemble(["ééééé"], 0, 3) == "ééé"
+def assembled(spark, parts, target, most, radius=9):
+    """The context of a part among those of its document, between parts of another."""
+    rows = [(10 * d + i, d, i, x) for d in (0, 1, 2) for i, x in enumerate(parts if d == 1 else ["other"] * 4)]
+    chunks = spark.createDataFrame(rows, "id long, document_id long, chunk_index long, content string")
+    return chunk_windows(chunks, chunks.where(F.col("id") == 10 + target).select("id"), radius, most).first()["context"]
+
+
+def test_context_windows(spark):
+    """Sides grow in turns, left first, and end at the first part that doesn't fit; all of it is decided by the frame's lengths."""
+    assert assembled(spark, ["a", "b", "c"], 1, 100) == "a\n\nb\n\nc"
+    assert assembled(spark, ["a", "b", "c"], 0, 100) == "a\n\nb\n\nc"
+    assert assembled(spark, ["a", "b", "c", "d", "e"], 2, 100, radius=1) == "b\n\nc\n\nd"
+    assert assembled(spark, ["a", "x" * 50, "b", "c", "d"], 2, 12) == "b\n\nc\n\nd"  # the left side ends, whatever lies beyond
+    assert assembled(spark, ["aa", "b", "cc"], 1, 6) == "aa\n\nb"
+    assert assembled(spark, ["x", "abcdefghij", "y"], 1, 4) == "abcd"
+    assert assembled(spark, ["x", "abcd", "y"], 1, 4) == "abcd"
+    assert assembled(spark, ["ééééé"], 0, 3) == "ééé"
+    assert assembled(spark, [None, "b", None], 1, 10) == "\n\nb\n\n"
+    chunks = spark.createDataFrame([(1, 1, 0, "a"), (2, 1, 0, "b"), (3, 1, 1, "c")], "id long, document_id long, chunk_index long, content string")
+    got = {r["target_id"]: r["context"] for r in chunk_windows(chunks, chunks.select("id"), 0, 99).collect()}
+    assert got == {1: "a\n\nb", 2: "a\n\nb", 3: "c"}
 
 
 def test_mmr():
@@ -94,12 +110,19 @@ def test_config():
         ("/bar.md", None, ["/foo.md"], None),
     ],
 )
-def test_under_indexed_root(target, cwd, paths, form):
-    assert under_indexed_root(target, cwd, paths) == form
-
-
-def test_affected_roots():
-    assert affected_roots(["/a", "/b"], ["/b/x.md"]) == ["/b"]
+def test_under_indexed_root(spark, target, cwd, paths, form):
+    assert under_indexed_root(target, cwd, spark.createDataFrame([(p,) for p in paths], "path string")) == form
+
+
+def test_roots_of(spark):
+    """The longest root wins; a root's own path, slashes at the end, the topmost folder, repeated rows and nulls."""
+    paths = [("/a/b/c.md", 1), ("/a/b", 2), ("/ab/c.md", 3), ("x/y.md", 4), ("x/y.md", 4), (None, 5), ("z", 6)]
+    table = spark.createDataFrame(paths, "path string, n long")
+    roots = spark.createDataFrame([("/a",), ("/a/b/",), ("x",), ("/a/b/c.md/d",), (None,)], "root string")
+    got = sorted((r["n"], r["root"]) for r in roots_of(table, roots).collect())
+    assert got == [(1, "/a/b/"), (2, "/a/b/"), (4, "x"), (4, "x")]
+    top = spark.createDataFrame([("/",)], "root string")
+    assert sorted(r["n"] for r in roots_of(table, top).collect()) == [1, 2, 3]
 
 
 def test_sections_follow_commonmark():

@@ -50,3 +50,56 @@ def test_hybrid_search_finds_documents_without_a_vector(spark, tmp_path):
     for name in ("hybrid_search", "banks_merged"):
         got = [r["id"] for r in queries.QUERIES[name](spark, str(tmp_path)).where("query_id = 0").collect()]
         assert any(i >= 20 for i in got) and 25 in got
+
+
+def many(spark, n):
+    import random
+
+    source = random.Random(1)
+    rows = [(i, [source.gauss(0, 1) for _ in range(4)]) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, embedding array<float>")
+
+
+def test_neighbours_of_any_number_of_queries(spark, monkeypatch):
+    """More query vectors than a pass or a task's block takes find the same as all at once."""
+    from plumbline.operators import retrieval
+
+    vectors = many(spark, 90)
+    asked = vectors.withColumnRenamed("id", "query_id")
+
+    def found():
+        return sorted((r["query_id"], r["vec_rank"], r["id"], round(r["distance"], 9) + 0.0) for r in retrieval.knn(vectors, asked, 5).collect())
+
+    want = found()
+    assert len(want) == 450
+    for floats, products, rows in ((40, 4_000_000, 4096), (8_000_000, 21, 7), (4, 10, 3)):
+        monkeypatch.setattr(retrieval, "PASS_FLOATS", floats)
+        monkeypatch.setattr(retrieval, "TASK_PRODUCTS", products)
+        monkeypatch.setattr(retrieval, "ROWS", rows)
+        assert found() == want
+
+
+def test_search_skips_only_what_cannot_be_among_the_best(spark, tmp_path, monkeypatch):
+    """Ranks equal those of a search that scores all, phrases and other syntax included, and most postings are not scored."""
+    import random
+
+    from plumbline.operators import lexical, postings
+    from plumbline.operators.postings import TextIndex
+
+    source = random.Random(5)
+    texts = [(i, " ".join(source.choice("alpha beta gamma delta epsilon zeta of the".split()) for _ in range(source.randrange(3, 90))), "alpha" if i % 9 == 0 else None) for i in range(900)]
+    texts += [(900, None, None), (901, "", "beta"), (901, "alpha beta", ""), (None, "alpha", None)]
+    table = spark.createDataFrame(texts, "id long, content string, heading_context string").repartition(3)
+    index = TextIndex.build(table, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma OR zeta"), (3, "alpha NOT beta"), (4, "of_the"), (5, "of_the AND alpha"), (6, "nothing"), (7, "alpha alpha")], "query_id long, query string")
+    got = [tuple(r) for r in lexical.bm25(index, asked, 5).orderBy("query_id", "bm25_rank").collect()]
+    work = {r["query_id"]: r for r in lexical.work(index, asked, 5).collect()}
+    every = lexical.bm25(index, asked, 5000).where("bm25_rank <= 5").orderBy("query_id", "bm25_rank").collect()
+    assert got == [tuple(r) for r in every] and {g[0] for g in got} == {1, 2, 3, 4, 5, 7}
+    assert sum(w["scored"] for w in work.values()) < 0.6 * sum(w["postings"] for w in work.values())
+    plan = lexical.bm25(index, asked, 5)._jdf.queryExecution().toString()
+    assert "content" not in plan and "PushedFilters: [In(term" in plan
+    monkeypatch.setattr(postings, "NAMED_TERMS", 1)
+    assert [tuple(r) for r in lexical.bm25(index, asked, 5).orderBy("query_id", "bm25_rank").collect()] == got
+    none = TextIndex.build(table.limit(0), str(tmp_path / "none"))
+    assert lexical.bm25(none, asked, 5).count() == 0

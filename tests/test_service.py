@@ -1,4 +1,6 @@
+import io
 import json
+import re
 
 import pytest
 
@@ -6,8 +8,9 @@ from plumbline.config import EngineConfig
 from plumbline.errors import Conflict, DuplicatePath, NotFound, PayloadError
 from plumbline.functions import render
 from plumbline.plans.bank import Bank, BankSet
-from plumbline.service import Tools, index_edited, payload_field, run_hook
-from plumbline.streaming.watch import affected_roots, changed_files, snapshot
+from plumbline.service import LogWriter, Tools, index_edited, passes_gate, payload_field, run_hook
+from plumbline.sources import files
+from plumbline.streaming.watch import Watcher, changes, listing
 
 CONFIG = EngineConfig(embedding_dim=64)
 
@@ -48,11 +51,38 @@ def test_tools_and_hooks(spark, tmp_path, capsys):
     assert index_edited(bank, json.dumps({"tool_input": {"file_path": str(root / "a.txt")}})) is None
     shown = []
     assert run_hook("search", json.dumps({"prompt": "what does omega speak about in plain words"}), lambda: bank, shown.append) == 0
-    assert shown and shown[0].startswith("> ")
+    assert shown and re.match(r"\S+a\.md( § .*)? \(score: 0\.\d\d\)\n> ", shown[0])
     assert run_hook("search", '{"prompt": "too short"}', lambda: bank, shown.append) == 0 and len(shown) == 1
     assert run_hook("index", "broken", lambda: bank) == 0 and "hook index" in capsys.readouterr().err
 
 
+def test_gates_need_no_session(monkeypatch, tmp_path):
+    """A hook that has nothing to do starts no session."""
+    from plumbline import cli
+
+    assert passes_gate("search", '{"prompt": "what does this text speak about"}') and not passes_gate("search", '{"prompt": "yes"}')
+    assert passes_gate("index", '{"tool_input": {"file_path": "x/a.md"}}') and not passes_gate("index", '{"tool_input": {"file_path": "x/a.txt"}}')
+    assert passes_gate("index", "broken")
+    monkeypatch.setattr(cli, "SparkSession", None)
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"prompt": "yes"}'))
+    assert cli.main(["--db", str(tmp_path), "hook", "search"]) == 0
+
+
+def test_many_searches_make_few_files(spark, tmp_path):
+    """Searches logged while a batch is written share the next one; none is there twice, and sizes are those on disk."""
+    bank = Bank(spark, str(tmp_path / "bank"), CONFIG)
+    (tmp_path / "a.md").write_text("x" * 1000)
+    log = LogWriter(bank)
+    hits = [{"file_path": str(tmp_path / "a.md"), "content": "é"}, {"file_path": str(tmp_path / "a.md"), "content": "y"}, {"file_path": "gone.md", "content": "z"}]
+    for i in range(1000):
+        log.append("cli", f"q{i}", 5, hits)
+    log.close()
+    rows = bank.log().collect()
+    assert sorted(r["query"] for r in rows) == sorted(f"q{i}" for i in range(1000))
+    assert {(r["result_bytes"], r["baseline_bytes"]) for r in rows} == {(4, 1000)}
+    assert len(list((tmp_path / "bank" / "log").glob("batch=*"))) < 50
+
+
 def test_documents_one_by_one(spark, tmp_path):
     bank = Bank(spark, str(tmp_path / "bank"), CONFIG)
     first = bank.insert_document("a.md", "h1", "A", 10)
@@ -125,17 +155,59 @@ def test_a_change_rewrites_only_its_part(spark, tmp_path):
     assert bank.table("documents").count() == 11 and bank.search(["word5 speaks"], 1).first()["file_path"].endswith("5.md")
 
 
-def test_changes_lead_to_their_roots(tmp_path):
+def test_files_are_scanned_in_folders(spark, tmp_path, monkeypatch):
+    """Hidden, empty and underscored files count, links and other names don't; a file that can't be read is an error row."""
+    monkeypatch.setattr(files, "FOLDERS", 3)
+    for name, text in {"a.md": "A", ".hidden.md": "h", "_part.md": "p", "empty.md": "", "x/b.md": "é", "x/.y/c.md": "C", "x/.y/z/d.md": "D", "e.MD": "no", ".md": "no", "f.txt": "no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "bad.md").write_bytes(b"\xff")
+    (tmp_path / "big.md").write_text("b" * 100)
+    (tmp_path / "link.md").symlink_to(tmp_path / "a.md")
+    (tmp_path / "linked").symlink_to(tmp_path / "x")
+    found = {r["path"]: r for r in files.scan(spark, str(tmp_path), max_size=50).collect()}
+    text = {k.removeprefix(str(tmp_path) + "/"): r["content"] for k, r in found.items()}
+    assert text == {"a.md": "A", ".hidden.md": "h", "_part.md": "p", "empty.md": "", "x/b.md": "é", "x/.y/c.md": "C", "x/.y/z/d.md": "D", "bad.md": None, "big.md": None}
+    assert "too large: 100 bytes (max 50)" in found[str(tmp_path / "big.md")]["error"] and found[str(tmp_path / "bad.md")]["error"]
+    assert sorted(r["path"] for r in files.scan(spark, "file://" + str(tmp_path / "x"), content=False).collect()) == sorted("file://" + str(tmp_path / "x" / n) for n in ("b.md", ".y/c.md", ".y/z/d.md"))
+    assert [r["content"] for r in files.scan(spark, str(tmp_path / "x" / "b.md")).collect()] == ["é"]
+    assert files.scan(spark, str(tmp_path), recursive=False).count() == 6
+    named = files.read_files(spark, [str(tmp_path / "a.md"), str(tmp_path / "gone.md")], 50).collect()
+    assert [bool(r["error"]) for r in named] == [False, True]
+
+
+def test_changes_lead_to_their_roots(spark, tmp_path):
     roots = [str(tmp_path / x) for x in ("one", "two")]
     for r in roots:
         (tmp_path / r).mkdir()
     (tmp_path / "one" / "a.md").write_text("x")
-    before = snapshot(roots)
+    before = spark.createDataFrame(listing(spark, roots).collect(), "root string, path string, modified long, file_size long")
     (tmp_path / "two" / "b.md").write_text("y")
-    assert affected_roots(roots, changed_files(before, snapshot(roots))) == [roots[1]]
-    before = snapshot(roots)
+    assert [(r["root"], r["kind"]) for r in changes(before, listing(spark, roots)).collect()] == [(roots[1], "added")]
     (tmp_path / "one" / "a.md").unlink()
-    assert affected_roots(roots, changed_files(before, snapshot(roots))) == [roots[0]]
+    assert sorted(r["kind"] for r in changes(before, listing(spark, roots)).collect()) == ["added", "removed"]
+
+
+def test_a_watcher_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """Changes made while nothing watched are found by the next watcher, once; a root that fails is tried again."""
+    root = tmp_path / "docs"
+    root.mkdir()
+    for name in ("a", "b", "c"):
+        (root / f"{name}.md").write_text(body(name))
+    bank, seen = Bank(spark, str(tmp_path / "bank"), CONFIG), []
+    first = Watcher(bank, [str(root)], on_report=lambda r: seen.append((r.counts, r.removed)))
+    assert first.tick() == {str(root): 3} and first.tick() == {}
+    (root / "a.md").write_text(body("changed"))
+    (root / "b.md").unlink()
+    (root / "d.md").write_text(body("d"))
+    second = Watcher(bank, [str(root)], on_report=lambda r: seen.append((r.counts, r.removed)))
+    with monkeypatch.context() as m:
+        m.setattr(bank, "apply", lambda *_: 1 / 0)
+        assert second.tick() == {str(root): 3}
+    assert second.tick() == {str(root): 3} and second.tick() == {}
+    assert seen == [({"added": 3}, 0), ({"added": 1, "modified": 1}, 1)]
+    assert sorted(r["path"][-4:] for r in bank.table("documents").collect()) == ["a.md", "c.md", "d.md"]
+    assert len(second._numbers()) == 1
 
 
 def test_rendering():
