@@ -123,8 +123,10 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chance = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(chance)
-    drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("language sample")), F.lit(1 << 20)) / (1 << 20) < chance
-    sample = sorted((r["doc_id"] or 0, r["lang"], r["text"]) for r in usable.where(drawn).select("doc_id", "lang", "text").limit(4 * rows * len(sizes)).collect())
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("language sample")), F.lit(1 << 20))
+    # Rows of one id share a place; should that draw more than the bound, the first by place stay.
+    drawn = usable.where(place / (1 << 20) < chance).orderBy(place, "lang", F.xxhash64("text")).limit(4 * rows * len(sizes))
+    sample = sorted((r["doc_id"] or 0, r["lang"], r["text"]) for r in drawn.select("doc_id", "lang", "text").collect())
     return fit([t for _, _, t in sample], [v for _, v, _ in sample])
 
 
@@ -132,7 +134,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -
     """The columns ``keep`` and ``lang_pred, score, ambiguous`` (with ``prefix``, and underscores before it where ``keep`` has that name) of every row, by its whole ``text``.
 
     Null texts and texts without a letter are of no language (``und``, score 0, ambiguous). Rows are judged
-    one by one, so repeated rows get the same result; an empty table gives no rows.
+    one by one, so repeated rows get the same result; an empty table gives no rows. Of languages whose codewords come equally
+    near, the first by name is predicted, and the text is ambiguous.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

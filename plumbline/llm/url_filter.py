@@ -17,10 +17,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import bounded_batches
+from plumbline.llm.common import bounded_batches, keyed, quoted, stored, unused
 
-#: Largest index that is sent to every executor; longer lists need a rule table to join with.
+#: Largest index that is sent to every executor; longer lists are joined as a table.
 INDEX_BYTES = 256 << 20
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _MAGIC = b"urlrules"
@@ -129,27 +131,58 @@ class Index:
         return out
 
 
+def _by_join(pages: DataFrame, rules: list[Rule], keep: tuple[str, ...]) -> DataFrame:
+    """``judge_urls`` for rules that are too many for every executor: urls and rules are dealt by digest and confirmed by their strings.
+
+    A url meets the rules' hosts by its own and those above it, then their rules by the beginnings of its path that are as long as
+    some rule's of that host.
+    """
+    spark = pages.sparkSession
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    table = stored(table.groupBy("host", "path").agg(F.max("verdict").alias("verdict")), "rules")  # of both, block
+    key = unused(pages.columns, "row")
+    rows = keyed(pages, key)
+    rest = F.when(F.contains("url", F.lit("://")), F.substr("url", F.locate("://", F.col("url")) + 3)).otherwise(F.lit(""))
+    host = F.translate(F.regexp_extract(F.coalesce(rest, F.lit("")), "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.regexp_extract(F.coalesce(rest, F.lit("")), "^[^/?#]*([^?#]*)", 1)
+    parts = stored(rows.select(F.col(key).alias("_row"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(quoted(list(keep)))), host.alias("host"), path.alias("path")), "urls")
+    labels = F.split("host", "[.]", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    digest = lambda h, p: F.xxhash64(h, p).alias("digest")
+    lengths = table.groupBy(F.col("host").alias("its_host")).agg(F.collect_set(F.char_length("path")).alias("lengths"))
+    met = parts.select("_row", "path", F.explode(above).alias("its_host")).where("its_host <> ''").join(lengths, "its_host")
+    fits = met.select("_row", "path", "its_host", F.explode(F.filter("lengths", lambda n: n <= F.char_length("path"))).alias("n"))
+    asked = fits.select("_row", "its_host", F.substr("path", F.lit(1), F.col("n")).alias("its_path")).withColumn("digest", digest("its_host", "its_path"))
+    known = table.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict"), digest("host", "path"))
+    found = asked.join(known, "digest").where("its_host = rule_host AND its_path = rule_path")
+    rule = F.concat("rule_host", "rule_path")
+    best = found.groupBy("_row").agg(F.max(F.struct(F.char_length(rule).alias("n"), F.char_length("rule_host").alias("h"), rule.alias("rule"), "verdict")).alias("best"))
+    out = parts.join(best, "_row", "left").select(*(f"k{i}" for i in range(len(keep))), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    return out.toDF(*keep, "host", "path", "rule", "verdict")
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns ``keep`` and ``host, path, rule, verdict`` of every row, by its ``url``.
 
     A rule fits its host and all subdomains if the url's path starts with the rule's; the longest rule
     wins (by host and path together, then by host). A null url or one without ``://`` has an empty host
-    and path, fits no rule and is allowed. Repeated rows are judged alike; other columns are ignored.
+    and path, fits no rule and is allowed. Repeated rows are judged alike; other columns are ignored, whatever their names; an empty
+    table gives no rows. Urls may have any length. Rules whose index is larger than ``INDEX_BYTES`` are joined instead.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     sealed = seal(rules)
     if len(sealed) > INDEX_BYTES:
-        raise ValueError(f"the index of the rules has {len(sealed)} bytes; at most {INDEX_BYTES} are sent to executors")
+        return _by_join(pages, rules, keep)
     shared = spark.sparkContext.broadcast(sealed)
-    kinds = dict(pages.dtypes)
+    # Columns go through Python by number, whatever their names hold.
+    chosen = pages.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(quoted(list(keep)))), F.col("url").cast("string").alias("u"))
+    fields = [T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")]
 
     def judge(batches):
         index = Index(shared.value)
         for batch in batches:
-            found = list(zip(*index.judge(batch.column("url").to_pylist()), strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *(pa.array(list(x), pa.string()) for x in found)], names=[*keep, "host", "path", "rule", "verdict"]
-            )
+            found = list(zip(*index.judge(batch.column("u").to_pylist()), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(x), pa.string()) for x in found)], names=[*batch.schema.names[:-1], "host", "path", "rule", "verdict"])
 
-    return pages.select(*keep, "url").mapInArrow(judge, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "host string, path string, rule string, verdict string"]))
+    return chosen.mapInArrow(judge, T.StructType([*chosen.schema.fields[:-1], *fields])).toDF(*keep, "host", "path", "rule", "verdict")

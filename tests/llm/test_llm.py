@@ -552,3 +552,58 @@ def test_chat_roles_of_tables(spark):
     assert (got[1]["loss_chars"], got[2]["loss_chars"]) == (1, 0)
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\nq\nassistant\na\n").hexdigest()
     assert got[2]["turns_sha256"] == hashlib.sha256(b"\nx\nnarrator\ny\n").hexdigest()
+
+
+RULES = [url_filter.Rule(*r) for r in (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/", "block"), ("a.b", "", "allow"), ("b", "/x", "block"), ("", "/", "block"), ("é.org", "/ü", "block"))]
+URLS = ["http://NET/", "x://a.example.net/en/q?z", "x://example.net/de", "x://a.b", "x://c.a.b/x?y", "x://b/x#", "x://ab/x", "x://", "no", None, "", "x://É.org/ü", "x://é.org/üa", "x://.net/", "x://net:80/", "a://b://net/", "x://b/x" + "/y" * 40_000]
+
+
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    """Rules beyond what every executor gets give the same verdicts; nulls, long urls, repeated rows, an empty table, clashing names."""
+    rows = [(i, u, "h", "p", 1, "v", "k") for i, u in enumerate(URLS)] + [(0, URLS[0], "h", "p", 1, "v", "k"), (None, URLS[1], None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "`page.id` long, url string, host string, path string, row long, verdict string, digest string").withColumn("page_id", F.col("`page.id`"))
+    want = sorted(map(str, url_filter.judge_urls(pages, RULES, ("page_id", "digest", "page.id")).collect()))
+    monkeypatch.setattr(url_filter, "INDEX_BYTES", 10)
+    assert sorted(map(str, url_filter.judge_urls(pages, RULES, ("page_id", "digest", "page.id")).collect())) == want
+    assert len(want) == len(URLS) + 2 and sum("block" in w for w in want) >= 6
+    for table in (pages.limit(0),):
+        assert url_filter.judge_urls(table, RULES).count() == 0
+
+
+def test_byte_bpe_of_odd_rows(odd, empty, tik):
+    """Null, empty, long and repeated texts, an empty table, columns of other names."""
+    got = [tuple(r)[:4] for r in bpe.digests(bpe.encode_texts(odd, queries.BPE_FILE), queries.BPE_FILE).collect()]
+    want = []
+    for i, text, *_ in ODD:
+        ids = tik.encode_ordinary(text or "")
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert bpe.digests(bpe.encode_texts(empty, queries.BPE_FILE), queries.BPE_FILE).count() == 0
+
+
+def test_html_of_deep_and_repeated_pages(spark):
+    """A very deep and a very long page, repeated rows, and columns of other names."""
+    deep = "<div>" * 3000 + "<p>" + "These words stand far below all else, and there are quite a few of them. " * 5 + "</p>" + "</div>" * 3000
+    long = "<body><article>" + "".join(f"<p>Paragraph {i} tells its part of a long story, one of very many here.</p>" for i in range(5000)) + "</article></body>"
+    rows = [(1, "u", deep, "x"), (2, "u", long, "x"), (2, "u", long, "x"), (None, None, None, None)]
+    got = {}
+    for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect():
+        got.setdefault(r["page_id"], []).append(r)
+        assert r["n_chars"] == len(r["text"])
+    assert len(got[2]) == 2 and got[2][0] == got[2][1] and "Paragraph 4999" in got[2][0]["text"] and got[None][0]["text"] == ""
+    assert len(got[1]) == 1
+
+
+def test_token_files_are_skipped_by_their_ids(spark, tmp_path):
+    """A look for one document reads the stripes whose statistics and Bloom filters leave it open, and finds null ids and ties."""
+    rows = [(i, f"text number {i}") for i in range(2000)] + [(7, "again"), (None, "no id")]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), str(tmp_path / "s"), queries.IDS_FILE)
+    store = token_store.read_store(spark, str(tmp_path / "s"))
+    assert store.where("doc_id = 7").count() == 2 and store.where("doc_id IS NULL").count() == 1
+    found = token_store.lookup(spark, str(tmp_path / "s"), [7, 1999])
+    assert found.count() == 3 and "PushedFilters: [In(doc_id, [7,1999])]" in found._jdf.queryExecution().toString()
+    start = 0
+    for r in token_store.checksums(store).orderBy(F.col("doc_id").asc_nulls_last(), "start").collect():
+        assert r["start"] >= 0
+        start += r["n_tokens"]
+    assert start == sum(len(x) for x in reference_ids([t for _, t in rows]))
