@@ -12,6 +12,7 @@ from plumbline.functions import text as tx
 from plumbline.functions import vectors as vx
 from plumbline.functions.markdown import chunk_markdown
 from plumbline.operators import analytics, diff, gates, lexical, retrieval, windows
+from plumbline.operators.pivots import VectorIndex
 from plumbline.operators.postings import TextIndex
 from plumbline.storage import scratch
 
@@ -356,6 +357,22 @@ def knn_batch(spark, d):
     return retrieval.knn(*_vectors(spark, d), 15).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
+def _pivot_index(spark: SparkSession, d: str) -> VectorIndex:
+    return VectorIndex.read(spark, _once(spark, d, "pivots", lambda path: VectorIndex.build(_vectors(spark, d)[0], path)))
+
+
+@query(_KNN + " SELECT query_id, id, round(distance, 6) + 0.0 AS distance, vec_rank FROM knn")
+def knn_indexed(spark, d):
+    """The same neighbours from the stored partitions around pivots."""
+    return _pivot_index(spark, d).search(_vectors(spark, d)[1], 15)[0].withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+@query()
+def knn_work(spark, d):
+    """How many of the partitions and vectors that search looks at."""
+    return _pivot_index(spark, d).search(_vectors(spark, d)[1], 15)[1]
+
+
 # Queries: terms that all have to match, numbered as the vectors that are asked for; of the second kind, more syntax.
 AND_QUERIES = ["the and", "heed thing", "de la", "und die", "thation", "los ciones", "the the"]
 SYNTAX_QUERIES = ["heed OR thing", "the NOT and", "of_the", "heed AND thing OR und", "broken?", "AND the"]

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import queries
 
@@ -103,3 +104,36 @@ def test_search_skips_only_what_cannot_be_among_the_best(spark, tmp_path, monkey
     assert [tuple(r) for r in lexical.bm25(index, asked, 5).orderBy("query_id", "bm25_rank").collect()] == got
     none = TextIndex.build(table.limit(0), str(tmp_path / "none"))
     assert lexical.bm25(none, asked, 5).count() == 0
+
+
+def test_partitions_are_skipped_and_nothing_is_missed(spark, tmp_path, monkeypatch):
+    """Clusters: neighbours equal those of the whole scan, in blocks of queries too, and most partitions and rows are not looked at."""
+    import numpy as np
+
+    from plumbline.errors import ConfigError
+    from plumbline.operators import pivots, retrieval
+    from plumbline.operators.pivots import VectorIndex
+
+    source = np.random.default_rng(3)
+    centers = source.normal(size=(12, 8))
+    rows = [(i, (centers[i % 12] + source.normal(size=8) * 0.02).tolist()) for i in range(600)]
+    odd = [(600, None), (None, rows[0][1]), (601, [0.0] * 8), (602, rows[5][1]), (602, rows[5][1])]
+    vectors = spark.createDataFrame(rows + odd, "id long, embedding array<double>").repartition(4)
+    asked = vectors.where("id % 20 = 0 OR id > 600").select(F.col("id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    index = VectorIndex.build(vectors, str(tmp_path / "index"), 12)
+
+    def plain(found):
+        return sorted((r["query_id"], r["vec_rank"], round(r["distance"], 9) + 0.0) for r in found.collect())
+
+    want = retrieval.knn(vectors, asked.where("query_id <> 601"), 7)
+    for floats in (pivots.PASS_FLOATS, 60):
+        monkeypatch.setattr(pivots, "PASS_FLOATS", floats)
+        found, work = index.search(asked, 7)
+        assert plain(found) == plain(want)
+        w = work.first()
+        assert w["pairs_read"] < 0.25 * w["pairs"] and 0 < w["rows_compared"] < 0.2 * w["rows"]
+    assert index.search(asked.limit(0), 7)[0].count() == 0
+    none = VectorIndex.build(vectors.limit(0), str(tmp_path / "none"))
+    assert none.search(asked, 7)[0].count() == 0
+    with pytest.raises(ConfigError):
+        index.search(asked.withColumn("embedding", F.slice("embedding", 1, 3)), 7)
