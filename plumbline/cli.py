@@ -71,18 +71,20 @@ def main(argv: list[str] | None = None) -> int:
         for path in (config.db_path, *config.extra_db_paths):
             banks.mount(os.path.basename(path.rstrip("/")), bank if path == config.db_path else Bank(spark, path, config))
         found = banks.search([args.query], args.k)
-        hits = [r.asDict() for r in found.orderBy("rank").collect()]
+        hits = [r.asDict() for r in render.shown(found).orderBy("rank").collect()]
         if not hits and not bank.stats()["documents"]:
             print("The index is empty.")
             return 0
         if args.context and len(banks.banks) == 1:
-            windows = [bank.context(h["id"], args.radius) for h in hits]
+            found = bank.contexts([h["id"] for h in hits], args.radius)
+            windows = [found[h["id"]] for h in hits]
         else:
             windows = None
         log = LogWriter(bank)
         log.append("cli", args.query, args.k, hits)
         if args.output == "json":
             shown = [h | {"content": w} for h, w in zip(hits, windows, strict=True)] if windows else hits
+            shown = [{k: v for k, v in h.items() if k != "bar"} for h in shown]
             print(json.dumps(shown, indent=2, ensure_ascii=False))
         else:
             print(render.results(hits, args.query, windows, args.radius))
@@ -96,10 +98,11 @@ def main(argv: list[str] | None = None) -> int:
             head = "\n".join(r["content"].split("\n")[:3])
             print(f"[{r['chunk_index']}] {r['heading_context'] or '(no heading)'} ({r['start_byte']}–{r['end_byte']})\n{head}\n")
     elif args.command == "savings":
-        rows = analytics.recent(bank.log(), args.history) if args.history else analytics.costs(analytics.savings(bank.log()))
-        shown = [r.asDict() for r in rows.collect()]
-        text = (render.history if args.history else render.savings)(shown)
-        print(json.dumps(shown, indent=2) if args.output == "json" else text)
+        if args.output == "json":
+            rows = analytics.recent(bank.log(), args.history) if args.history else analytics.costs(analytics.savings(bank.log()))
+            print(json.dumps([r.asDict() for r in rows.collect()], indent=2))
+        else:
+            print(render.history(bank.log(), args.history) if args.history else render.savings(bank.log()))
     else:
         from plumbline.streaming.watch import watch
 

@@ -1,108 +1,80 @@
-"""Text for people: results, the state of an index, and what searching has saved."""
+"""Text for people. Values become text as Spark columns; what is left here is the layout: blocks of aligned rows."""
 
 from __future__ import annotations
 
-import math
-from datetime import UTC, datetime
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-#: Width of the score bar, lines of a result shown, characters of a query shown.
-BAR, SNIPPET_LINES, QUERY_CHARS = 40, 8, 50
-NO_SEARCHES = "No searches recorded yet. Run a search to start tracking.\n"
-INDENT = " " * 5
+from plumbline.functions import text as tx
+from plumbline.operators import analytics
 
+#: Lines of a hit that are shown, characters of a query that are shown.
+SNIPPET_LINES, QUERY_CHARS = 8, 50
+NOTHING = "The log of searches is empty.\n"
 
-def iso_time(ts: int) -> str:
-    """UTC to the second; times before 1970 count as 1970."""
-    return datetime.fromtimestamp(max(ts, 0), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
+def aligned(rows: list[tuple], titles: tuple[str, ...] = ()) -> str:
+    """Rows as columns of equal width, two blanks apart."""
+    cells = [[str(c) for c in row] for row in ([titles] if titles else []) + rows]
+    widths = [max(map(len, column)) for column in zip(*cells, strict=True)]
+    return "".join("  ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() + "\n" for row in cells)
 
-def iso_date(ts: int) -> str:
-    return iso_time(ts)[:10]
 
+def shortened(text: Column, most: int = QUERY_CHARS) -> Column:
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most - 1)), F.lit("…")))
 
-def human_count(n: int) -> str:
-    for unit, mark in ((1_000_000, "M"), (1_000, "K")):
-        if n >= unit:
-            return f"{n / unit:.1f}{mark}"
-    return str(n)
 
+def shown(hits: DataFrame) -> DataFrame:
+    """Adds ``bar``, the score as a bar."""
+    return hits.withColumn("bar", tx.score_bar(F.greatest("score", F.lit(0.0))))
 
-def tokens(n_bytes: int) -> int:
-    """Four bytes a token, halves up."""
-    return math.floor(n_bytes / 4 + 0.5)
 
-
-def shortened(text: str, most: int = QUERY_CHARS) -> str:
-    return text if len(text) <= most else text[: most - 1] + "…"
-
-
-def score_bar(score: float) -> str:
-    full = min(max(math.floor(score * BAR + 0.5), 0), BAR)
-    return "█" * full + "░" * (BAR - full)
-
-
-def _body(text: str, most: int | None = None) -> list[str]:
-    lines = text.splitlines()
-    shown = [INDENT + line if line else "" for line in lines[:most]]
-    if most is not None and len(lines) > most:
-        shown.append(f"{INDENT}… {len(lines) - most} more lines")
-    return shown
+def snippet(content: str, most: int = SNIPPET_LINES) -> str:
+    """The first lines of a text, and how many follow."""
+    lines = content.splitlines()
+    return "\n".join(lines[:most] + ([f"… {len(lines) - most} more lines"] if len(lines) > most else []))
 
 
 def results(hits: list[dict], query: str, windows: list[str | None] | None = None, radius: int = 1) -> str:
-    """Hits for a terminal. A window takes the place of the snippet; ``source_db`` is named where several indexes were asked."""
-    out = ["", f"{len(hits)} result{'' if len(hits) == 1 else 's'} for \"{query}\""]
-    several = len({h.get("source_db") for h in hits}) > 1
-    for place, hit in enumerate(hits):
-        out += ["─" * 80, f" {place + 1}  {hit['file_path']}"]
-        out += [f"{INDENT}[{hit['source_db']}]"] if several else []
-        out += [INDENT + hit["heading_context"]] if hit["heading_context"] else []
-        out += [f"{INDENT}{score_bar(hit['score'])}  {hit['score']:.3f}", ""]
-        window = windows[place] if windows and place < len(windows) else None
-        if window is None:
-            out += _body(hit["content"], SNIPPET_LINES)
-        else:
-            out += [f"{INDENT}── context (±{radius} chunks) ──", *_body(window)]
-        out.append("")
-    return "\n".join([*out, ""])
+    """Hits (rows of ``shown``) for a terminal. A window takes the place of the snippet; ``source_db`` is named where several indexes were asked."""
+    blocks = [f"{query!r}: {len(hits)} found"]
+    named = len({h.get("source_db") for h in hits}) > 1
+    bodies = [w for w in windows or []] + [None] * len(hits)
+    for n, (hit, window) in enumerate(zip(hits, bodies, strict=False), 1):
+        where = " § ".join(x for x in (hit["file_path"], hit["heading_context"]) if x) + (f" [{hit['source_db']}]" if named else "")
+        body = snippet(hit["content"]) if window is None else f"(with {radius} before and after)\n{window}"
+        blocks.append(f"{n}. {where}\n{hit['bar']} {hit['score']:.3f}\n{body}")
+    return "\n\n".join(blocks) + "\n"
 
 
 def status(stats: dict, path: str, model_id: str) -> str:
     """The state of an index; see ``Bank.stats``."""
-    per = "—" if not stats["documents"] else f"{stats['chunks'] / stats['documents']:.1f}"
-    mega = lambda n: f"{n / (1 << 20):.1f} MB"
-    rows = [("database", path), ("model", f"{model_id} · {stats['embedding_dim']} dim"), ("documents", stats["documents"]), ("source", mega(stats["total_bytes"]))]
-    if stats["empty_documents"]:
-        rows.append(("⚠", f"{stats['empty_documents']} docs have no chunks"))
-    rows += [("chunks", stats["chunks"]), ("avg/doc", per), ("db size", mega(stats["index_bytes"])), ("indexed", stats["last_indexed_at"] or "never")]
-    return "\n".join(f"  {name:<10}  {value}" for name, value in rows)
-
-
-def savings(rows: list[dict]) -> str:
-    """What searches delivered against reading whole files, from the rows of ``analytics.costs``."""
-    whole = next((r for r in rows if r["source"] is None), None)
-    if whole is None or not whole["searches"]:
-        return NO_SEARCHES
-    by = {r["source"]: r["searches"] for r in rows}
-    cents = lambda x: math.floor(x * 100 + 0.5) / 100
-    out = ["", f"  Total searches      {whole['searches']}  (mcp {by.get('mcp', 0)} / cli {by.get('cli', 0)})"]
-    out.append(f"  Tokens delivered    {human_count(whole['delivered_tokens'])}")
-    out.append(f"  Baseline            {human_count(whole['baseline_tokens'])}")
-    out.append(f"  Tokens saved        {human_count(whole['saved_tokens'])}  ~{whole['multiplier']:.1f}× cheaper")
-    out += [f"  Tracking since      {iso_date(whole['since'])}"] if whole["since"] is not None else []
-    out += ["", "  Tokens estimated at ~4 chars/token.", ""]
-    for name, part in (("without the index", "baseline"), ("with the index", "delivered"), ("saved", "saved")):
-        out.append(f"  {name:<17} : {human_count(whole[part + '_tokens']):<8}-> ${cents(whole[part + '_dollars']):.2f}")
-    return "\n".join([*out, ""])
-
-
-def history(rows: list[dict]) -> str:
-    """The newest searches, as ``analytics.recent`` gives them, as a table."""
-    if not rows:
-        return NO_SEARCHES
-    out = ["", f"  savings · history (last {len(rows)})", "", "  ts                    src   top_k  delivered  saved  query"]
-    for r in rows:
-        given = tokens(r["result_bytes"])
-        saved = max(tokens(r["baseline_bytes"]) - given, 0)
-        out.append(f"  {iso_time(r['ts'])}  {r['source']:<4}  {r['top_k']:<5}  {human_count(given):<9}  {human_count(saved):<5}  {shortened(r['query'])}")
-    return "\n".join([*out, ""])
+    n, mega = stats["documents"], lambda b: f"{b / (1 << 20):.1f} MB"
+    rows = [
+        ("index", path), ("model", f"{model_id}, {stats['embedding_dim']} numbers"), ("documents", f"{n}, {mega(stats['total_bytes'])}"),
+        ("chunks", f"{stats['chunks']}, {stats['chunks'] / n:.1f} a document" if n else f"{stats['chunks']}, — a document"),
+        ("size", mega(stats["index_bytes"])), ("last change", stats["last_indexed_at"] or "never"),
+    ]
+    return aligned(rows + ([("⚠", f"{stats['empty_documents']} documents have no chunks")] if stats["empty_documents"] else []))
+
+
+def savings(log: DataFrame) -> str:
+    """What searches delivered against reading whole files."""
+    totals = analytics.costs(analytics.savings(log))
+    count = lambda part: tx.human_count(F.col(f"{part}_tokens")).alias(f"{part}_count")
+    rows = [r.asDict() for r in totals.select("*", tx.iso_time(F.col("since")).alias("since_time"), *map(count, ("baseline", "delivered", "saved"))).collect()]
+    whole = next(r for r in rows if r["source"] is None)
+    if not whole["searches"]:
+        return NOTHING
+    by = ", ".join(f"{r['searches']} {r['source']}" for r in sorted(rows, key=lambda r: r["source"] or "") if r["source"])
+    head = f"{whole['searches']} searches since {whole['since_time'][:10]}" + (f" ({by})" if by else "")
+    lines = [(name, whole[f"{part}_count"], f"${whole[f'{part}_dollars']:.2f}") for name, part in (("whole files", "baseline"), ("delivered", "delivered"), ("saved", "saved"))]
+    return f"{head}; {whole['multiplier']:.1f} times fewer tokens, at 4 bytes a token\n{aligned(lines, ('', 'tokens', 'cost'))}"
+
+
+def history(log: DataFrame, n: int) -> str:
+    """The ``n`` newest searches."""
+    given, whole = (tx.bytes_to_tokens(F.col(c)) for c in ("result_bytes", "baseline_bytes"))
+    spared = tx.human_count(F.greatest(whole - given, F.lit(0)))
+    rows = analytics.recent(log, n).select(tx.iso_time(F.col("ts")), "source", "top_k", tx.human_count(given), spared, shortened(F.col("query"))).collect()
+    return aligned([tuple(r) for r in rows], ("time", "from", "hits", "tokens", "saved", "query")) if rows else NOTHING

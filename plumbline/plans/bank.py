@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from plumbline.config import EngineConfig
 from plumbline.errors import Conflict, DimensionMismatch, DuplicatePath, ModelMismatch, NotFound, StorageError
-from plumbline.functions.markdown import chunk_markdown
 from plumbline.functions.text import normalise_path, under
 from plumbline.operators import analytics, diff, gates, postings, retrieval, windows
+from plumbline.operators.chunking import chunked
 from plumbline.operators.postings import INDEX, TextIndex
 from plumbline.plans.embedding import Embedder, HashEmbedder, with_embeddings
 from plumbline.sources import files
@@ -186,19 +186,6 @@ class Bank:
 
     # --- ingestion
 
-    def _chunked(self, docs: DataFrame) -> DataFrame:
-        most, overlap = self.config.max_chunk_bytes, self.config.chunk_overlap_chars
-        names = ["document_id", "part", "chunk_index", "content", "heading_context", "start_byte", "end_byte"]
-
-        def run(frames):
-            import pandas as pd
-
-            for frame in frames:
-                rows = [(d, p, i, c.content, c.heading_context, c.start_byte, c.end_byte) for d, p, text in zip(frame["document_id"], frame["part"], frame["content"], strict=True) for i, c in enumerate(chunk_markdown(text, most, overlap))]
-                yield pd.DataFrame(rows, columns=names)
-
-        return docs.select(F.col("id").alias("document_id"), "part", "content").mapInPandas(run, "document_id long, part int, chunk_index long, content string, heading_context string, start_byte long, end_byte long")
-
     def _followed(self, write: Callable[[], None], progress: Callable[[float], None]) -> None:
         """Runs ``write`` and tells how many of its tasks are done: from 0.2 to 0.8."""
         sc, group, failed = self.spark.sparkContext, uuid.uuid4().hex, []
@@ -254,7 +241,7 @@ class Bank:
         kept = documents.where(touched).join(dropped, "path", "left_anti")
         kept_chunks = chunks.where(touched).join(kept.select(F.col("id").alias("document_id")), "document_id", "left_semi")
         after = (fresh.agg(F.max("id")).first()[0] or 0) + state["next_id"] + 1
-        pieces = stored(self._chunked(fresh).withColumn("id", F.monotonically_increasing_id() + after), "pieces")
+        pieces = stored(chunked(fresh.withColumnRenamed("id", "document_id"), ["document_id", "part"], self.config.max_chunk_bytes, self.config.chunk_overlap_chars).withColumn("id", F.monotonically_increasing_id() + after), "pieces")
         report.bytes, report.chunks = fresh.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0], pieces.count()
         state["next_id"] = (pieces.agg(F.max("id")).first()[0] or after) + 1
         progress(0.2)
@@ -368,11 +355,16 @@ class Bank:
         """A tool's search: never more than ``max_top_k`` hits, in the order of the reranking."""
         return self.search(queries, min(top_k, self.config.max_top_k))
 
+    def contexts(self, chunk_ids: list[int], radius: int = 1, most: int = 2000) -> dict[int, str]:
+        """The context of each chunk that there is."""
+        asked = self.spark.createDataFrame([(i,) for i in chunk_ids], "id long")
+        return {r["target_id"]: r["context"] for r in windows.chunk_windows(self.table("chunks"), asked, radius, most).collect()}
+
     def context(self, chunk_id: int, radius: int = 1, most: int = 2000) -> str:
-        found = windows.chunk_windows(self.table("chunks"), self.spark.createDataFrame([(chunk_id,)], "id long"), radius, most).first()
-        if found is None:
+        found = self.contexts([chunk_id], radius, most)
+        if chunk_id not in found:
             raise NotFound(f"no chunk {chunk_id}")
-        return found["context"]
+        return found[chunk_id]
 
     def hook_search(self, prompt: str, least: float = 0.02) -> str | None:
         """The best hit as a quoted block, if the prompt has 5 to 150 words and the raw score reaches ``least``."""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.config import EngineConfig
 from plumbline.functions import text as tx
 from plumbline.functions import vectors as vx
-from plumbline.functions.markdown import chunk_markdown
 from plumbline.operators import analytics, diff, gates, lexical, retrieval, windows
+from plumbline.operators.chunking import chunked
 from plumbline.operators.pivots import VectorIndex
 from plumbline.operators.postings import TextIndex
 from plumbline.storage import scratch
@@ -261,10 +261,12 @@ def diff_vanished(spark, d):
     return diff.vanished(stored, incoming)
 
 
-@query("SELECT list_sort(list(x)) AS missing FROM (VALUES ('docs'), ('target'), ('en'), ('de')) v(x) WHERE x NOT IN (SELECT DISTINCT lang FROM documents)")
+@query("SELECT x AS entry, x IN (SELECT lang FROM documents WHERE lang IS NOT NULL) AS present FROM (VALUES ('docs'), ('target'), ('en'), ('de')) v(x)")
 def set_except(spark, d):
-    have = t(spark, d, "documents").agg(F.collect_set("lang").alias("have"))
-    return have.select(F.sort_array(F.array_except(F.array(*map(F.lit, ("docs", "target", "en", "de"))), "have")).alias("missing"))
+    """Which of some entries are there and which are missing."""
+    entries = spark.createDataFrame([("docs",), ("target",), ("en",), ("de",)], "entry string")
+    have = t(spark, d, "documents").select(F.col("lang").alias("entry"), F.lit(True).alias("present")).where("entry IS NOT NULL").distinct()
+    return entries.join(have, "entry", "left").select("entry", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 @query("SELECT DISTINCT source FROM documents")
@@ -525,14 +527,7 @@ def mmr_rerank(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = [(i, n, c.content, c.heading_context, c.start_byte, c.end_byte) for i, x in zip(f["id"], f["content"], strict=True) for n, c in enumerate(chunk_markdown(x or "", 1800, 200))]
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "heading_context", "start_byte", "end_byte"])
-
-    return docs(spark, d).select("id", "content").mapInPandas(run, "document_id long, chunk_index long, content string, heading_context string, start_byte long, end_byte long")
+    return chunked(docs(spark, d).select(F.col("id").alias("document_id"), "content"), ["document_id"], 1800, 200)
 
 
 def queries() -> dict[str, Query]:

@@ -210,20 +210,25 @@ def test_a_watcher_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert len(second._numbers()) == 1
 
 
-def test_rendering():
-    hit = {"file_path": "a.md", "heading_context": "A > B", "score": 0.5, "content": "\n".join("abcdefghij"), "source_db": "x"}
-    shown = render.results([hit], "q")
-    assert "1 result for" in shown and "█" * 20 + "░" * 20 in shown and "… 2 more lines" in shown and "[x]" not in shown
-    assert "── context (±2 chunks) ──\n     w" in render.results([hit], "q", ["w"], 2)
+def test_rendering(spark):
+    hits = render.shown(spark.createDataFrame([("a.md", "A > B", 0.5, "\n".join("abcdefghij"), "x")], "file_path string, heading_context string, score double, content string, source_db string"))
+    hits = [r.asDict() for r in hits.collect()]
+    shown = render.results(hits, "q")
+    assert "1 found" in shown and "█" * 20 + "░" * 20 + " 0.500" in shown and "h\n… 2 more lines\n" in shown and "[x]" not in shown
+    assert "a.md § A > B" in shown and "(with 2 before and after)\nw\n" in render.results(hits, "q", ["w"], 2)
+    assert "a.md [y]" in render.results([hits[0], hits[0] | {"source_db": "y", "heading_context": ""}], "q")
     stats = {"documents": 0, "chunks": 0, "total_bytes": 0, "empty_documents": 0, "index_bytes": 1 << 20, "last_indexed_at": None, "embedding_dim": 64}
-    assert "avg/doc     —" in render.status(stats, "p", "m") and "1.0 MB" in render.status(stats, "p", "m") and "never" in render.status(stats, "p", "m")
+    told = render.status(stats, "p", "m")
+    assert "— a document" in told and "1.0 MB" in told and "never" in told and "⚠" not in told
     assert "⚠" in render.status(stats | {"documents": 2, "empty_documents": 1}, "p", "m")
-    assert render.savings([]) == render.history([]) == render.NO_SEARCHES
-    row = {"source": None, "searches": 2, "since": -5, "delivered_tokens": 10, "baseline_tokens": 2500, "saved_tokens": 2490, "multiplier": 250.0}
-    text = render.savings([row | {f"{c}_dollars": 1.125 for c in ("delivered", "baseline", "saved")}])
-    assert "2.5K" in text and "~250.0× cheaper" in text and "1970-01-01" in text and "$1.13" in text
-    past = render.history([{"ts": 0, "source": "cli", "top_k": 5, "result_bytes": 6, "baseline_bytes": 4000, "query": "q" * 60}])
-    assert "1970-01-01T00:00:00Z  cli   5      2          998    " + "q" * 49 + "…" in past
+    schema = "id long, ts long, source string, query string, top_k long, result_bytes long, baseline_bytes long"
+    log = spark.createDataFrame([(1, -5, "cli", "q" * 60, 5, 6, 4000), (2, 90000, "other", "r", 2, 34, 6000)], schema)
+    assert render.savings(log.limit(0)) == render.history(log.limit(0), 3) == render.NOTHING
+    told = render.savings(log)
+    assert "2 searches since 1970-01-01 (1 cli); 250.0 times fewer" in told and re.search(r"whole files +2.5K +\$0.01", told) and re.search(r"delivered +10 ", told)
+    past = render.history(log, 5).splitlines()
+    assert past[0].split() == ["time", "from", "hits", "tokens", "saved", "query"] and len(past) == 3
+    assert past[2].split() == ["1970-01-01T00:00:00Z", "cli", "5", "2", "998", "q" * 49 + "…"]
 
 
 def test_exports():
