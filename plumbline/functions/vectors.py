@@ -1,8 +1,7 @@
 """Vector arithmetic as Spark columns, in double precision."""
 
-from __future__ import annotations
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +28,13 @@ def truncated(a: Column, dim: int) -> Column:
     return F.when(length > 1e-10, F.transform(head, lambda x: (x / length).cast("float"))).otherwise(head)
 
 
-def from_bytes(raw: bytes) -> list[float]:
-    """A stored vector of little-endian 32-bit floats."""
-    return np.frombuffer(raw, "<f4").tolist()
+@F.pandas_udf("array<float>")
+def from_bytes(raw: pd.Series) -> pd.Series:
+    """Stored vectors of little-endian 32-bit floats; null stays null."""
+    return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+
+@F.pandas_udf("binary")
+def to_bytes(vectors: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats; null stays null."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

@@ -341,6 +341,22 @@ def vector_truncate(spark, d):
     return e.select("vec_id", F.round(vx.dot(head, head), 6).alias("before"), F.round(vx.truncated(F.col("embedding"), 16)[0].cast("double"), 5).alias("first"))
 
 
+@query("SELECT vec_id, 4 * len(embedding) AS n_bytes, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS total FROM embeddings WHERE embedding IS NOT NULL")
+def vector_bytes(spark, d):
+    """Every vector written as bytes and read back."""
+    x = t(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", vx.to_bytes("embedding").alias("raw"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, y: s + y.cast("double"))
+    return x.select("vec_id", F.octet_length("raw").cast("long").alias("n_bytes"), vx.from_bytes("raw").alias("v")).select("vec_id", "n_bytes", (F.round(total, 6) + 0.0).alias("total"))
+
+
+@query(f"WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), f AS (SELECT label, min(vec_id) AS vec_id FROM x GROUP BY label) SELECT a.vec_id, b.vec_id AS first_id, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) + 0.0 AS distance FROM x a JOIN f USING (label) JOIN x b ON b.vec_id = f.vec_id")
+def vector_distance(spark, d):
+    """The distance of every vector from the first of its label."""
+    e = t(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    first = e.groupBy("label").agg(F.min(F.struct(F.col("vec_id").alias("first_id"), F.col("embedding").alias("other"))).alias("first")).select("label", "first.*")
+    return e.join(F.broadcast(first), "label").select("vec_id", "first_id", (F.round(vx.cosine_distance(F.col("embedding"), F.col("other")), 6) + 0.0).alias("distance"))
+
+
 # --- retrieval
 
 
