@@ -26,7 +26,7 @@ from plumbline.operators.chunking import chunked
 from plumbline.operators.postings import INDEX, TextIndex
 from plumbline.plans.embedding import Embedder, HashEmbedder, with_embeddings
 from plumbline.sources import files
-from plumbline.storage import delete, discard, stored
+from plumbline.storage import delete, discard, scratch, stored
 
 SCHEMA_VERSION = "3"
 TABLES = {
@@ -81,6 +81,11 @@ class Bank:
         if meta["schema_version"] != SCHEMA_VERSION:
             self._migrate()
 
+    @classmethod
+    def passing(cls, spark: SparkSession, config: EngineConfig | None = None, embedder: Embedder | None = None) -> Bank:
+        """An index in the session's shared folder, for tests and trials."""
+        return cls(spark, scratch(spark, "bank"), config, embedder)
+
     # --- storage
 
     def _fs(self):
