@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,13 +29,13 @@ def truncated(a: Column, dim: int) -> Column:
     return F.when(length > 1e-10, F.transform(head, lambda x: (x / length).cast("float"))).otherwise(head)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_bytes(raw: pd.Series) -> pd.Series:
     """Stored vectors of little-endian 32-bit floats; null stays null."""
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_bytes(vectors: pd.Series) -> pd.Series:
     """Vectors as little-endian 32-bit floats; null stays null."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

@@ -235,3 +235,14 @@ def test_exports():
     import plumbline
 
     assert all(getattr(plumbline, name) for name in plumbline.__all__) and not hasattr(plumbline, "nothing")
+
+
+def test_the_entry_needs_no_session():
+    """What the driver imports stands before any session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    there = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=there, capture_output=True, text=True, timeout=120, check=False)
+    assert done.returncode == 0 and int(done.stdout) > 50, done.stderr
