@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,7 +141,7 @@ class TextIndex:
 
     def corpus(self) -> DataFrame:
         """One row: ``n_docs, avg_len``."""
-        each = self.spans.select(F.size("ids").alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+        each = self.spans.select(F.size("lens").alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
         return each.agg(F.sum("n").alias("n_docs"), (F.sum("total") / F.sum("n")).alias("avg_len"))
 
 
@@ -149,29 +150,51 @@ def weight(tf: Column, length: Column, df: Column, n_docs: Column, avg_len: Colu
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
 
 
-#: Terms named in a filter that files are read by; more are joined.
-NAMED_TERMS = 2000
-#: Terms that are sent to all tasks; more are joined by shuffle.
-BROADCAST_TERMS = 100_000
+#: Rows of tables of queries, their statistics and the parts of spans they look at, which go to all tasks; more stay in the shared folder.
+HANDED = 20_000
+#: Terms or spans named in a filter that files are read by; more are joined.
+NAMED = 2000
 
 
-def asked_postings(index: TextIndex, parts: DataFrame) -> DataFrame:
-    """The index's rows of the terms in ``parts`` (term); only their files' row groups are read if they can be named."""
-    terms = parts.select("term").distinct()
-    few = [r["term"] for r in terms.limit(NAMED_TERMS + 1).collect()]
-    if len(few) <= NAMED_TERMS:
-        spark = parts.sparkSession
-        buckets = [r[0] for r in spark.createDataFrame([(x,) for x in few], "term string").select(bucket_of(F.col("term"))).distinct().collect()] if few else []
-        return index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(few))
-    return index.postings.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
+@dataclass
+class Settled:
+    """A table computed once. ``rows``: handed to all tasks if there are few, else read from the shared folder; ``few``: those rows, if few."""
+
+    rows: DataFrame
+    few: pa.Table | None
+
+    @staticmethod
+    def of(df: DataFrame, name: str) -> Settled:
+        few = df.limit(HANDED + 1).toArrow()
+        if few.num_rows > HANDED:
+            return Settled(stored(df, name), None)
+        return Settled(F.broadcast(df.sparkSession.createDataFrame(few, df.schema)), few)
+
+    def largest(self, column: str) -> int:
+        """The largest value of a column; 0 if there is none."""
+        values = self.rows.agg(F.max(column)).toArrow().column(0) if self.few is None else self.few[column]
+        return pc.max(values).as_py() or 0
+
+    def named(self, column: str) -> list | None:
+        """The distinct values of a column, if a filter can name them."""
+        values = None if self.few is None else self.few[column].unique().to_pylist()
+        return values if values is not None and len(values) <= NAMED else None
+
 
+def asked_postings(index: TextIndex, parts: Settled) -> DataFrame:
+    """The index's rows of the terms in ``parts`` (term, bucket); only their files' row groups are read if they can be named."""
+    terms = parts.named("term")
+    if terms is None:
+        return index.postings.join(parts.rows.select("term").distinct(), "term", "left_semi")
+    return index.postings.where(F.col("bucket").isin(parts.few["bucket"].unique().to_pylist()) & F.col("term").isin(terms))
 
-def phrase_blocks(index: TextIndex, parts: DataFrame, several: bool) -> DataFrame:
+
+def phrase_blocks(index: TextIndex, parts: Settled, several: bool) -> DataFrame:
     """What phrases have in each span: ``query_id, phrase, span, slots, tf, tops``. several: whether some have more than one term.
 
     A phrase of several terms stands where their positions, each moved back by its place in the phrase, agree.
     """
-    found = asked_postings(index, parts).join(F.broadcast(parts), "term")
+    found = asked_postings(index, parts).join(parts.rows.drop("bucket"), "term")
     single = found.where("n_parts = 1").select("query_id", "phrase", "span", "slots", "tf", "tops")
     if not several:
         return single
@@ -188,11 +211,11 @@ def phrase_blocks(index: TextIndex, parts: DataFrame, several: bool) -> DataFram
 
 
 def scored(rows: DataFrame, spans: DataFrame, clauses: DataFrame) -> DataFrame:
-    """``query_id, id, score`` of the texts in ``rows`` (query_id, phrase, span, slot, tf, df, n_docs, avg_len) that meet their query."""
+    """``query_id, id, score`` of the texts in ``rows`` (query_id, phrase, span, slot, tf, df, n_docs, avg_len) that meet their query (``clauses``)."""
     place = F.col("slot").cast("int")
     rows = rows.join(spans, "span").select("query_id", "phrase", "span", "slot", F.col("ids")[place].alias("id"), weight(F.col("tf"), F.col("lens")[place], F.col("df"), F.col("n_docs"), F.col("avg_len")).alias("w"))
     per_text = rows.groupBy("query_id", "span", "slot", "id").agg(F.sort_array(F.collect_list(F.struct("phrase", "w"))).alias("found"))
-    per_text = per_text.join(F.broadcast(clauses), "query_id").withColumn("have", F.col("found.phrase"))
+    per_text = per_text.join(clauses, "query_id").withColumn("have", F.col("found.phrase"))
     met = F.filter("clauses", lambda c: (F.size(F.array_except(c["need"], F.col("have"))) == 0) & ~F.arrays_overlap(c["ban"], F.col("have")))
     counted = F.flatten(F.transform(F.col("met"), lambda c: c["need"]))
     score = F.aggregate(F.filter("found", lambda x: F.array_contains(counted, x["phrase"])), F.lit(0.0), lambda s, x: s + x["w"])
@@ -208,51 +231,67 @@ def ranked(scores: DataFrame, limit: int) -> DataFrame:
 PROBED = 2
 
 
-def _rows_in(blocks: DataFrame, parts: DataFrame) -> DataFrame:
-    """The postings of ``blocks`` that lie in ``parts`` (query_id, span, part), a row each."""
-    wanted = parts.groupBy("query_id", "span").agg(F.collect_list("part").alias("parts"))
-    near = blocks.drop("tops").join(wanted, ["query_id", "span"])
+def _by_span(parts: DataFrame, name: str) -> Settled:
+    """``query_id, span, parts`` of rows with ``query_id, span, part``."""
+    return Settled.of(parts.groupBy("query_id", "span").agg(F.collect_list("part").alias("parts")), name)
+
+
+def _rows_in(index: TextIndex, blocks: DataFrame, wanted: Settled) -> tuple[DataFrame, DataFrame]:
+    """The postings of ``blocks`` that lie in the parts ``wanted`` (query_id, span, parts), a row each, and the spans they are in.
+
+    Where the spans can be named, only the row groups that may hold them are read.
+    """
+    named = wanted.named("span")
+    here = F.lit(True) if named is None else F.expr(f"span IN ({', '.join(map(str, named))})") if named else F.lit(False)
+    at = lambda df: df.where(here)
+    near = at(blocks).drop("tops").join(wanted.rows, ["query_id", "span"])
     rows = near.select("query_id", "phrase", "span", "parts", "df", "n_docs", "avg_len", F.explode(F.arrays_zip("slots", "tf")).alias("x"))
     rows = rows.where(F.array_contains("parts", F.shiftright(F.col("x.slots").cast("int"), PART.bit_length() - 1)))
-    return rows.select("query_id", "phrase", "span", "df", "n_docs", "avg_len", F.col("x.slots").alias("slot"), F.col("x.tf").alias("tf"))
+    return rows.select("query_id", "phrase", "span", "df", "n_docs", "avg_len", F.col("x.slots").alias("slot"), F.col("x.tf").alias("tf")), at(index.spans)
 
 
-def bounded(index: TextIndex, queries: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(blocks, rows, clauses)``: the blocks of all phrases with their statistics, and of those the postings that may hold one of the best.
+def bounded(index: TextIndex, queries: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(blocks, rows, spans, clauses)``: the blocks of all phrases with their statistics, and of those the postings that may hold one of the best.
 
     queries: ``query_id, phrases, clauses``. In each part of a span a query scores at most the sum of its phrases' bounds, and
     nothing unless all phrases of some clause are there. The parts with the highest bounds are scored; parts whose bound lies
     below the score of rank ``limit`` there are skipped.
+
+    Each step is computed once: queries, the counts of their phrases, the parts scored first, the scores to beat and the parts left.
     """
-    phrases = queries.select("query_id", F.posexplode("phrases").alias("phrase", "terms"))
-    several = not phrases.where("size(terms) > 1").isEmpty()
+    asked = Settled.of(queries, "queries")
+    clauses = asked.rows.select("query_id", "clauses")
+    phrases = asked.rows.select("query_id", F.posexplode("phrases").alias("phrase", "terms"))
     parts = phrases.select("query_id", "phrase", F.size("terms").alias("n_parts"), F.posexplode("terms").alias("part", "term"))
-    clauses = queries.select("query_id", "clauses")
+    parts = Settled.of(parts.withColumn("bucket", bucket_of(F.col("term"))), "terms")
+    several = parts.largest("n_parts") > 1
     blocks = phrase_blocks(index, parts, several)
-    df = blocks.groupBy("query_id", "phrase").agg(F.sum(F.size("slots")).alias("df"))
-    blocks = blocks.join(F.broadcast(df), ["query_id", "phrase"]).crossJoin(F.broadcast(index.corpus()))
+    counts = Settled.of(blocks.groupBy("query_id", "phrase").agg(F.sum(F.size("slots")).alias("df")).crossJoin(F.broadcast(index.corpus())), "counts")
+    blocks = blocks.join(counts.rows, ["query_id", "phrase"])
     heads = blocks.select("query_id", "phrase", "span", "df", "n_docs", "avg_len", F.posexplode("tops").alias("part", "top")).where("top IS NOT NULL")
     bound = weight(F.col("top.tf"), F.col("top.len"), F.col("df"), F.col("n_docs"), F.col("avg_len"))
     heads = heads.groupBy("query_id", "span", "part").agg(F.collect_list("phrase").alias("have"), F.sum(bound).alias("bound"))
     possible = F.exists("clauses", lambda c: F.size(F.array_except(c["need"], F.col("have"))) == 0)
-    heads = heads.join(F.broadcast(clauses), "query_id").where(possible).select("query_id", "span", "part", "bound")
-    highest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "span", "part")
-    first = heads.withColumn("_place", F.row_number().over(highest)).where(F.col("_place") <= F.lit(PROBED * limit).cast("long"))
-    sample = ranked(scored(_rows_in(blocks, first), index.spans, clauses), limit)
-    least = sample.where(F.col("bm25_rank") == limit).select("query_id", F.col("score").alias("least"))
-    # Sums of bounds may differ from those of scores in their last bits.
-    kept = heads.join(F.broadcast(least), "query_id", "left").where("least IS NULL OR bound >= least * (1 - 1e-12)")
-    return blocks, _rows_in(blocks, kept), clauses
+    heads = heads.join(clauses, "query_id").where(possible).select("query_id", "span", "part", "bound")
+    # Where all texts are wanted, there is no score to beat.
+    if counts.largest("n_docs") > limit:
+        highest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "span", "part")
+        first = heads.withColumn("_place", F.row_number().over(highest)).where(F.col("_place") <= F.lit(PROBED * limit).cast("long"))
+        sample = ranked(scored(*_rows_in(index, blocks, _by_span(first, "probed")), clauses), limit)
+        least = Settled.of(sample.where(F.col("bm25_rank") == limit).select("query_id", F.col("score").alias("least")), "least").rows
+        # Sums of bounds may differ from those of scores in their last bits.
+        heads = heads.join(least, "query_id", "left").where("least IS NULL OR bound >= least * (1 - 1e-12)")
+    return blocks, *_rows_in(index, blocks, _by_span(heads, "kept")), clauses
 
 
 def search(index: TextIndex, queries: DataFrame, limit: int) -> DataFrame:
     """``query_id, id, score, bm25_rank``: the ``limit`` best texts of each parsed query (query_id, phrases, clauses), ties to smaller ids."""
-    _, rows, clauses = bounded(index, queries, limit)
-    return ranked(scored(rows, index.spans, clauses), limit)
+    _, rows, spans, clauses = bounded(index, queries, limit)
+    return ranked(scored(rows, spans, clauses), limit)
 
 
 def work(index: TextIndex, queries: DataFrame, limit: int) -> DataFrame:
     """``query_id, postings, scored``: how many postings each query's terms have, and how many a search of its ``limit`` best scores."""
-    blocks, rows, _ = bounded(index, queries, limit)
+    blocks, rows, _, _ = bounded(index, queries, limit)
     have = blocks.groupBy("query_id").agg(F.sum(F.size("slots")).cast("long").alias("postings"))
     return have.join(rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored")), "query_id", "left").fillna(0, ["scored"])
