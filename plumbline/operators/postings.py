@@ -257,7 +257,7 @@ def bounded(index: TextIndex, queries: DataFrame, limit: int) -> tuple[DataFrame
     nothing unless all phrases of some clause are there. The parts with the highest bounds are scored; parts whose bound lies
     below the score of rank ``limit`` there are skipped.
 
-    Each step is computed once: queries, the counts of their phrases, the parts scored first, the scores to beat and the parts left.
+    Each step is computed once: queries, the counts of their phrases, the bounds, the parts scored first, the scores to beat and the parts left.
     """
     asked = Settled.of(queries, "queries")
     clauses = asked.rows.select("query_id", "clauses")
@@ -272,7 +272,7 @@ def bounded(index: TextIndex, queries: DataFrame, limit: int) -> tuple[DataFrame
     bound = weight(F.col("top.tf"), F.col("top.len"), F.col("df"), F.col("n_docs"), F.col("avg_len"))
     heads = heads.groupBy("query_id", "span", "part").agg(F.collect_list("phrase").alias("have"), F.sum(bound).alias("bound"))
     possible = F.exists("clauses", lambda c: F.size(F.array_except(c["need"], F.col("have"))) == 0)
-    heads = heads.join(clauses, "query_id").where(possible).select("query_id", "span", "part", "bound")
+    heads = Settled.of(heads.join(clauses, "query_id").where(possible).select("query_id", "span", "part", "bound"), "heads").rows
     # Where all texts are wanted, there is no score to beat.
     if counts.largest("n_docs") > limit:
         highest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "span", "part")
