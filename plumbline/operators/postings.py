@@ -36,11 +36,12 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 
 def tokenised(texts: DataFrame, *kept: str) -> DataFrame:
     """``id, terms, len`` of rows with ``id, content`` and, if there, ``heading_context``: both columns count as one text of two fields.
-    ``kept`` columns pass through."""
+    ``terms`` are joined by spaces, as a text takes less room in a shuffle than an array. ``kept`` columns pass through."""
     heading = tokens(F.coalesce("heading_context", F.lit(""))) if "heading_context" in texts.columns else F.array().cast("array<string>")
     # A gap between the fields keeps phrases from reaching across.
     fields = F.concat(tokens(F.coalesce("content", F.lit(""))), F.array(F.lit("")), heading)
-    return texts.select("id", fields.alias("terms"), *kept).withColumn("len", F.size("terms") - 1)
+    split = texts.select("id", fields.alias("terms"), *kept)
+    return split.select("id", F.array_join("terms", " ").alias("terms"), *kept, (F.size("terms") - 1).alias("len"))
 
 
 _NAMES = ["term", "span", "slots", "tf", "positions", "tops", "ids", "lens"]
@@ -54,7 +55,7 @@ def _span_rows(span: int, texts: list[tuple]) -> list[tuple]:
     """The postings of a span's texts (id, terms, len), and a row for the span itself."""
     found: dict[str, tuple[list, list]] = {}
     for slot, (_, terms, _) in enumerate(texts):
-        for at, term in enumerate(terms):
+        for at, term in enumerate(terms.split(" ")):
             if term:
                 slots, positions = found.setdefault(term, ([], []))
                 if not slots or slots[-1] != slot:
