@@ -1,16 +1,20 @@
 """A stored full-text index: postings in blocks, with what bounds the scores in each.
 
-Texts are dealt into spans of ``SPAN`` texts of like length. A row of ``postings`` holds what one term has in one span:
+A task deals its texts into spans of ``SPAN`` texts of like length. A row of ``postings`` holds what one term has in one span:
 the texts by their places in the span, how often and where the term stands in each, and for each ``PART`` places the most
-often it stands in one text and the least length of those that hold it. As lengths are alike, the greatest score there
-follows closely, for any corpus statistics. Rows lie in buckets by the term's hash and are sorted by term, so a search reads the
-asked terms' row groups alone. ``spans`` holds the ids and lengths of each span's texts. A search never reads a text.
+often it stands in one text and the least length of those that hold it, for parts that have any. As lengths are alike, the greatest score there
+follows closely, for any corpus statistics. A file holds runs of rows sorted by term (a bank's: buckets by the term's hash), so a search reads the
+asked terms' pages alone. ``spans`` holds the ids and lengths of each span's texts. A search never reads a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
-from plumbline.storage import discard, stored
+from plumbline.storage import stored
 
 K1, B = 1.2, 0.75
 #: Texts of a span, which bound a row of postings, and of a part of it, whose scores have a bound of their own.
@@ -49,72 +53,121 @@ _TOP = pa.struct([("tf", pa.int32()), ("len", pa.int32())])
 _KINDS = [pa.string(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(_TOP), pa.list_(pa.int64()), pa.list_(pa.int32())]
 #: Spans are numbered by the generation that writes them, the task and their order in it.
 _GENERATION, _TASK = 40, 20
-
-
-def _span_rows(span: int, texts: list[tuple]) -> list[tuple]:
-    """The postings of a span's texts (id, terms, len), and a row for the span itself."""
-    found: dict[str, tuple[list, list]] = {}
-    for slot, (_, terms, _) in enumerate(texts):
-        for at, term in enumerate(terms.split(" ")):
-            if term:
-                slots, positions = found.setdefault(term, ([], []))
-                if not slots or slots[-1] != slot:
-                    slots.append(slot)
-                    positions.append([])
-                positions[-1].append(at)
-    lens = [n for _, _, n in texts]
-    out: list[tuple] = []
-    for term, (slots, positions) in found.items():
-        tf = [len(p) for p in positions]
-        tops: list[dict | None] = [None] * (SPAN // PART)
-        for slot, n in zip(slots, tf, strict=True):
-            top = tops[slot // PART]
-            if top is None:
-                tops[slot // PART] = {"tf": n, "len": lens[slot]}
-            elif n > top["tf"]:
-                top["tf"] = n
-        out.append((term, span, slots, tf, positions, tops, None, None))
-    out.append((None, span, None, None, None, None, [i for i, _, _ in texts], lens))
-    return out
-
-
-def index_rows(tokens: DataFrame, generation: int = 0, apart: bool = False) -> DataFrame:
-    """The rows of an index (``INDEX``) of ``tokens`` (id, terms, len; stored, as the sort by length looks at them twice).
-
-    apart: rows have a ``part`` too, and no span holds texts of two. A task holds one span's words at a time. Rows come in buckets of
-    terms, in order.
-    """
-    order = ["part", "len", "id"] if apart else ["len", "id"]
+#: Bytes of words whose postings a task makes at a time, and rows that it hands on at a time.
+RUN_BYTES, RUN_ROWS = 16 << 20, 1 << 14
+
+
+def _lists(starts: np.ndarray, end: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), values)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """The places where one of the keys differs from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _run(first_span: int, ids: pa.Array, terms: pa.Array, lens: np.ndarray, owners: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The rows of some texts: of their spans, then postings by term. Texts are dealt into spans by owner, length and id."""
+    owner = np.zeros(len(lens), np.int32) if owners is None else owners
+    order = np.lexsort((ids.to_numpy(), lens, owner))
+    ids, lens, owner, terms = ids.take(pa.array(order)), lens[order], owner[order], terms.take(pa.array(order))
+    # A span ends after SPAN texts and where the next text has another owner.
+    begins = _firsts(owner)
+    inside = np.arange(len(lens)) - np.repeat(begins, np.diff(np.append(begins, len(lens))))
+    heads = np.flatnonzero(inside % SPAN == 0)
+    spans, slots = np.cumsum(inside % SPAN == 0) - 1, inside % SPAN
+
+    def rows(n: int, span: np.ndarray, found: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        columns = [found[k] if k in found else pa.nulls(n, kind) for k, kind in zip(_NAMES, _KINDS, strict=True)]
+        columns[1], names = pa.array(first_span + span), _NAMES
+        if owners is not None:
+            columns, names = [*columns, pa.array(owner[heads[span]])], [*_NAMES, "part"]
+        batch = pa.RecordBatch.from_arrays(columns, names=names)
+        yield from (batch.slice(at, RUN_ROWS) for at in range(0, n, RUN_ROWS))
+
+    every = np.arange(len(heads))
+    yield from rows(len(heads), every, {"ids": _lists(heads, len(lens), ids.cast(pa.int64())), "lens": _lists(heads, len(lens), pa.array(lens))})
+    words = pc.split_pattern(terms, " ")
+    edges = words.offsets.to_numpy()
+    coded = words.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+    by_term = pc.array_sort_indices(coded.dictionary)
+    sorted_terms = coded.dictionary.take(by_term)
+    rank = np.empty(len(sorted_terms), np.int32)
+    rank[by_term.to_numpy()] = np.arange(len(sorted_terms), dtype=np.int32)
+    term = rank[coded.indices.to_numpy()]
+    text = np.repeat(np.arange(len(lens), dtype=np.int32), np.diff(edges))
+    place = (np.arange(len(term)) - np.repeat(edges[:-1] - edges[0], np.diff(edges))).astype(np.int32)
+    # The empty word stands between fields, and comes first.
+    order = np.argsort(term, kind="stable")
+    order = order[np.searchsorted(term[order], int(len(sorted_terms) > 0 and sorted_terms[0].as_py() == "")) :]
+    term, text, place = term[order], text[order], place[order]
+    if not len(term):
+        return
+    posting = _firsts(term, text)
+    tf = np.diff(np.append(posting, len(term))).astype(np.int32)
+    term, text = term[posting], text[posting]
+    span, slot = spans[text], slots[text].astype(np.int16)
+    row = _firsts(term, span)
+    # Slots ascend by length, so the first posting of a part has its least length.
+    top = _firsts(term, span, slot // PART)
+    tops = pa.StructArray.from_arrays([pa.array(np.maximum.reduceat(tf, top)), pa.array(lens[text[top]])], fields=list(_TOP))
+    found = {"term": sorted_terms.take(pa.array(term[row])), "slots": _lists(row, len(term), pa.array(slot)), "tf": _lists(row, len(term), pa.array(tf))}
+    found |= {"positions": _lists(row, len(term), _lists(posting, len(place), pa.array(place))), "tops": _lists(np.searchsorted(top, row), len(top), tops)}
+    yield from rows(len(row), span[row], found)
+
+
+def _rows_of(tokens: DataFrame, generation: int, apart: bool) -> DataFrame:
+    """``INDEX`` without buckets, of texts where they lie: a task makes the postings of its texts in runs, each sorted by term."""
+    schema = INDEX.removesuffix(", bucket int") + (", part int" if apart else "")
 
     def run(batches):
-        span, held, part = (generation << _GENERATION) | (TaskContext.get().partitionId() << _TASK), [], None
+        span, held, size = (generation << _GENERATION) | (TaskContext.get().partitionId() << _TASK), [], 0
 
-        def rows() -> pa.RecordBatch:
-            columns = [*zip(*_span_rows(span, held), strict=True)]
-            arrays = [pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)]
-            return pa.RecordBatch.from_arrays([*arrays, *([pa.array([part] * len(columns[0]), pa.int32())] if apart else [])], names=[*_NAMES, *(["part"] if apart else [])])
+        def made() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            column = lambda name: whole.column(whole.schema.get_field_index(name))
+            yield from _run(span, column("id"), column("terms"), column("len").to_numpy(), column("part").to_numpy() if apart else None)
 
         for batch in batches:
-            parts = batch.column("part").to_pylist() if apart else [None] * len(batch)
-            for at, *text in zip(parts, *(batch.column(c).to_pylist() for c in ("id", "terms", "len")), strict=True):
-                if held and (len(held) == SPAN or at != part):
-                    yield rows()
-                    held, span = [], span + 1
-                part = at
-                held.append(tuple(text))
+            at = 0
+            while at < len(batch):
+                # As many texts as the run still takes, one at least.
+                sizes = np.cumsum(pc.binary_length(batch.column("terms").slice(at)).to_numpy())
+                n = max(1, int(np.searchsorted(sizes, RUN_BYTES - size, side="right")))
+                held.append(batch.slice(at, n))
+                at, size = at + n, size + int(sizes[min(n, len(sizes)) - 1])
+                if size >= RUN_BYTES or at < len(batch):
+                    last = span
+                    for rows in made():
+                        last = max(last, pc.max(rows.column("span")).as_py())
+                        yield rows
+                    span, held, size = last + 1, [], 0
         if held:
-            yield rows()
+            yield from made()
+
+    return tokens.mapInArrow(run, schema)
 
-    ordered = tokens.repartitionByRange(*order).sortWithinPartitions(*order)
-    made = ordered.mapInArrow(run, INDEX.removesuffix(", bucket int") + (", part int" if apart else ""))
-    made = made.withColumn("bucket", F.when(F.col("term").isNull(), SPANS_BUCKET).otherwise(bucket_of(F.col("term"))))
-    groups = ["part", "bucket"] if apart else ["bucket"]
+
+def index_rows(tokens: DataFrame, generation: int = 0) -> DataFrame:
+    """The rows of an index (``INDEX``) of ``tokens`` (id, terms, len, part), with a ``part``: no span holds texts of two. Rows come in buckets of
+    terms, in order. ``tokens`` are stored, as the sort by length looks at them twice."""
+    ordered = tokens.repartitionByRange("part", "len", "id").sortWithinPartitions("part", "len", "id")
+    made = _rows_of(ordered, generation, True).withColumn("bucket", F.when(F.col("term").isNull(), SPANS_BUCKET).otherwise(bucket_of(F.col("term"))))
+    groups = ["part", "bucket"]
     return made.repartition(*groups, F.pmod(F.xxhash64("span"), F.lit(4))).sortWithinPartitions(*groups, "term", "span")
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """``texts`` (read from files, as they are counted first), dealt anew by length if they lie in fewer partitions than tasks run at a time."""
+    n = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartitionByRange(n, F.length("content"), "id") if texts.rdd.getNumPartitions() < n else texts
+
+
 @dataclass
 class TextIndex:
-    """``postings`` (term, span, slots, tf, positions, tops, bucket) and ``spans`` (span, ids, lens) of a set of texts."""
+    """``postings`` (term, span, slots, tf, positions, tops and perhaps bucket; those of spans have no term) and ``spans`` (span, ids, lens) of a set of texts."""
 
     postings: DataFrame
     spans: DataFrame
@@ -125,20 +178,19 @@ class TextIndex:
 
         Null texts are empty texts; rows without an id are passed over; an id given twice is two texts.
         """
-        spark, words = texts.sparkSession, stored(tokenised(texts.where("id IS NOT NULL")), "tokens")
-        index_rows(words).write.option("parquet.block.size", str(ROW_GROUP)).partitionBy("bucket").parquet(path)
-        discard(words)
+        spark, given = texts.sparkSession, texts.where("id IS NOT NULL")
+        _rows_of(tokenised(spread(given)), 0, False).write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
         return TextIndex.read(spark, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex.of(spark.read.schema(INDEX).parquet(path))
+        return TextIndex.of(spark.read.schema(INDEX.removesuffix(", bucket int")).parquet(path))
 
     @staticmethod
     def of(rows: DataFrame) -> TextIndex:
         """The index whose rows these are."""
-        there = F.col("bucket") == SPANS_BUCKET
-        return TextIndex(rows.where(~there).drop("ids", "lens"), rows.where(there).select("span", "ids", "lens"))
+        in_spans = F.col("bucket") == SPANS_BUCKET if "bucket" in rows.columns else F.col("term").isNull()
+        return TextIndex(rows.drop("ids", "lens"), rows.where(in_spans).select("span", "ids", "lens"))
 
     def corpus(self) -> DataFrame:
         """One row: ``n_docs, avg_len``."""
@@ -155,6 +207,8 @@ def weight(tf: Column, length: Column, df: Column, n_docs: Column, avg_len: Colu
 HANDED = 20_000
 #: Terms or spans named in a filter that files are read by; more are joined.
 NAMED = 2000
+#: Values of a list in a filter that files are searched for one by one.
+PUSHED = 10
 
 
 @dataclass
@@ -187,7 +241,10 @@ def asked_postings(index: TextIndex, parts: Settled) -> DataFrame:
     terms = parts.named("term")
     if terms is None:
         return index.postings.join(parts.rows.select("term").distinct(), "term", "left_semi")
-    return index.postings.where(F.col("bucket").isin(parts.few["bucket"].unique().to_pylist()) & F.col("term").isin(terms))
+    # Longer lists would be pushed into files as their least and largest value alone.
+    terms = sorted(terms)
+    found = index.postings.where(reduce(or_, [F.col("term").isin(terms[i : i + PUSHED]) for i in range(0, len(terms), PUSHED)]) if terms else F.lit(False))
+    return found.where(F.col("bucket").isin(parts.few["bucket"].unique().to_pylist())).drop("bucket") if "bucket" in found.columns else found
 
 
 def phrase_blocks(index: TextIndex, parts: Settled, several: bool) -> DataFrame:
@@ -269,7 +326,10 @@ def bounded(index: TextIndex, queries: DataFrame, limit: int) -> tuple[DataFrame
     blocks = phrase_blocks(index, parts, several)
     counts = Settled.of(blocks.groupBy("query_id", "phrase").agg(F.sum(F.size("slots")).alias("df")).crossJoin(F.broadcast(index.corpus())), "counts")
     blocks = blocks.join(counts.rows, ["query_id", "phrase"])
-    heads = blocks.select("query_id", "phrase", "span", "df", "n_docs", "avg_len", F.posexplode("tops").alias("part", "top")).where("top IS NOT NULL")
+    # Bounds lie in the order of the parts that hold a posting.
+    held = F.array_distinct(F.transform("slots", lambda s: F.shiftright(s.cast("int"), PART.bit_length() - 1)))
+    heads = blocks.withColumn("x", F.explode(F.arrays_zip(held.alias("part"), F.filter("tops", lambda x: x.isNotNull()).alias("top"))))
+    heads = heads.select("query_id", "phrase", "span", "df", "n_docs", "avg_len", F.col("x.part").alias("part"), F.col("x.top").alias("top"))
     bound = weight(F.col("top.tf"), F.col("top.len"), F.col("df"), F.col("n_docs"), F.col("avg_len"))
     heads = heads.groupBy("query_id", "span", "part").agg(F.collect_list("phrase").alias("have"), F.sum(bound).alias("bound"))
     possible = F.exists("clauses", lambda c: F.size(F.array_except(c["need"], F.col("have"))) == 0)

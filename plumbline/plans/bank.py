@@ -161,7 +161,7 @@ class Bank:
         """Indexes the words of the chunks in ``parts`` as the commit will hold them."""
         chunks = self._stored("chunks", TABLES["chunks"], state).where(F.col("part").isin(parts))
         words = stored(postings.tokenised(chunks, "part"), "tokens")
-        self._write("words", postings.index_rows(words, version, apart=True), parts, gen, state)
+        self._write("words", postings.index_rows(words, version), parts, gen, state)
         discard(words)
 
     def _generation(self, version: int) -> str:

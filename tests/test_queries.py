@@ -109,6 +109,42 @@ def test_search_skips_only_what_cannot_be_among_the_best(spark, tmp_path, monkey
     assert lexical.bm25(none, asked, 5).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_an_index_is_built_where_texts_lie(spark, tmp_path, monkeypatch):
+    """No text or posting is shuffled; rows hold all words with places, over several runs of a task; any number of terms is named in filters."""
+    import random
+
+    from plumbline.operators import lexical, postings
+    from plumbline.operators.postings import TextIndex
+
+    source = random.Random(7)
+    texts = [(i, " ".join(f"w{source.randrange(400)}" for _ in range(source.randrange(120))), "w1 title" if i % 7 == 0 else None) for i in range(1, 1200)]
+    texts.append((0, None, None))
+    table = spark.createDataFrame(texts, "id long, content string, heading_context string").repartition(8)
+    table.write.parquet(str(tmp_path / "texts"))
+    before = shuffled(spark)
+    index = TextIndex.build(spark.read.parquet(str(tmp_path / "texts")), str(tmp_path / "index"))
+    assert shuffled(spark) == before
+    want = set()
+    for i, text, heading in texts:
+        want |= {(i, w, at) for at, w in enumerate([*(text or "").split(), "", *(heading or "").split()]) if w}
+    rows = index.postings.where("term IS NOT NULL").join(index.spans, "span").selectExpr("term", "ids", "lens", "tf", "tops", "explode(arrays_zip(slots, positions)) x").collect()
+    assert {(r["ids"][r["x"]["slots"]], r["term"], at) for r in rows for at in r["x"]["positions"]} == want
+    assert index.corpus().first()["n_docs"] == 1200 and len(want) == sum(len(r["x"]["positions"]) for r in rows)
+    asked = spark.createDataFrame([(1, " OR ".join(f"w{i}" for i in range(25)))], "query_id long, query string")
+    found = lexical.bm25(index, asked, 9)
+    assert "PushedFilters: [Or(Or(In(term" in found._jdf.queryExecution().toString()
+    few = [tuple(r) for r in found.orderBy("bm25_rank").collect()]
+    monkeypatch.setattr(postings, "RUN_BYTES", 900)
+    assert few == [tuple(r) for r in lexical.bm25(TextIndex.build(table, str(tmp_path / "runs")), asked, 9).orderBy("bm25_rank").collect()]
+
+
 def test_partitions_are_skipped_and_nothing_is_missed(spark, tmp_path, monkeypatch):
     """Clusters: neighbours equal those of the whole scan, in blocks of queries too, and most partitions and rows are not looked at."""
     import numpy as np
