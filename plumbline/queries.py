@@ -14,7 +14,7 @@ from plumbline.operators import analytics, diff, gates, lexical, retrieval, wind
 from plumbline.operators.chunking import chunked
 from plumbline.operators.pivots import VectorIndex
 from plumbline.operators.postings import TextIndex
-from plumbline.storage import scratch
+from plumbline.storage import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,9 +423,15 @@ def chunk_index(spark: SparkSession, d: str, part: str = "id IS NOT NULL") -> tu
 
     def write(path: str) -> None:
         # Documents without a vector are found by words alone; the heading is the title anywhere in the text, if it has one.
-        chunks = docs(spark, d).join(_vectors(spark, d)[0], "id", "left").where(part).withColumn("heading_context", F.coalesce(tx.title(F.col("content")), F.lit("")))
-        chunks.select("id", "heading_context", "embedding").write.parquet(f"{path}/chunks")
-        TextIndex.build(chunks.select("id", "content", "heading_context"), f"{path}/words")
+        # Texts stay where they are: vectors are joined to headings alone, and to words only where an id has several.
+        vectors = _vectors(spark, d)[0]
+        texts = docs(spark, d).where(part).select("id", "content", F.coalesce(tx.title(F.col("content")), F.lit("")).alias("heading_context"))
+        texts.select("id", "heading_context").join(vectors, "id", "left").write.parquet(f"{path}/chunks")
+        several = vectors.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
+        if not several.isEmpty():
+            times = F.sequence(F.lit(1), F.coalesce("count", F.lit(1)))
+            texts = stored(texts.join(several, "id", "left").withColumn("_copy", F.explode(times)).drop("count", "_copy"), "texts")
+        TextIndex.build(texts, f"{path}/words")
 
     path = _once(spark, d, f"chunks {part}".replace(" ", "-").replace("%", "mod").replace("=", "is"), write)
     return spark.read.parquet(f"{path}/chunks"), TextIndex.read(spark, f"{path}/words")

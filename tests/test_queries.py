@@ -145,6 +145,21 @@ def test_an_index_is_built_where_texts_lie(spark, tmp_path, monkeypatch):
     assert few == [tuple(r) for r in lexical.bm25(TextIndex.build(table, str(tmp_path / "runs")), asked, 9).orderBy("bm25_rank").collect()]
 
 
+def test_chunks_are_indexed_without_shuffling_texts(spark, tmp_path):
+    """Vectors meet headings alone; an id with several vectors is as many chunks, by words too."""
+    rows = [(i, f"# head{i}\n" + " ".join(f"word{i * 1000 + j}" for j in range(1000)), "en", "x", 9) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = lambda ids: spark.createDataFrame([(i, [1.0, float(i or 0)]) for i in ids], "vec_id long, embedding array<float>")
+    vectors(range(50)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    before = shuffled(spark)
+    _, index = queries.chunk_index(spark, str(tmp_path))
+    assert shuffled(spark) - before < sum(len(r[1]) for r in rows) / 50
+    assert index.corpus().first()["n_docs"] == 200
+    vectors([7, 7, None]).write.mode("append").parquet(str(tmp_path / "embeddings.parquet"))
+    chunks, index = queries.chunk_index(spark, str(tmp_path), "id IS NOT NULL AND id < 100")
+    assert chunks.count() == index.corpus().first()["n_docs"] == 102 and chunks.where("id = 7").count() == 3
+
+
 def test_partitions_are_skipped_and_nothing_is_missed(spark, tmp_path, monkeypatch):
     """Clusters: neighbours equal those of the whole scan, in blocks of queries too, and most partitions and rows are not looked at."""
     import numpy as np
