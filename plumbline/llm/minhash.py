@@ -44,6 +44,8 @@ WORDS = 300_000
 COUNTED, COMMON = 8192, 1 << 18
 #: Labels are compared with their nearest once more if one in so many was linked by that.
 FEW_LINKS = 20
+#: Links that one task puts together into components (16 bytes each); rounds over all tasks leave no more.
+LAST_LINKS = 1 << 15
 #: Nodes that one task compares through one shingle; those of commoner ones are dealt in pairs of blocks.
 BLOCK = 4096
 
@@ -259,26 +261,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` of every node of undirected ``links`` (a, b): the label is the component's least node.
 
-    Each round every node takes the least node around it, and that one's own; links between the nodes taken go on
-    to the next round. Rounds shrink, and their number grows with the logarithm of a component's size.
+    Each round every node takes the one of itself and the nodes around it that comes first in an order of the round's own; links
+    between the nodes taken go on to the next round. Orders are hashes, so however nodes are numbered, a constant share of them
+    goes each round, and rounds grow with the logarithm of a component's size. What is left of few links, one task puts together.
     """
     a, b = F.least("a", "b"), F.greatest("a", "b")
     edges = stored(links.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "edges")
     steps: list[DataFrame] = []
-    while not steps or not edges.isEmpty():
-        around = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-        least = stored(around.select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "least")
-        step = stored(least.join(least.toDF("up", "top"), "up").select("node", F.col("top").alias("label")), "step")
-        discard(least)
+    while edges.count() > LAST_LINKS:
+        place = {c: F.xxhash64(c, F.lit(len(steps))) for c in ("a", "b")}
+        around = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min_by("b", place["b"]).alias("b"))
+        step = stored(around.select(F.col("a").alias("node"), F.when(place["b"] < place["a"], F.col("b")).otherwise(F.col("a")).alias("label")), "step")
         fresh = edges.join(step.toDF("a", "top_a"), "a").join(step.toDF("b", "top_b"), "b").where("top_a <> top_b")
         fresh = stored(fresh.select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct(), "edges")
         discard(edges)
         edges = fresh
         steps.append(step)
-    labels = steps.pop()
+    labels, contracted = edges.coalesce(1).mapInArrow(_put_together, "node long, label long"), bool(steps)
     while steps:  # the last step is the smallest
         labels = steps.pop().join(labels.toDF("label", "lower"), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
-    return stored(labels, "labels")
+    labels = stored(labels, "labels")
+    if contracted:  # labels are any nodes of their components
+        least = labels.groupBy("label").agg(F.min("node").alias("least"))
+        labels = stored(labels.join(least, "label").select("node", F.col("least").alias("label")), "labels")
+    return labels
+
+
+def _put_together(batches):
+    """``node, label`` of the links (a, b) of one task: the label is the least node that they reach."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True):
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(top, nodes), pa.int64())], names=["node", "label"])
 
 
 def relabelled(rows: DataFrame, lower: DataFrame) -> DataFrame:

@@ -211,3 +211,22 @@ def test_numbering_of_a_key_over_many_tasks(spark, monkeypatch):
     of_key = sorted((r["o"], r["place"]) for r in got if r["k"] == 7)
     assert [p for _, p in of_key] == list(range(len(of_key))) and len(of_key) == 4900
     assert all(r["place"] == 0 for r in got if r["k"] != 7)
+
+
+@pytest.mark.parametrize("last", [0, 8])
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch, last):
+    """Nodes numbered along a chain: rounds that take the least node around would shrink it by two nodes each."""
+    chain, star = [(i, i + 1) for i in range(60)], [(2**40 + 7, 2**40 + i) for i in range(1, 20)]
+    loop = [(-i, -(i % 9) - 1) for i in range(1, 10)]
+    written = []
+    monkeypatch.setattr(minhash, "LAST_LINKS", last, raising=False)
+    real = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df, name, *more: (written.append(name), real(df, name, *more))[1])
+    links = chain + star + loop + [(5, 4), (900, 901), (33, 33)]
+    label = {x: x for link in links for x in link if link[0] != link[1]}
+    for _ in label:
+        for x, y in links:
+            label[x] = label[y] = min(label[x], label[y])
+    found = minhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len(label) and {r["node"]: r["label"] for r in found} == label
+    assert len(written) <= 30
