@@ -9,9 +9,7 @@ path. A batch's texts are cut and its distinct chunks found in columns, so Pytho
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,32 +40,6 @@ def split(text: str) -> list[str]:
     return (_UNICODE if _OTHER.search(text) else _LATIN).findall(text)
 
 
-class _Known(dict):
-    """Values by chunk. A chunk that is asked for but missing is noted in ``fresh``, or ``made`` of a known one and a mark behind it."""
-
-    def __init__(self, marks: dict[str, bytes], older: dict[str, bytes] | None = None):
-        super().__init__()
-        self.marks, self.older = marks, older or {}
-        self.fresh: list[str] = []
-        self.made: list[str] = []
-
-    def __missing__(self, chunk: str) -> bytes:
-        value = self.older.get(chunk)
-        if value:
-            self[chunk] = value
-            return value
-        mark = self.marks.get(chunk[-1:])
-        if mark and chunk[-2:-1].isalpha():  # a mark behind a letter is a piece of its own
-            core = self.get(chunk[:-1]) or self.older.get(chunk[:-1])
-            if core:
-                self[chunk] = value = core + mark
-                self.made.append(chunk)
-                return value
-        self[chunk] = b""
-        self.fresh.append(chunk)
-        return b""
-
-
 #: Bits that note which chunks have been seen once: only chunks seen again are kept.
 SEEN_BITS = 1 << 24
 
@@ -83,7 +55,9 @@ class Memo:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_chunks: Callable[[list[str]], list[bytes]] | None = None, entries: int = MEMO_ENTRIES):
         self.encode, self.encode_chunks = encode, encode_chunks or encode
         self.marks = dict(zip(",.;:!?", encode(list(",.;:!?")), strict=True))
-        self.known, self.entries = _Known(self.marks), entries
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.entries = entries
         self.seen = bytearray(SEEN_BITS >> 3)
 
     def of_all(self, texts: list[str]) -> list[bytes]:
@@ -97,9 +71,8 @@ class Memo:
         return [ids for a, b in zip(runs, [*runs[1:], len(texts)], strict=True) for ids in self._of_run(texts[a:b])]
 
     def _of_run(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.entries // 2:
-            known = self.known = _Known(self.marks, dict(known))
+        if len(self.known) > self.entries // 2:
+            self.known, self.older = {}, self.known
         out, chunked, plain = [b""] * len(texts), [], []
         for i, text in enumerate(texts):
             if text:
@@ -112,12 +85,9 @@ class Memo:
         behind[starts_at[:-1]] = False
         firsts = chunks.take(pa.array(starts_at[:-1])).to_pylist()
         coded = pc.dictionary_encode(chunks.filter(pa.array(behind)))
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        deque(map(known.__getitem__, distinct), maxlen=0)
-        fresh, made, known.fresh, known.made = known.fresh, known.made, [], []
-        known.update(zip(fresh, self.encode_chunks(["\n" + c[1:] if c[0] == "\0" else " " + c for c in fresh]), strict=True))
+        distinct, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        values = self._of_chunks(distinct)
         starts = self.encode(firsts + [texts[i] for i in plain])
-        values = list(map(known.__getitem__, distinct))
         pool, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int32, len(values)) // 4
         at = np.cumsum(sizes, dtype=np.int32) - sizes
         sizes = sizes[which]
@@ -128,11 +98,36 @@ class Memo:
             out[i] = start + ids[a:b].tobytes()
         for i, value in zip(plain, starts[len(chunked) :], strict=True):
             out[i] = value
-        seen = self.seen
-        for c in chain(fresh, made):
-            h = hash(c) & (SEEN_BITS - 1)
+        return out
+
+    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of distinct chunks; a line break at their beginning is written as \\0, a blank is left out."""
+        known, older, marks, seen = self.known, self.older, self.marks, self.seen
+        values = list(map(known.get, chunks))
+        fresh, new = [], []
+        for i in [i for i, value in enumerate(values) if value is None]:
+            chunk = chunks[i]
+            value = older.get(chunk)
+            if value:
+                known[chunk] = values[i] = value
+                continue
+            new.append(i)
+            mark = marks.get(chunk[-1:])
+            # A mark behind a letter is a piece of its own.
+            core = (known.get(chunk[:-1]) or older.get(chunk[:-1])) if mark and chunk[-2:-1].isalpha() else None
+            if core:
+                values[i] = core + mark
+            else:
+                fresh.append(i)
+        whole = ["\n" + c[1:] if c[:1] == "\0" else " " + c for c in map(chunks.__getitem__, fresh)]
+        for i, value in zip(fresh, self.encode_chunks(whole), strict=True):
+            values[i] = value
+        for i in new:
+            chunk = chunks[i]
+            h = hash(chunk) & (SEEN_BITS - 1)
             bit = 1 << (h & 7)
-            if len(c) > MEMO_CHARS or not seen[h >> 3] & bit:
+            if not seen[h >> 3] & bit:
                 seen[h >> 3] |= bit
-                del known[c]
-        return out
+            elif len(chunk) <= MEMO_CHARS:
+                known[chunk] = values[i]
+        return values

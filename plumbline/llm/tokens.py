@@ -28,6 +28,8 @@ def _plain_byte_level(spec: dict) -> bool:
 
 #: Entries of the memo beside the library's own vocabulary.
 TOKENIZER_ENTRIES = 400_000
+#: How byte-level vocabularies write a blank.
+BLANK = "\u0120"
 #: Chunks that are encoded as one text.
 JOINED_CHUNKS = 4096
 
@@ -36,7 +38,7 @@ class TextTokenizer:
     """Encodes texts with the tokenizers library; chunks seen before come from a memo."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
@@ -44,6 +46,9 @@ class TextTokenizer:
             spec = json.load(f)
         self.memo = None
         if _plain_byte_level(spec):
+            # The same model for pieces that stand between blanks, whose bytes are written as the vocabulary does.
+            self.pieces = Tokenizer(self.library.model)
+            self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.memo = Memo(self._whole, self._chunks, TOKENIZER_ENTRIES)
             # The vocabulary writes each byte as one character.
             self.lengths = np.zeros(max(spec["model"]["vocab"].values()) + 1, "i8")
@@ -55,16 +60,21 @@ class TextTokenizer:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Encodes chunks that don't touch as one text; the bytes that tokens stand for tell them apart."""
-        out: list[bytes] = []
-        for at in range(0, len(chunks), JOINED_CHUNKS):
-            group = chunks[at : at + JOINED_CHUNKS]
-            joined = "".join(group)
-            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            sizes = list(map(len, group if joined.isascii() else map(str.encode, group)))
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), "left") * 4 + 4
-            packed = ids.tobytes()
-            cuts = [0, *ends.tolist()]
-            out += map(packed.__getitem__, map(slice, cuts, cuts[1:]))
+        out: list[bytes] = [b""] * len(chunks)
+        words, others = [], []
+        for i, chunk in enumerate(chunks):  # a blank and ASCII letters are one piece
+            (words if chunk[0] == " " and chunk.isascii() and chunk[1:].isalpha() else others).append(i)
+        for library, blank, places in ((self.pieces, f" {BLANK}", words), (self.library, "", others)):
+            for at in range(0, len(places), JOINED_CHUNKS):
+                group = [chunks[i] for i in places[at : at + JOINED_CHUNKS]]
+                joined = "".join(group)
+                sizes = list(map(len, group if joined.isascii() else map(str.encode, group)))
+                ids = np.array(library.encode_batch_fast([joined.replace(" ", blank) if blank else joined], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), "left") * 4 + 4
+                packed = ids.tobytes()
+                cuts = [0, *ends.tolist()]
+                for i, a, b in zip(places[at : at + JOINED_CHUNKS], cuts, cuts[1:], strict=False):
+                    out[i] = packed[a:b]
         return out
 
     def packed(self, texts: list[str]) -> list[bytes]:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import fim, jaccard, minhash, trie
+from plumbline.llm import fim, jaccard, minhash, queries, tokens, trie
 from tests.llm.test_llm import DOCS, LONG, ODD, brute_components
 
 # --- fill in the middle
@@ -230,3 +230,25 @@ def test_components_of_a_chain_take_few_rounds(spark, monkeypatch, last):
     found = minhash.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(found) == len(label) and {r["node"]: r["label"] for r in found} == label
     assert len(written) <= 30
+
+
+def test_new_words_skip_the_pattern_of_the_library():
+    """Blanks and ASCII letters are encoded by the model alone, other chunks by the whole library; ids are the library's."""
+
+    class Watched:
+        def __init__(self, library):
+            self.library, self.asked = library, []
+
+        def encode_batch_fast(self, texts, **more):
+            self.asked += texts
+            return self.library.encode_batch_fast(texts, **more)
+
+    found = tokens.TextTokenizer(queries.IDS_FILE)
+    texts = ["one gamma delta, it's Ġone\nünder gamma. zeta9", "", "two  blanks", "a\x00b \x00c", "gamma, " + "z" * 60 + ", q", " x", "gamma! delta gamma"] * 3
+    want = [np.array(found.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    found.library = watched = Watched(found.library)
+    for _ in range(3):
+        assert found.packed(texts) == want
+    watched.asked.clear()
+    assert b"".join(found._chunks([" freshly", " nine9", " Möbel", "\nfreshly", " it's", " freshly"])) == np.array(watched.library.encode(" freshly nine9 Möbel\nfreshly it's freshly").ids, "<u4").tobytes()
+    assert "".join(watched.asked) == " nine9 Möbel\nfreshly it's"
